@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from flowloom.plans import analysis, network
+
 FLAGSHIP = "node_strength_A1"
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for part in (network, analysis) for k, f in part.query.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in (network, analysis) for k, s in part.query.sql.items()}
