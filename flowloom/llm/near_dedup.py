@@ -7,9 +7,11 @@ Two documents are candidates if they agree in at least two collections: with p =
 probability (1-p)**groups + groups*p*(1-p)**(groups-1), at J = 0.8 and the defaults 0.06 %, at J = 0.85 0.005 %.
 
 Candidates are compared on their full sets. Rows of equal sets are put together first. Within a table key each set is
-held against one centre, not against all: first the centre that it shares most keys with, then the others, and at last
-those keys whose members are not yet one component are gone through member by member against the rest, skipping what
-is already connected. So a large group of near copies costs its size, and no key's pairs are all made.
+held against one centre, not against all: first the centre that it shares most keys with, then the others. Where a key's
+members are then not one component, its sets outside the largest one are held against all sets in such keys that an
+exact prefix filter leaves: shingles have one order, rare ones first, and two similar sets share one early enough for
+the rest to reach the overlap they need. So a large group of near copies costs about its size, and no key's pairs are
+all made.
 
 Cases: null or blank texts have no set and are linked with nothing. Rows of equal sets are linked whatever their ids.
 Rows that share an id are one document in links. A null id is no node: such a row gets the component of the rows with
@@ -54,9 +56,9 @@ def powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     return kept[base][:n]
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and for each text the index of its first word (and of the end)."""
-    gap = _SPACE[data]
+def word_hashes(data: np.ndarray, ends: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of bytes that are not gaps, and for each text the index of its first run (and of the end)."""
+    gap = gaps[data]
     starts = ~gap
     starts[1:] &= gap[:-1]
     first = ends[:-1][np.diff(ends) > 0]
@@ -74,7 +76,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of k words."""
-    h, at = words(data, ends)
+    h, at = word_hashes(data, ends)
     n = max(0, len(h) - k + 1)
     s = mix(h[:n] + np.uint64(k))
     for j in range(1, k):
@@ -132,6 +134,42 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
 
 
+SLOTS = 1 << 18
+
+
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """How many shingles of rows fall in each of SLOTS slots: a rough frequency, 1 MB whatever the input, by which shingles are put in one order."""
+    counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).count().toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[counts["slot"]] = counts["count"]
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
+    """token, id, n, c, stray, left: each set's first shingles in the order, as many as a similar set of `partner` shingles or more must meet; left: how many there are from this one on."""
+    held = rows.sparkSession.sparkContext.broadcast(slots)
+
+    def run(batches):
+        for b in batches:
+            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
+                tokens, owner, left = [], [], []
+                n, partner = part.column("n").to_numpy(), part.column("partner").to_numpy()
+                for i, s in enumerate(part.column("shingles")):
+                    own = s.values.to_numpy()
+                    least = max(int(partner[i]), -(-percent * int(n[i]) // 100))
+                    need = -(-percent * (int(n[i]) + least) // (100 + percent))
+                    take = max(0, len(own) - need + 1)
+                    first = np.lexsort((own, held.value[own % SLOTS]))[:take]
+                    tokens.append(own[first])
+                    owner.append(np.full(len(first), i))
+                    left.append(len(own) - np.arange(len(first)))
+                owner = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[part.column(c).take(owner) for c in ("id", "n", "c", "stray")], pa.array(np.concatenate(left))], ["token", "id", "n", "c", "stray", "left"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "n", "c", "stray", "partner", "shingles").mapInArrow(run, f"token bigint, id {kind}, n bigint, c {kind}, stray boolean, left bigint")
+
+
 def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
     """id and the smallest id reachable over links (a, b), for the ids in links. label: (id, component) that earlier links gave.
 
@@ -189,28 +227,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("x").alias("nx"), F.size("y").alias("ny"))
         return held.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b").distinct()
 
-    # First each set's most frequent partner, then what that leaves unconnected.
+    # First each set's most frequent partner.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", F.col("a"))).alias("a")).select("a", "b")
-    links = written(linked(best), "linked")
-    label = components(links)
-
-    def apart(some: DataFrame) -> DataFrame:
-        la = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        some = some.join(la, "a", "left").join(lb, "b", "left")
-        return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    label = components(written(linked(best), "linked"))
 
-    more = written(linked(apart(pairs.join(best, ["a", "b"], "left_anti"))), "linked")
+    # Then the other centres, for what is not connected by now.
+    la = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    apart = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    more = written(linked(apart), "linked")
     label = written(components(more, label).unionByName(label).groupBy("id").agg(F.min("component").alias("component")), "label")
 
-    # Keys whose members are still apart: all members against those outside the key's largest component, less what was compared.
+    # Keys whose members are not yet one component: sets outside the key's largest one are held against all others by
+    # exact prefix filtering, whatever keys they share. partner: the least size of a set in a key with this one.
     at = members.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    per = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    key = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("m", "c")).alias("main")).where("parts > 1")
-    at = written(at.join(key.select("key", "main"), "key"), "open")
-    stray = at.where("c <> main").select("key", F.col("id").alias("sid"), F.col("n").alias("centre_n"), F.col("c").alias("sc"))
-    rest = at.join(stray, "key").where((F.col("c") != F.col("sc")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("sid"))) & fits)
-    rest = rest.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    per = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+    key = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("m", "c")).alias("main"), F.min("least").alias("least")).where("parts > 1")
+    at = at.join(key.select("key", "main", "least"), "key")
+    opened = written(at.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("main")).alias("stray"), F.min("least").alias("partner")), "open")
+    held = full.join(F.broadcast(opened) if few else opened, "id")
+    slots = slot_counts(held)
+    rows = written(prefixes(held, slots, percent), "prefix")
+    x = rows.where("stray").select("token", F.col("id").alias("xid"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("left").alias("lx"))
+    y = rows.select("token", F.col("id").alias("yid"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("left").alias("ly"), F.col("stray").alias("sy"))
+    near = (F.col("cx") != F.col("cy")) & (~F.col("sy") | (F.col("yid") < F.col("xid"))) & (F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny"))
+    near = near & (F.lit(100 + percent) * F.least("lx", "ly") >= F.lit(percent) * (F.col("nx") + F.col("ny")))
+    rest = x.join(y, "token").where(near).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
     last = written(linked(rest), "linked")
     if last.limit(1).count():
         label = components(last, label).unionByName(label).groupBy("id").agg(F.min("component").alias("component"))
@@ -221,5 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000, **how) -> DataFrame:
+    """The rows of docs that stay, one document of each group of near duplicates; rows without an id stay."""
+    dropped = written(near_duplicates(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct(), "dropped")
+    gone = F.broadcast(dropped) if dropped.count() <= broadcast_ids else dropped
+    return docs.join(gone, id_col, "left_anti")
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
