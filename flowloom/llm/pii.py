@@ -37,7 +37,12 @@ PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text has if it can have a match at all.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
+NEEDS = {
+    "email": lambda text: F.contains(text, F.lit("@")),
+    "ip": lambda text: text.rlike(r"[0-9]\.[0-9]"),
+    "card": lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
+    "phone": lambda text: F.contains(text, F.lit("+")),
+}
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 #: Gazetteers. Ours.
 SECRET_WORDS = r"(?i)(?:^|[^a-z])(?:password|passwd|passphrase|pwd|secret|token|apikey|api[_-]?key|credential|auth|login|pin|ssn|iban|passport|account|licen[cs]e[_-]?key)(?:$|[^a-z])"
@@ -93,12 +98,14 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 def base_spans(text: Column) -> Column:
     """The base spans by start, then kind."""
-    out = []
-    for rank, kind in enumerate(KINDS):
-        found = F.filter(pieces(text, PATTERN[kind]), lambda m, kind=kind: valid(kind, m["value"]))
-        spans = F.transform(found, lambda m, rank=rank, kind=kind: F.struct(m["start"], F.lit(rank).alias("rank"), m["end"], F.lit(kind).alias("kind"))).cast(SPAN)
-        out.append(F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.array().cast(SPAN)))
-    return F.array_sort(F.concat(*out))
+
+    def of(rank: int, kind: str) -> Column:
+        found = F.filter(pieces(text, PATTERN[kind]), lambda m: valid(kind, m["value"]))
+        spans = F.transform(found, lambda m: F.struct(m["start"], F.lit(rank).alias("rank"), m["end"], F.lit(kind).alias("kind"))).cast(SPAN)
+        return F.when(NEEDS[kind](text), spans).otherwise(F.array().cast(SPAN))
+
+    email, *others = [of(rank, kind) for rank, kind in enumerate(KINDS)]
+    return F.array_sort(F.concat(email, F.when(text.rlike("[0-9]"), F.concat(*others)).otherwise(F.array().cast(SPAN))))
 
 
 def vote(yes: Column, no: Column | None = None) -> Column:
@@ -211,5 +218,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def op7_pii(spark, sf_dir):
     out = found(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *count, F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))

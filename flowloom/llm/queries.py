@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from flowloom.llm import exact_dedup, near_dedup
+from flowloom.llm import exact_dedup, language_id, near_dedup, ogg, packing, pieces, pii, quality, token_counts, url_filter
+
+
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (exact_dedup.op8_exact_dedup, near_dedup.op9_minhash_near_dedup)}
+    own = (
+        url_filter.op1_url_filter, pieces.op2_sentencepiece, packing.op3_best_fit_packing, language_id.op4_language_id, token_counts.op5_token_counts,
+        quality.op6_quality_classifier, pii.op7_pii, exact_dedup.op8_exact_dedup, near_dedup.op9_minhash_near_dedup, ogg.op10_media_columns, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

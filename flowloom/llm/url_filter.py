@@ -50,13 +50,13 @@ def path(url: Column) -> Column:
 
 def hashed_grams(host_col: Column, path_col: Column, sizes: tuple[int, ...], features: int) -> Column:
     """Numbers of the features of all n-grams of host and path."""
-    parts = []
-    for name, text in (("host", host_col), ("path", path_col)):
+
+    def grams(name: str, text: Column, n: int) -> Column:
         framed = F.concat(F.lit("\x02"), text, F.lit("\x03"))
-        for n in sizes:
-            places = F.when(F.char_length(framed) >= n, F.sequence(F.lit(1), F.char_length(framed) - n + 1)).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(places, lambda i, text=framed, name=name, n=n: F.pmod(F.xxhash64(F.lit(name), F.substring(text, i, n)), F.lit(features)).cast("int")))
-    return F.concat(*parts)
+        places = F.when(F.char_length(framed) >= n, F.sequence(F.lit(1), F.char_length(framed) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(name), F.substring(framed, i, n)), F.lit(features)).cast("int"))
+
+    return F.concat(*[grams(name, text, n) for name, text in (("host", host_col), ("path", path_col)) for n in sizes])
 
 
 def fit(urls: DataFrame, sizes: tuple[int, ...] = (3, 4), features: int = 4096, strength: float = 0.01, most: int = 100_000) -> tuple[list[float], float]:
