@@ -7,17 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowloom.shared import shared_dir, written
 
 
-__all__ = ["blocks", "offsets", "shared_dir", "table", "utf8", "written"]
+__all__ = ["blocks", "literal_rows", "offsets", "shared_dir", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A small table of equally long lists of values, made by the JVM alone."""
+    zipped = F.arrays_zip(*[F.lit(v).alias(c) for c, v in columns.items()])
+    return spark.range(0, 1, 1, 1).select(F.explode(zipped).alias("r")).select(*[F.col("r")[c].alias(c) for c in columns])
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each, and a row at least: bounds what numpy holds, never cuts a text."""
     for batch in batches:

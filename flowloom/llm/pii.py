@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import table
+from flowloom.llm.common import literal_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive repetition. Where a match could begin inside a run of its first part, \G stands for the end of the match before.
@@ -174,7 +174,7 @@ def train(spans: DataFrame) -> tuple[list[float], float]:
         return [0.0] * len(FEATURES), -1.0
     _, _, chance = reliabilities(patterns)
     rows = [(*map(float, v), label, c * w) for (v, c), q in zip(patterns, chance, strict=True) for label, w in ((1.0, q), (0.0, 1 - q)) if c * w > 0]
-    data = spans.sparkSession.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", label double, weight double").coalesce(1)
+    data = literal_rows(spans.sparkSession, {c: [r[i] for r in rows] for i, c in enumerate((*FEATURES, "label", "weight"))})
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
     model = LogisticRegression(maxIter=50, regParam=0.001, weightCol="weight", standardization=False).fit(data)
     return [float(x) for x in model.coefficients], float(model.intercept)

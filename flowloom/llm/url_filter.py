@@ -17,7 +17,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import table
+from flowloom.llm.common import literal_rows, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -34,7 +34,7 @@ def labelled(spark: SparkSession) -> DataFrame:
             end, lang = ("com", "net", "org")[i % 3], ("en", "fr", "de", "es")[i % 4]
             rows += [(f"https://{w}.example.{end}/{lang}/{1000 + 37 * i}", label), (f"http://m.{w}.example.{end}/{lang}/{20000 + 911 * i}.html", label), (f"https://www.{w}{i}.{end}/index.html?page={i}", label)]
             rows += [(f"http://site{i}.example.{end}/{w}/{i}", label), (f"https://blog.{names[i - 1]}-{w}.{end}/{lang}/{7 * i}/", label)]
-    return spark.createDataFrame(rows, "url string, label int")
+    return literal_rows(spark, {"url": [u for u, _ in rows], "label": [n for _, n in rows]})
 
 
 def host(url: Column) -> Column:
