@@ -170,19 +170,15 @@ def prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
     return rows.select("id", "n", "c", "stray", "partner", "shingles").mapInArrow(run, f"token bigint, id {kind}, n bigint, c {kind}, stray boolean, left bigint")
 
 
-def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
-    """id and the smallest id reachable over links (a, b), for the ids in links. label: (id, component) that earlier links gave.
+def components(links: DataFrame) -> DataFrame:
+    """id and the smallest id reachable over links (a, b), for the ids in links.
 
     Each round an id takes the smallest label around it, then that label's own label; rounds grow with the logarithm
     of a chain's length. What each round has is written to the shared folder.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    if label is not None:
-        joined = label.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
-        both = both.unionByName(joined).unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
-    both, now = written(both, "links"), written(now, "label")
+    both = written(both, "links")
+    now = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")), "label")
     while True:
         around = both.join(now, both["b"] == now["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = now.join(around, "id", "left").select("id", "component", F.least("component", "near").alias("low"))
@@ -193,6 +189,17 @@ def components(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
             return now
 
 
+def joined(links: DataFrame, label: DataFrame) -> DataFrame:
+    """label (id, component) after further links: only the pairs of components that they connect go through components()."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    label = written(label.unionByName(ends.join(label, "id", "left_anti").withColumn("component", F.col("id"))), "label")
+    la = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    pairs = links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    higher = components(pairs).select(F.col("id").alias("component"), F.col("component").alias("low"))
+    return written(label.join(higher, "component", "left").select("id", F.coalesce("low", "component").alias("component")), "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, groups: int = 14, width: int = 3, broadcast_ids: int = 2_000_000) -> DataFrame:
     """id, n_shingles, component_id, kept for each row. Links: 100 * intersection >= percent * union, on full sets.
 
@@ -236,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     more = written(linked(apart), "linked")
-    label = written(components(more, label).unionByName(label).groupBy("id").agg(F.min("component").alias("component")), "label")
+    label = joined(more, label)
 
     # Keys whose members are not yet one component: sets outside the key's largest one are held against all others by
     # exact prefix filtering, whatever keys they share. partner: the least size of a set in a key with this one.
@@ -255,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = x.join(y, "token").where(near).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
     last = written(linked(rest), "linked")
     if last.limit(1).count():
-        label = components(last, label).unionByName(label).groupBy("id").agg(F.min("component").alias("component"))
+        label = joined(last, label)
 
     whole = reps.join(label, reps["rep"] == label["id"], "left").select("whole", F.coalesce("component", "rep").alias("component"))
     out = marks.select("id", "n", "whole").join(whole, "whole", "left")
