@@ -71,11 +71,12 @@ def month_name(code: Column) -> Column:
 
 def percent_text(x: Column, digits: int = 2) -> Column:
     """A share as `12.34%`; N/A where missing."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", F.nanvl(x, F.lit(None).cast("double")) * 100), F.lit("%")), F.lit("N/A"))
+    return number_text(x * 100, digits, "%")
 
 
 def number_text(x: Column, digits: int = 4, unit: str = "") -> Column:
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", F.nanvl(x, F.lit(None).cast("double"))), F.lit(unit)), F.lit("N/A"))
+    shown = F.concat(F.format_string(f"%.{digits}f", x), F.lit(unit))
+    return F.when(x.isNotNull() & ~F.isnan(x), shown).otherwise("N/A")
 
 
 def unwrapped(values: Column) -> Column:
