@@ -34,6 +34,7 @@ def labelled(spark: SparkSession) -> DataFrame:
             end, lang = ("com", "net", "org")[i % 3], ("en", "fr", "de", "es")[i % 4]
             rows += [(f"https://{w}.example.{end}/{lang}/{1000 + 37 * i}", label), (f"http://m.{w}.example.{end}/{lang}/{20000 + 911 * i}.html", label), (f"https://www.{w}{i}.{end}/index.html?page={i}", label)]
             rows += [(f"http://site{i}.example.{end}/{w}/{i}", label), (f"https://blog.{names[i - 1]}-{w}.{end}/{lang}/{7 * i}/", label)]
+            rows += [(f"https://www.place{i}.{end}/{lang}/{w}.html", label), (f"http://portal{7 * i}.example.{end}/{w}/{lang}/", label), (f"https://cdn.{w}.{end}/a/{i}.js", label)]
     return literal_rows(spark, {"url": [u for u, _ in rows], "label": [n for _, n in rows]})
 
 
