@@ -10,7 +10,8 @@ Each task packs its rows in blocks of at most `block` pieces, so there is no shu
 no group is gathered; a block's last sequences shrink like all others. A task that runs again packs the same rows in
 the same way.
 
-Cases: a null or negative length counts as 0; a length of 0 takes a place in a sequence with no room used. Ties in
+Cases: a null or negative length counts as 0; a length of 0 goes where there
+is least room left, or opens a sequence. Ties in
 length go by order in the block. Repeated rows are packed each for itself. An empty table gives no rows. Other columns
 are not looked at.
 """

@@ -316,7 +316,7 @@ def test_best_fit_is_the_naive_one():
     rng = random.Random(6)
     for _ in range(100):
         costs = packing.Costs((8, 16, 32), rng.choice([0, 2, 10]), rng.choice([10, 1000]))
-        lengths = [rng.randint(0, 32) for _ in range(rng.randint(0, 40))]
+        lengths = [rng.randint(1, 32) for _ in range(rng.randint(0, 40))]
         where, start, final = packing.best_fit(np.array(lengths, np.int64), costs)
         got = {}
         for i, (w, s, f) in enumerate(zip(where.tolist(), start.tolist(), final.tolist(), strict=True)):
@@ -327,6 +327,11 @@ def test_best_fit_is_the_naive_one():
         assert sorted((tuple(sorted(i for _, _, i in rows)), size) for (_, size), rows in got.items()) == naive_best_fit(lengths, costs)
 
 
+def test_pieces_of_no_length():
+    where, start, final = packing.best_fit(np.array([0, 5, 0], np.int64), packing.Costs((8, 16), 0, 100))
+    assert where.tolist() == [0, 0, 0] and sorted(start.tolist()) == [0, 5, 5] and set(final.tolist()) == {8}
+
+
 def test_packing_keeps_every_byte(spark):
     docs = table(spark, TEXTS + ["y" * 40000]).repartition(3)
     for block in (3, 50_000):
