@@ -168,7 +168,9 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 5
 
 def train(spans: DataFrame) -> tuple[list[float], float]:
     """Weights of FEATURES and intercept of the span classifier. spans: a column `candidates`."""
-    one = spans.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).count()
+    # The outer form: else a filter on the list's size is put below and works the candidates out once more.
+    each = spans.select(F.explode_outer("candidates").alias("c")).where("c IS NOT NULL")
+    one = each.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).count()
     patterns = [(tuple(r[f] for f in FEATURES), float(r["count"])) for r in one.orderBy(*FEATURES).collect()]
     if not patterns:
         return [0.0] * len(FEATURES), -1.0
