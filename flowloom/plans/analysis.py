@@ -10,7 +10,7 @@ from flowloom.operators import counterfactual as C
 from flowloom.operators import experiments, indicators, losses, metrics, ports, predictor, shocks, traversal
 from flowloom.operators import features as N
 from flowloom.operators.edges import endpoints
-from flowloom.plans.network import LABELS, LARGE, NODE, OTHER, YEAR, edges_of, nodes, rounded
+from flowloom.plans.network import FLOORS, LABELS, LARGE, NODE, OTHER, YEAR, edges_of, nodes, rounded
 from flowloom.plans.sql import EDGES, NODES, Queries
 from flowloom.sources import trade
 
@@ -325,33 +325,33 @@ r AS (SELECT *, a - b AS change, (a - b) / (b + 1e-8) * 100 AS pct, CASE WHEN so
 """
 
 
-def both_runs(spark, sf_dir) -> DataFrame:
+def both_runs(spark, sf_dir, whole: bool = False) -> DataFrame:
     """source, target, value_t, distance, baseline_delta, shocked_delta."""
     rows = predictions(spark, sf_dir).where(F.col("year") == YEAR)
-    large = edges_of(spark, sf_dir).where(F.col("value") >= LARGE)
-    level = traversal.hops(large, spark.createDataFrame([(NODE,), (OTHER,)], "node string"), 2)
+    links = edges_of(spark, sf_dir).where(F.lit(whole) | (F.col("value") >= LARGE))
+    level = traversal.hops(links, spark.createDataFrame([(NODE,), (OTHER,)], "node string"), 2)
     distance = F.least(F.lit(3), F.coalesce("hops", F.lit(3)))
     rows = rows.join(level.withColumnRenamed("node", "source"), "source", "left").withColumn("distance", distance)
     return rows.select("source", "target", "value_t", "distance", F.col("pred").alias("baseline_delta"), (F.col("pred") - 0.3 / (1 + F.col("distance")) * F.least(F.lit(1.0), F.col("value_t") / 100000)).alias("shocked_delta"))
 
 
-def shock(spark, sf_dir) -> DataFrame:
-    return C.simulate_shock(both_runs(spark, sf_dir), [NODE, OTHER], 0.5)
+def shock(spark, sf_dir, whole: bool = False) -> DataFrame:
+    return C.simulate_shock(both_runs(spark, sf_dir, whole), [NODE, OTHER], 0.5)
 
 
 @query(SHOCK + "SELECT source, target, round(b, 4) AS baseline_value_t1, round(a, 4) AS shocked_value_t1, round(change, 4) AS absolute_change, round(pct, 6) AS pct_change FROM r")
-def shock_results_SH3(spark, sf_dir):
-    out = shock(spark, sf_dir).select("source", "target", "baseline_value_t1", "shocked_value_t1", "absolute_change", "pct_change")
+def shock_results_SH3(spark, sf_dir, whole=False):
+    out = shock(spark, sf_dir, whole).select("source", "target", "baseline_value_t1", "shocked_value_t1", "absolute_change", "pct_change")
     return rounded(rounded(out, 4, "baseline_value_t1", "shocked_value_t1", "absolute_change"), 6, "pct_change")
 
 
 @query(SHOCK + "SELECT source, target, split_part(source, '_', 1) AS source_country, split_part(target, '_', 2) AS target_sector, edge_type FROM r")
-def shock_edge_type_SH4(spark, sf_dir):
-    return shock(spark, sf_dir).select("source", "target", "source_country", "target_sector", "edge_type")
+def shock_edge_type_SH4(spark, sf_dir, whole=False):
+    return shock(spark, sf_dir, whole).select("source", "target", "source_country", "target_sector", "edge_type")
 
 
 def rollup(key: str):
-    return lambda spark, sf_dir: rounded(rounded(C.impact_by(shock(spark, sf_dir), key).withColumnRenamed(key, "key"), 4, "total_change", "value_t"), 6, "mean_pct")
+    return lambda spark, sf_dir, whole=False: rounded(rounded(C.impact_by(shock(spark, sf_dir, whole), key).withColumnRenamed(key, "key"), 4, "total_change", "value_t"), 6, "mean_pct")
 
 
 ROLLED = "round(sum(change), 4) AS total_change, round(avg(pct), 6) AS mean_pct, round(sum(value_t), 4) AS value_t"
@@ -361,35 +361,35 @@ for _name, _key, _sql in (("shock_country_A11", "target_country", "split_part(ta
 
 
 @query(SHOCK + f"""SELECT 'country' AS level, split_part(target, '_', 1) AS key, {ROLLED} FROM r GROUP BY key UNION ALL SELECT 'sector', split_part(target, '_', 2) AS key, {ROLLED} FROM r GROUP BY key UNION ALL SELECT 'node', target AS key, {ROLLED} FROM r GROUP BY key""")
-def shock_impacts_SH6(spark, sf_dir):
-    return rounded(rounded(C.impacts(shock(spark, sf_dir)), 4, "total_change", "value_t"), 6, "mean_pct")
+def shock_impacts_SH6(spark, sf_dir, whole=False):
+    return rounded(rounded(C.impacts(shock(spark, sf_dir, whole)), 4, "total_change", "value_t"), 6, "mean_pct")
 
 
 @query(SHOCK + "SELECT edge_type, count(*) AS edges, round(sum(value_t), 4) AS value_t, round(avg(pct), 6) AS mean_pct, round(sum(change), 4) AS total_change, round(median(pct), 6) AS median_pct FROM r WHERE edge_type <> 'indirect' GROUP BY edge_type")
-def shock_blocks_A12(spark, sf_dir):
-    return rounded(rounded(C.direct_blocks(shock(spark, sf_dir)), 4, "value_t", "total_change"), 6, "mean_pct", "median_pct")
+def shock_blocks_A12(spark, sf_dir, whole=False):
+    return rounded(rounded(C.direct_blocks(shock(spark, sf_dir, whole)), 4, "value_t", "total_change"), 6, "mean_pct", "median_pct")
 
 
 @query(SHOCK + "SELECT count(*) AS edges, count(*) FILTER (abs(pct) > 1) AS over_1_pct, count(*) FILTER (abs(pct) > 5) AS over_5_pct, count(*) FILTER (abs(pct) > 10) AS over_10_pct, round(max(abs(pct)), 6) AS greatest, round(avg(pct), 6) AS mean_pct, round(stddev_samp(pct), 6) AS deviation FROM r WHERE edge_type = 'indirect'")
-def shock_indirect_A13(spark, sf_dir):
-    return rounded(C.indirect_block(shock(spark, sf_dir)), 6, "greatest", "mean_pct", "deviation")
+def shock_indirect_A13(spark, sf_dir, whole=False):
+    return rounded(C.indirect_block(shock(spark, sf_dir, whole)), 6, "greatest", "mean_pct", "deviation")
 
 
 @query(SHOCK + "SELECT source, target, edge_type, round(abs(change), 4) AS abs_change FROM r ORDER BY abs(change) DESC, source, target LIMIT 15")
-def shock_top15_T6(spark, sf_dir):
-    return rounded(C.strongest(shock(spark, sf_dir), 15).select("source", "target", "edge_type", "abs_change"), 4, "abs_change")
+def shock_top15_T6(spark, sf_dir, whole=False):
+    return rounded(C.strongest(shock(spark, sf_dir, whole), 15).select("source", "target", "edge_type", "abs_change"), 4, "abs_change")
 
 
 @query(SHOCK + f"""SELECT '{NODE},{OTHER}' AS shocked_nodes, -0.5::DOUBLE AS magnitude, count(*) AS total_edges, count(*) FILTER (edge_type = 'direct_outgoing') AS direct_outgoing, count(*) FILTER (edge_type = 'direct_incoming') AS direct_incoming, count(*) FILTER (edge_type = 'indirect') AS indirect,
 round(sum(change), 4) AS total_impact, round(avg(pct), 6) AS mean_pct_change, round(median(pct), 6) AS median_pct_change, count(*) FILTER (abs(pct) > 1) AS edges_affected_1pct, count(*) FILTER (abs(pct) > 5) AS edges_affected_5pct, count(*) FILTER (abs(pct) > 10) AS edges_affected_10pct FROM r""")
-def shock_summary_SH8(spark, sf_dir):
-    out = C.shock_summary(shock(spark, sf_dir), [NODE, OTHER], 0.5)
+def shock_summary_SH8(spark, sf_dir, whole=False):
+    out = C.shock_summary(shock(spark, sf_dir, whole), [NODE, OTHER], 0.5)
     return rounded(rounded(out, 4, "total_impact"), 6, "mean_pct_change", "median_pct_change")
 
 
 @query(SHOCK + f"SELECT round(avg(eff0) FILTER (source IN (FROM l0)), 8) AS direct_effect_mean, round(avg(eff0) FILTER (source NOT IN (FROM l0)), 8) AS indirect_effect_mean, count(*) FILTER (abs(eff0) > 0.01) AS total_affected_edges FROM r")
-def effect_summary_ML5(spark, sf_dir):
-    return rounded(C.effect_summary(both_runs(spark, sf_dir), [NODE, OTHER]), 8, "direct_effect_mean", "indirect_effect_mean")
+def effect_summary_ML5(spark, sf_dir, whole=False):
+    return rounded(C.effect_summary(both_runs(spark, sf_dir, whole), [NODE, OTHER]), 8, "direct_effect_mean", "indirect_effect_mean")
 
 
 # Trials: each shocks the nodes whose place in the order of names has one remainder
@@ -405,42 +405,42 @@ ym AS (SELECT distance, avg(mean_effect) AS mean_effect, avg(pct_drops) AS pct_d
 """
 
 
-def decay(spark, sf_dir) -> DataFrame:
+def decay(spark, sf_dir, whole: bool = False) -> DataFrame:
     rows = predictions(spark, sf_dir)
-    large = trade.edges(spark, sf_dir).where((F.col("value") >= LARGE) & F.col("year").between(1997, 1999))
+    links = trade.edges(spark, sf_dir).where((F.lit(whole) | (F.col("value") >= LARGE)) & F.col("year").between(1997, 1999))
     index = N.node_index(endpoints(trade.edges(spark, sf_dir)))
     starts = index.select((F.col("idx") % TRIALS + 1).alias("trial"), "node").withColumn("year", F.explode(F.array(*[F.lit(y) for y in (1997, 1998, 1999)])))
-    level = traversal.hops(large, starts, 2, ("year", "trial"))
+    level = traversal.hops(links, starts, 2, ("year", "trial"))
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).join(level.withColumnRenamed("node", "source"), ["year", "trial", "source"], "left")
     distance = F.least(F.lit(3), F.coalesce("hops", F.lit(3)))
     return C.hop_decay(rows.select("year", "trial", distance.alias("distance"), (-0.3 / (1 + distance) * F.least(F.lit(1.0), F.col("value_t") / 100000)).alias("effect")))
 
 
 @query(DECAY + "SELECT year, trial, distance, n_edges, round(mean_effect, 8) AS mean_effect, round(median_effect, 8) AS median_effect, round(std_effect, 8) AS std_effect, round(pct_drops, 6) AS pct_drops, round(pct_significant, 6) AS pct_significant FROM dc")
-def hop_decay_A15(spark, sf_dir):
-    return rounded(rounded(decay(spark, sf_dir), 8, "mean_effect", "median_effect", "std_effect"), 6, "pct_drops", "pct_significant")
+def hop_decay_A15(spark, sf_dir, whole=False):
+    return rounded(rounded(decay(spark, sf_dir, whole), 8, "mean_effect", "median_effect", "std_effect"), 6, "pct_drops", "pct_significant")
 
 
 @query(DECAY + "SELECT year, distance, round(n_edges, 6) AS n_edges, round(mean_effect, 8) AS mean_effect, round(median_effect, 8) AS median_effect, round(pct_drops, 6) AS pct_drops, round(pct_significant, 6) AS pct_significant FROM tm")
-def trial_mean_A16(spark, sf_dir):
-    return rounded(rounded(C.over_trials(decay(spark, sf_dir)), 8, "mean_effect", "median_effect"), 6, "n_edges", "pct_drops", "pct_significant")
+def trial_mean_A16(spark, sf_dir, whole=False):
+    return rounded(rounded(C.over_trials(decay(spark, sf_dir, whole)), 8, "mean_effect", "median_effect"), 6, "n_edges", "pct_drops", "pct_significant")
 
 
 @query(DECAY + "SELECT distance, round(mean_effect, 8) AS mean_effect, round(pct_drops, 6) AS pct_drops FROM ym")
-def year_mean_A17(spark, sf_dir):
-    return rounded(rounded(C.over_years(C.over_trials(decay(spark, sf_dir))), 8, "mean_effect"), 6, "pct_drops")
+def year_mean_A17(spark, sf_dir, whole=False):
+    return rounded(rounded(C.over_years(C.over_trials(decay(spark, sf_dir, whole))), 8, "mean_effect"), 6, "pct_drops")
 
 
 @query(DECAY + """, cb AS (SELECT avg(mean_effect) FILTER (year IN (1997, 1999)) AS c, avg(mean_effect) FILTER (year = 1998) AS b FROM tm WHERE distance = 1)
 SELECT round(c, 8) AS crisis_effect, round(b, 8) AS boom_effect, CASE WHEN abs(c) > abs(b) * 1.3 THEN 'stronger in crisis' WHEN abs(c) < abs(b) * 0.7 THEN 'weaker in crisis' WHEN c IS NOT NULL AND b IS NOT NULL THEN 'similar' END AS verdict FROM cb""")
-def crisis_boom_A18(spark, sf_dir):
-    return rounded(C.crisis_and_boom(C.over_trials(decay(spark, sf_dir)), (1997, 1999), (1998,)), 8, "crisis_effect", "boom_effect")
+def crisis_boom_A18(spark, sf_dir, whole=False):
+    return rounded(C.crisis_and_boom(C.over_trials(decay(spark, sf_dir, whole)), (1997, 1999), (1998,)), 8, "crisis_effect", "boom_effect")
 
 
 @query(DECAY + """, o AS (SELECT max(mean_effect) FILTER (distance = 0) AS d, max(mean_effect) FILTER (distance = 1) AS h FROM ym)
 SELECT round(d, 8) AS direct_effect, round(h, 8) AS hop1_effect, abs(d) > 0.01 AS responds, abs(h) > 0.005 AS propagates, CASE WHEN abs(h) > 0.005 THEN round(coalesce(h / nullif(d, 0), 0), 6) END AS ratio FROM o""")
-def verdict_SH10(spark, sf_dir):
-    out = C.verdicts(C.over_years(C.over_trials(decay(spark, sf_dir))))
+def verdict_SH10(spark, sf_dir, whole=False):
+    out = C.verdicts(C.over_years(C.over_trials(decay(spark, sf_dir, whole))))
     return rounded(rounded(out, 8, "direct_effect", "hop1_effect"), 6, "ratio")
 
 
@@ -469,3 +469,8 @@ def message_passing_ML1(spark, sf_dir):
     head = ([[0.05, -0.1, 0.02, 0.03, 0.01, -0.04, -0.01, 0.2, 0.1, -0.5]], [0.01])
     out = predictor.message_passing(state, rows, [layer], head, spark.createDataFrame([(NODE,)], "id string"))
     return out.select("source", "target", F.round("pred", 6).alias("pred"))
+
+
+# The whole job beside the queries above, whose SQL is kept: searches over all edges
+
+query.whole(FLOORS)
