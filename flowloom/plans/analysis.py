@@ -111,51 +111,51 @@ def median_fill_A5(spark, sf_dir):
 FLOWS = LABELS + ", flows AS (SELECT year, source, target, value_t, value_t1, ln(1 + value_t1) - ln(1 + value_t) AS target_delta FROM labels WHERE value_t > 0 AND year BETWEEN 1997 AND 1999), sh AS (SELECT *, (value_t1 - value_t) / (value_t + 1e-8) < -0.15 AS shocked FROM flows)"
 
 
-def flows(spark, sf_dir) -> DataFrame:
-    rows = N.label_trade_drops(trade.edges(spark, sf_dir).where("year BETWEEN 1996 AND 2000")).where("value_t > 0 AND year BETWEEN 1997 AND 1999")
+def flows(spark, sf_dir, whole: bool = False) -> DataFrame:
+    rows = N.label_trade_drops(trade.edges(spark, sf_dir).where("true" if whole else "year BETWEEN 1996 AND 2000")).where("value_t > 0").where("true" if whole else "year BETWEEN 1997 AND 1999")
     return shocks.with_target(rows.select("year", "source", "target", "value_t", "value_t1"))
 
 
 @query(FLOWS + "SELECT year, source, target, shocked FROM sh")
-def edge_shock_M1(spark, sf_dir):
-    return shocks.edge_shocks(flows(spark, sf_dir)).select("year", "source", "target", "shocked")
+def edge_shock_M1(spark, sf_dir, whole=False):
+    return shocks.edge_shocks(flows(spark, sf_dir, whole)).select("year", "source", "target", "shocked")
 
 
 @query(FLOWS + """, n AS (SELECT year, source AS node FROM flows UNION SELECT year, target FROM flows), o AS (SELECT year, source AS node, count(*) FILTER (shocked) / (count(*) + 1e-8) > 0.2 AS s FROM sh GROUP BY ALL)
 SELECT n.year, n.node, coalesce(s, false) AS shocked FROM n LEFT JOIN o ON o.year = n.year AND o.node = n.node""")
-def node_shock_M2(spark, sf_dir):
-    rows = shocks.edge_shocks(flows(spark, sf_dir))
+def node_shock_M2(spark, sf_dir, whole=False):
+    rows = shocks.edge_shocks(flows(spark, sf_dir, whole))
     return shocks.node_shocks(rows, rows.select("year", F.explode(F.array("source", "target")).alias("node")).distinct())
 
 
 @query(FLOWS + "SELECT year, source, target, round(target_delta, 8) AS target_delta FROM flows")
-def target_delta_M6(spark, sf_dir):
-    return rounded(flows(spark, sf_dir).select("year", "source", "target", "target_delta"), 8, "target_delta")
+def target_delta_M6(spark, sf_dir, whole=False):
+    return rounded(flows(spark, sf_dir, whole).select("year", "source", "target", "target_delta"), 8, "target_delta")
 
 
 KINDS = FLOWS + ", k AS (SELECT year, count(*) FILTER (target_delta > 0.001) AS g, count(*) FILTER (target_delta < -0.001) AS d, count(*) FILTER (abs(target_delta) <= 0.001) AS z FROM flows GROUP BY year)"
 
 
 @query(KINDS + """, t AS (SELECT *, least(g, d) AS q FROM k) SELECT * FROM (SELECT year, 'gain' AS kind, q AS n FROM t UNION ALL SELECT year, 'drop', q FROM t UNION ALL SELECT year, 'neutral', least(z, floor(q * 0.1))::BIGINT FROM t) WHERE n > 0""")
-def balanced_sample_counts_M3(spark, sf_dir):
-    return shocks.balanced_sample(flows(spark, sf_dir), seed=3).groupBy("year", "kind").agg(F.count(F.lit(1)).alias("n"))
+def balanced_sample_counts_M3(spark, sf_dir, whole=False):
+    return shocks.balanced_sample(flows(spark, sf_dir, whole), seed=3).groupBy("year", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(KINDS + ", t AS (SELECT *, least(g, d) AS q FROM k) SELECT year, floor((q + q + least(z, floor(q * 0.1))) * 0.5)::BIGINT AS n FROM t")
-def balanced_part_M5(spark, sf_dir):
-    return shocks.balanced_sample(flows(spark, sf_dir), seed=3, part=0.5).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+def balanced_part_M5(spark, sf_dir, whole=False):
+    return shocks.balanced_sample(flows(spark, sf_dir, whole), seed=3, part=0.5).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(FLOWS + """, c AS (SELECT year, count(*) AS n, count(*) FILTER (shocked) AS s FROM sh GROUP BY year)
 SELECT year, s AS shocked, greatest(0, floor(n * 0.7)::BIGINT - s) AS normal FROM c""")
-def shock_sample_counts_M4(spark, sf_dir):
-    rows = shocks.shock_sample(shocks.edge_shocks(flows(spark, sf_dir)), 0.7, seed=5)
+def shock_sample_counts_M4(spark, sf_dir, whole=False):
+    rows = shocks.shock_sample(shocks.edge_shocks(flows(spark, sf_dir, whole)), 0.7, seed=5)
     return rows.groupBy("year").agg(F.count_if("shocked").alias("shocked"), F.count_if(~F.col("shocked")).alias("normal"))
 
 
 @query()
-def balanced_sample_M3(spark, sf_dir):
-    return shocks.balanced_sample(flows(spark, sf_dir), seed=3).select("year", "kind", "source", "target")
+def balanced_sample_M3(spark, sf_dir, whole=False):
+    return shocks.balanced_sample(flows(spark, sf_dir, whole), seed=3).select("year", "kind", "source", "target")
 
 
 @query()
@@ -175,12 +175,12 @@ PRED = EDGES + """, pr AS (SELECT t.year, t.source, t.target, t.value AS value_t
 """
 
 
-def predictions(spark, sf_dir) -> DataFrame:
+def predictions(spark, sf_dir, whole: bool = False) -> DataFrame:
     """year, source, target, value_t, value_t1, pred, target_delta: one aggregation deals each edge to the three years that it matters in."""
-    rows = trade.edges(spark, sf_dir).where("year BETWEEN 1996 AND 2000")
+    rows = trade.edges(spark, sf_dir).where("true" if whole else "year BETWEEN 1996 AND 2000")
     dealt = rows.select("source", "target", "value", F.explode(F.array(*[F.struct((F.col("year") + k).alias("year"), F.lit(k).alias("k")) for k in (-1, 0, 1)])).alias("d")).select("source", "target", "value", "d.*")
     at = lambda k: F.sum(F.when(F.col("k") == k, F.col("value")))
-    sums = dealt.where("year BETWEEN 1997 AND 1999").groupBy("year", "source", "target").agg(at(1).alias("p"), at(0).alias("value_t"), at(-1).alias("value_t1")).where("value_t IS NOT NULL AND value_t1 IS NOT NULL")
+    sums = dealt.where("true" if whole else "year BETWEEN 1997 AND 1999").groupBy("year", "source", "target").agg(at(1).alias("p"), at(0).alias("value_t"), at(-1).alias("value_t1")).where("value_t IS NOT NULL AND value_t1 IS NOT NULL")
     return shocks.with_target(sums.withColumn("pred", clip(growth(F.col("value_t"), F.coalesce("p", F.lit(0.0))) * 0.5, -1.0, 1.0)).drop("p"))
 
 
@@ -188,9 +188,9 @@ SQUARE, WRONG = "(pred - target_delta) * (pred - target_delta)", "(sign(pred) <>
 
 
 def mean_loss(name: str, **params: float):
-    def run(spark, sf_dir):
+    def run(spark, sf_dir, whole=False):
         value = losses.loss(name, F.col("pred"), F.col("target_delta"), **params)
-        return predictions(spark, sf_dir).groupBy("year").agg(F.round(F.avg(value), 8).alias("loss"))
+        return predictions(spark, sf_dir, whole).groupBy("year").agg(F.round(F.avg(value), 8).alias("loss"))
 
     return run
 
@@ -207,20 +207,20 @@ for _name, _loss, _sql in (
 
 @query(PRED + f""", m AS (SELECT *, sqrt(value_t + 1) / avg(sqrt(value_t + 1)) OVER (PARTITION BY year) AS w FROM pr)
 SELECT year, round(avg({SQUARE} * exp({WRONG}) * greatest(0.1, least(10, w))), 8) AS loss FROM m GROUP BY year""")
-def loss_weighted_L3(spark, sf_dir):
-    return rounded(losses.weighted_sign(predictions(spark, sf_dir), "value_t"), 8, "loss")
+def loss_weighted_L3(spark, sf_dir, whole=False):
+    return rounded(losses.weighted_sign(predictions(spark, sf_dir, whole), "value_t"), 8, "loss")
 
 
 @query(PRED + f""", m AS (SELECT avg({SQUARE}) AS a, avg({SQUARE} * exp(0.5 * {WRONG})) AS b, avg({SQUARE} * exp({WRONG})) AS c, avg({SQUARE} * exp(2 * {WRONG})) AS d, avg({SQUARE} * (1 + {WRONG} * 0.5)) AS e, avg({SQUARE} * pow(sqrt({SQUARE} + 1e-8), 0.5) * exp({WRONG})) AS f, avg(1 - {WRONG}) AS right_sign, avg(abs(pred - target_delta)) AS mae FROM pr)
 SELECT loss, round(value, 8) AS value, round(value / a, 8) AS relative, round(right_sign, 8) AS direction_acc, round(mae, 8) AS mae FROM (SELECT *, unnest(['mse', 'sign_corrected alpha=0.5', 'sign_corrected alpha=1.0', 'sign_corrected alpha=2.0', 'focal gamma=1.0', 'hybrid']) AS loss, unnest([a, b, c, d, e, f]) AS value FROM m)""")
-def loss_compare_L6(spark, sf_dir):
-    return rounded(losses.compare_losses(predictions(spark, sf_dir)), 8, "value", "relative", "direction_acc", "mae")
+def loss_compare_L6(spark, sf_dir, whole=False):
+    return rounded(losses.compare_losses(predictions(spark, sf_dir, whole)), 8, "value", "relative", "direction_acc", "mae")
 
 
 @query(PRED + """, m AS (SELECT *, target_delta - pred AS e, exp(ln(1 + value_t) + pred) - 1 AS guess FROM pr)
 SELECT year, round(avg(e * e), 8) AS mse, round(sqrt(avg(e * e)), 8) AS rmse, round(avg(abs(e)), 8) AS mae, round(1 - sum(e * e) / (count(*) * var_pop(target_delta)), 8) AS r2, round(avg(abs(guess - value_t1) / greatest(abs(value_t1), 1e-6)) * 100, 6) AS mape, round(avg(2 * abs(guess - value_t1) / (abs(guess) + abs(value_t1) + 1e-6)) * 100, 6) AS smape FROM m GROUP BY year""")
-def metrics_regression_A22(spark, sf_dir):
-    return rounded(rounded(metrics.regression_metrics(predictions(spark, sf_dir)), 8, "mse", "rmse", "mae", "r2"), 6, "mape", "smape")
+def metrics_regression_A22(spark, sf_dir, whole=False):
+    return rounded(rounded(metrics.regression_metrics(predictions(spark, sf_dir, whole)), 8, "mse", "rmse", "mae", "r2"), 6, "mape", "smape")
 
 
 SIGNS = PRED + ", s AS (SELECT *, CASE WHEN abs(pred) < {eps} THEN 0 ELSE sign(pred) END AS sp, CASE WHEN abs(target_delta) < {eps} THEN 0 ELSE sign(target_delta) END AS st FROM pr)"
@@ -228,14 +228,14 @@ SIGNS = PRED + ", s AS (SELECT *, CASE WHEN abs(pred) < {eps} THEN 0 ELSE sign(p
 
 @query(SIGNS.replace("{eps}", "1e-3") + """, c AS (SELECT year, avg((sp = st)::INT) AS a, coalesce(avg((sp = st)::INT) FILTER (target_delta > 1e-3), 0) AS g, coalesce(avg((sp = st)::INT) FILTER (target_delta < -1e-3), 0) AS d, count(*) FILTER (sp < 0 AND st < 0) / (count(*) FILTER (sp < 0) + 1e-8) AS p, count(*) FILTER (sp < 0 AND st < 0) / (count(*) FILTER (st < 0) + 1e-8) AS r FROM s GROUP BY year)
 SELECT year, round(a, 8) AS direction_acc, round(g, 8) AS gain_dir_acc, round(d, 8) AS drop_dir_acc, round(p, 8) AS drop_precision, round(r, 8) AS drop_recall, round(2 * p * r / (p + r + 1e-8), 8) AS drop_f1 FROM c""")
-def metrics_direction_A23(spark, sf_dir):
-    out = metrics.direction_metrics(predictions(spark, sf_dir))
+def metrics_direction_A23(spark, sf_dir, whole=False):
+    out = metrics.direction_metrics(predictions(spark, sf_dir, whole))
     return rounded(out, 8, *out.columns[1:])
 
 
 @query(PRED + "SELECT year, " + ", ".join(f"round(avg(({c} {op})::INT), 8) AS {n}_{k}_frac" for n, c in (("target", "target_delta"), ("pred", "pred")) for k, op in (("neg", "< -1e-3"), ("pos", "> 1e-3"))) + ", " + ", ".join(f"round(avg((abs({c}) <= 1e-3)::INT), 8) AS {n}_zero_frac" for n, c in (("target", "target_delta"), ("pred", "pred"))) + " FROM pr GROUP BY year")
-def metrics_sign_dist_A24(spark, sf_dir):
-    out = metrics.sign_distribution(predictions(spark, sf_dir))
+def metrics_sign_dist_A24(spark, sf_dir, whole=False):
+    out = metrics.sign_distribution(predictions(spark, sf_dir, whole))
     return rounded(out, 8, *out.columns[1:])
 
 
@@ -249,16 +249,16 @@ EIGHT = ("direction_acc", "gain_dir_acc", "drop_dir_acc", "r2", "rmse", "mae", "
 
 
 @query(SIGNS.replace("{eps}", "1e-4") + f"SELECT year, {YEARLY} FROM s GROUP BY year")
-def metrics_year_A25(spark, sf_dir):
-    return rounded(rounded(metrics.year_metrics(predictions(spark, sf_dir)), 8, *EIGHT), 6, *SIX)
+def metrics_year_A25(spark, sf_dir, whole=False):
+    return rounded(rounded(metrics.year_metrics(predictions(spark, sf_dir, whole)), 8, *EIGHT), 6, *SIX)
 
 
 @query(PRED + ", e AS (SELECT *, CASE WHEN abs(pred) < 1e-3 THEN 0 ELSE sign(pred) END = CASE WHEN abs(target_delta) < 1e-3 THEN 0 ELSE sign(target_delta) END AS ok FROM pr) SELECT count(*) FILTER (ok) AS correct, count(*) AS total, round(count(*) FILTER (ok) / count(*), 8) AS direction_acc FROM e")
-def direction_total_A26(spark, sf_dir):
+def direction_total_A26(spark, sf_dir, whole=False):
     from flowloom.functions.scalar import dead_sign
 
     ok = dead_sign(F.col("pred"), 1e-3) == dead_sign(F.col("target_delta"), 1e-3)
-    out = predictions(spark, sf_dir).agg(F.count_if(ok).alias("correct"), F.count(F.lit(1)).alias("total"))
+    out = predictions(spark, sf_dir, whole).agg(F.count_if(ok).alias("correct"), F.count(F.lit(1)).alias("total"))
     return out.withColumn("direction_acc", F.round(F.col("correct") / F.col("total"), 8))
 
 
@@ -268,15 +268,15 @@ MODELS = {"half": 0.5, "quarter": 0.25, "flat": 0.0}
 MM = PRED + ", mp AS (SELECT year, unnest(['half', 'quarter', 'flat']) AS model, unnest([pred, pred * 0.5, 0.05]) AS pred, target_delta FROM pr), s AS (SELECT *, CASE WHEN abs(pred) < 1e-4 THEN 0 ELSE sign(pred) END AS sp, CASE WHEN abs(target_delta) < 1e-4 THEN 0 ELSE sign(target_delta) END AS st FROM mp)" + f", m AS (SELECT year, model, {YEARLY} FROM s GROUP BY year, model)"
 
 
-def model_metrics(spark, sf_dir) -> DataFrame:
+def model_metrics(spark, sf_dir, whole: bool = False) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), p.alias("pred")) for m, p in (("half", F.col("pred")), ("quarter", F.col("pred") * 0.5), ("flat", F.lit(0.05)))]))
-    rows = predictions(spark, sf_dir).select("year", "target_delta", each.alias("m")).select(F.struct("year", "m.model").alias("key"), "target_delta", "m.pred")
+    rows = predictions(spark, sf_dir, whole).select("year", "target_delta", each.alias("m")).select(F.struct("year", "m.model").alias("key"), "target_delta", "m.pred")
     out = metrics.year_metrics(rows, group="key").select("key.*", "*").drop("key")
     return rounded(rounded(out, 8, *EIGHT), 6, *SIX)
 
 
 def pivots(metric: str):
-    return lambda spark, sf_dir: experiments.model_pivot(model_metrics(spark, sf_dir), metric, list(MODELS))
+    return lambda spark, sf_dir, whole=False: experiments.model_pivot(model_metrics(spark, sf_dir, whole), metric, list(MODELS))
 
 
 for _m in experiments.METRICS:
@@ -285,19 +285,19 @@ for _m in experiments.METRICS:
 
 
 @query(MM + "SELECT model, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in experiments.METRICS) + " FROM m GROUP BY model")
-def model_mean_A19(spark, sf_dir):
-    return rounded(experiments.model_means(model_metrics(spark, sf_dir)), 6, *experiments.METRICS)
+def model_mean_A19(spark, sf_dir, whole=False):
+    return rounded(experiments.model_means(model_metrics(spark, sf_dir, whole)), 6, *experiments.METRICS)
 
 
 @query(MM + ", a AS (SELECT model, " + ", ".join(f"avg({c}) AS {c}" for c in experiments.METRICS) + " FROM m GROUP BY model)" + ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, model, {c} AS value, {-1 if c in experiments.LESS else 1} AS way FROM a" for c in experiments.METRICS) + ") SELECT metric, model, round(value, 6) AS value FROM u QUALIFY row_number() OVER (PARTITION BY metric ORDER BY round(value * way, 9) DESC, model) = 1")
-def best_model_A20(spark, sf_dir):
-    means = experiments.model_means(model_metrics(spark, sf_dir))
+def best_model_A20(spark, sf_dir, whole=False):
+    means = experiments.model_means(model_metrics(spark, sf_dir, whole))
     return rounded(experiments.best_models(rounded(means, 9, *experiments.METRICS)), 6, "value")
 
 
-def results(spark, sf_dir) -> DataFrame:
+def results(spark, sf_dir, whole: bool = False) -> DataFrame:
     """What results files hold: a row for each year, as if each were a loss."""
-    p = predictions(spark, sf_dir)
+    p = predictions(spark, sf_dir, whole)
     rows = metrics.regression_metrics(p).join(metrics.direction_metrics(p), "year").join(metrics.sign_distribution(p), "year")
     names = ("direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1", "r2", "rmse", "mae", "smape", "target_neg_frac", "pred_neg_frac")
     return rows.select(F.concat(F.lit("y"), "year").alias("loss"), F.struct(*[F.round(c, 8).alias(c) for c in names]).alias("test_metrics"), F.when(F.col("year") > 1997, F.col("year") - 1997).alias("best_epoch"))
@@ -306,13 +306,13 @@ def results(spark, sf_dir) -> DataFrame:
 @query(SIGNS.replace("{eps}", "1e-3") + """, m AS (SELECT *, exp(ln(1 + value_t) + pred) - 1 AS guess FROM s), c AS (SELECT year, round(avg((sp = st)::INT), 8) AS a, round(1 - sum(power(target_delta - pred, 2)) / (count(*) * var_pop(target_delta)), 8) AS r2, round(sqrt(avg(power(target_delta - pred, 2))), 8) AS rmse,
 round(avg(2 * abs(guess - value_t1) / (abs(guess) + abs(value_t1) + 1e-6)) * 100, 8) AS smape, round(avg((pred < -1e-3)::INT), 8) AS p FROM m GROUP BY year)
 SELECT 'y' || year AS loss, printf('%.2f', a * 100) || '%' AS direction_acc, printf('%.4f', r2) AS r2, printf('%.4f', rmse) AS rmse, printf('%.1f', smape) || '%' AS smape, printf('%.2f', p * 100) || '%' AS pred_neg_frac, CASE WHEN year > 1997 THEN CAST(year - 1997 AS VARCHAR) ELSE 'N/A' END AS best_epoch FROM c""")
-def metric_table_P11(spark, sf_dir):
-    return experiments.metric_table(results(spark, sf_dir)).select("loss", "direction_acc", "r2", "rmse", "smape", "pred_neg_frac", "best_epoch")
+def metric_table_P11(spark, sf_dir, whole=False):
+    return experiments.metric_table(results(spark, sf_dir, whole)).select("loss", "direction_acc", "r2", "rmse", "smape", "pred_neg_frac", "best_epoch")
 
 
 @query()
-def plot_metrics_S20(spark, sf_dir):
-    return experiments.plotted(results(spark, sf_dir))
+def plot_metrics_S20(spark, sf_dir, whole=False):
+    return experiments.plotted(results(spark, sf_dir, whole))
 
 
 # Counterfactual runs on 1998: the shock's effect falls with the distance and grows with the flow
@@ -327,7 +327,7 @@ r AS (SELECT *, a - b AS change, (a - b) / (b + 1e-8) * 100 AS pct, CASE WHEN so
 
 def both_runs(spark, sf_dir, whole: bool = False) -> DataFrame:
     """source, target, value_t, distance, baseline_delta, shocked_delta."""
-    rows = predictions(spark, sf_dir).where(F.col("year") == YEAR)
+    rows = predictions(spark, sf_dir, whole).where(F.col("year") == YEAR)
     links = edges_of(spark, sf_dir).where(F.lit(whole) | (F.col("value") >= LARGE))
     level = traversal.hops(links, spark.createDataFrame([(NODE,), (OTHER,)], "node string"), 2)
     distance = F.least(F.lit(3), F.coalesce("hops", F.lit(3)))
@@ -406,10 +406,10 @@ ym AS (SELECT distance, avg(mean_effect) AS mean_effect, avg(pct_drops) AS pct_d
 
 
 def decay(spark, sf_dir, whole: bool = False) -> DataFrame:
-    rows = predictions(spark, sf_dir)
-    links = trade.edges(spark, sf_dir).where((F.lit(whole) | (F.col("value") >= LARGE)) & F.col("year").between(1997, 1999))
+    rows = predictions(spark, sf_dir, whole)
+    links = trade.edges(spark, sf_dir).where(F.lit(whole) | ((F.col("value") >= LARGE) & F.col("year").between(1997, 1999)))
     index = N.node_index(endpoints(trade.edges(spark, sf_dir)))
-    starts = index.select((F.col("idx") % TRIALS + 1).alias("trial"), "node").withColumn("year", F.explode(F.array(*[F.lit(y) for y in (1997, 1998, 1999)])))
+    starts = index.select((F.col("idx") % TRIALS + 1).alias("trial"), "node").crossJoin(F.broadcast(rows.select("year").distinct()))
     level = traversal.hops(links, starts, 2, ("year", "trial"))
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).join(level.withColumnRenamed("node", "source"), ["year", "trial", "source"], "left")
     distance = F.least(F.lit(3), F.coalesce("hops", F.lit(3)))
@@ -455,8 +455,8 @@ def neighbour_mean_J16(spark, sf_dir):
 
 
 @query()
-def predictor_ML2(spark, sf_dir):
-    rows = predictions(spark, sf_dir).withColumns({"log_value": F.log1p("value_t"), "growth": F.col("pred")}).drop("pred")
+def predictor_ML2(spark, sf_dir, whole=False):
+    rows = predictions(spark, sf_dir, whole).withColumns({"log_value": F.log1p("value_t"), "growth": F.col("pred")}).drop("pred")
     model = predictor.EdgeRegression(["log_value", "growth"]).fit(rows.where("year < 1999"))
     return model.predict(rows).select("year", "source", "target", F.round("pred", 6).alias("pred"))
 
@@ -471,6 +471,7 @@ def message_passing_ML1(spark, sf_dir):
     return out.select("source", "target", F.round("pred", 6).alias("pred"))
 
 
-# The whole job beside the queries above, whose SQL is kept: searches over all edges
+# The whole job beside the queries above, whose SQL is kept: searches over all edges, and every year that has a successor
 
-query.whole(FLOORS)
+YEARS = (" AND year BETWEEN 1997 AND 1999", " WHERE year BETWEEN 1997 AND 1999", " WHERE t.year BETWEEN 1997 AND 1999")
+query.whole((*FLOORS, *YEARS), ("balanced_sample_M3", "plot_metrics_S20", "predictor_ML2"))

@@ -27,3 +27,16 @@ def test_cascade_has_no_floor(spark):
     out = {(r.source, r.target) for r in registry.queries()["cascade_G8_whole"](spark, sf).where("degree = 1").collect()}
     rows = network.edges_of(spark, sf).where(f"source = '{network.NODE}'").collect()
     assert out == {(r.source, r.target) for r in rows} and min(r.value for r in rows) < network.LARGE
+
+
+@pytest.mark.parametrize("name, kept", [("edge_shock_M1_whole", "all"), ("target_delta_M6_whole", "all"), ("metrics_year_A25_whole", "going on"), ("predictor_ML2_whole", "going on")])
+def test_every_year_with_a_successor(spark, name, kept):
+    edges = {(r.year, r.source, r.target) for r in network.all_edges(spark, SF).collect()}
+    years = {y for y, _, _ in edges}
+    want = {e for e in edges if (e[0] + 1 in years if kept == "all" else (e[0] + 1, *e[1:]) in edges)}
+    out = registry.queries()[name](spark, SF)
+    if "source" in out.columns:
+        assert {(r.year, r.source, r.target) for r in out.collect()} == want
+    else:
+        assert {r.year: r.n_samples for r in out.collect()} == {y: sum(e[0] == y for e in want) for y in {e[0] for e in want}}
+    assert {e[0] for e in want} > {1997, 1998, 1999}
