@@ -1,7 +1,8 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base: four patterns (e-mail, ip, card, phone) with their checks; their spans stay as they are. Candidates for more are
-the tokens with a digit that no base span covers. Labelers of three sorts vote on each token: patterns (its shape),
+the tokens that no base span covers and that have a digit, or letters behind a secret word or a sign (`=`, `:`; not the
+one of a URL's scheme), or are a name of the gazetteer, what follows one or what follows a title. Labelers of three sorts vote on each token: patterns (its shape),
 gazetteers (the words inside it or before it) and contexts (signs before it, base spans). Spark counts how often each
 pattern of votes and features occurs over all documents; the table of patterns is small by construction (see
 PATTERNS). Expectation-maximisation on it estimates each labeler's reliability and each pattern's chance of being
@@ -43,9 +44,25 @@ NEEDS = {
     "card": lambda text: text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
     "phone": lambda text: F.contains(text, F.lit("+")),
 }
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 #: Gazetteers. Ours.
-SECRET_WORDS = r"(?i)(?:^|[^a-z])(?:password|passwd|passphrase|pwd|secret|token|apikey|api[_-]?key|credential|auth|login|pin|ssn|iban|passport|account|licen[cs]e[_-]?key)(?:$|[^a-z])"
+WORDS = "password|passwd|passphrase|pwd|secret|token|apikey|api[_-]?key|credential|auth|login|pin|ssn|iban|passport|account|licen[cs]e[_-]?key"
+SECRET_WORDS = rf"(?i)(?:^|[^a-z])(?:{WORDS})(?:$|[^a-z])"
+NAMES = (
+    "Alice|Andrew|Anna|Anthony|Barbara|Carlos|Catherine|Charles|Christopher|Claire|Daniel|David|Elizabeth|Emily|Emma|Fatima|François|Françoise|Giovanni|Hans|Helen|Isabelle|James|Jennifer|Jessica|Johann|John|"
+    "José|Joseph|Juan|Jürgen|Karen|Katharina|Laura|Linda|Lucía|Margaret|María|Mary|Matthew|Michael|Mohammed|Nancy|Nicolas|Olivia|Patricia|Pedro|Peter|Philippe|Pierre|Rebecca|Richard|Robert|Sarah|Stefan|Steven|"
+    "Susan|Thomas|Ursula|William|Wolfgang"
+)
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Frau|Señor|Señora"
+#: Tokens with a digit; with letters behind a sign inside; with letters behind a sign or secret word before; names.
+LETTERS = r"[^\s\p{L}]*+\p{L}\S*+"
+CANDIDATE = (
+    rf"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[^\s=:]++[=:](?!//){LETTERS}|(?<=[=:]\s{{1,2}}){LETTERS}|(?<=(?<![A-Za-z])(?i:{WORDS})[\"']?\s{{1,2}}(?:(?:is|was)\s)?)(?!(?:is|was)\s){LETTERS}"
+    rf"|(?=[\"'(]?\p{{Lu}})[\"'(]?(?:{NAMES})(?!\p{{L}})(?:\s\p{{Lu}}|)\S*+|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{NAMES}|(?:{TITLES})\.?)\s)\p{{Lu}}\S*+)"
+)
+NAMED = rf"(?<!\p{{L}})(?:{NAMES}|(?:{TITLES})\.?)\s$"
+#: What stands before a value when it is beside a secret word, and when a sign or verb links the two.
+BESIDE = rf"(?i)(?:^|[^a-z])(?:{WORDS})[0-9]*[\"']?(?:\s*[=:]|\s+(?:is|was)\s|\s)\s*[\"']?$"
+LINKED = r"(?:[=:]\s*|\s(?:is|was)\s+)[\"']?$"
 PLAIN_WORDS = r"(?i)(?:^|[^a-z])(?:version|chapter|page|section|volume|figure|table|part|step|article|copyright|vol|no|line|item)(?:$|[^a-z])"
 #: Labelers, then features of shape: each is -1, 0 or 1, so there are at most 3**10 patterns.
 LABELERS = ("by_shape", "by_length", "by_secret_word", "by_plain_word", "by_sign", "by_base")
@@ -54,16 +71,16 @@ PATTERNS = 3 ** len(FEATURES)
 
 
 def pieces(text: Column, pattern: str) -> Column:
-    """array of struct (start, end, value, before) of the matches; before: the last 48 code points between it and the match in front."""
+    """array of struct (start, end, value, before, prior) of the matches; before: the last 48 code points between it and the match in front, prior: of that match and these."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.greatest(F.size(values), F.lit(0))).alias("gap"))
-    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string>>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("spans")).cast(kind)
+    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string,prior:string>>>"
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,prior:string>>").alias("spans")).cast(kind)
 
     def step(held: Column, pair: Column) -> Column:
         start = held["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(48)).alias("before"))
+        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(48)).alias("before"), F.right(F.concat(F.coalesce(F.try_element_at(held["spans"], F.lit(-1))["value"], F.lit("")), pair["gap"]), F.lit(48)).alias("prior"))
         return F.struct(end.alias("at"), F.concat(held["spans"], F.array(one)).alias("spans")).cast(kind)
 
     return F.aggregate(pairs, first, step, lambda held: held["spans"])
@@ -113,34 +130,43 @@ def vote(yes: Column, no: Column | None = None) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array of struct (start, end, base, features): tokens with a digit, their votes and shapes. A leading `word=` or quote is part of the token, not of the span."""
+    """array of struct (start, end, base, features): tokens, their votes and shapes. A leading `word=` or quote is part of the token, not of the span."""
 
     def one(m: Column) -> Column:
         value = m["value"]
-        core = F.regexp_extract(value, r"([A-Za-z0-9][A-Za-z0-9_./+-]*+)[^A-Za-z0-9]*$", 1)
-        cut = F.regexp_extract(value, r"([^A-Za-z0-9]*)$", 1)
+        letters = ~value.rlike("[0-9]")
+
+        def either(word: Column, other: Column) -> Column:
+            return F.when(letters, word).otherwise(other)
+
+        core = either(F.regexp_extract(value, r"(\p{L}[^=:\"'<>(),;\[\]{}]*+)[^\p{L}]*$", 1), F.regexp_extract(value, r"([A-Za-z0-9][A-Za-z0-9_./+-]*+)[^A-Za-z0-9]*$", 1))
+        cut = either(F.regexp_extract(value, r"([^\p{L}]*)$", 1), F.regexp_extract(value, r"([^A-Za-z0-9]*)$", 1))
         end = m["end"] - F.char_length(cut)
-        start = end - F.char_length(F.regexp_replace(core, r"[^A-Za-z0-9]+$", ""))
-        near = F.concat(F.right(m["before"], F.lit(24)), F.lit(" "), F.regexp_replace(value, r"[=:].*$", "="))
+        start = end - F.char_length(either(F.regexp_replace(core, r"[^\p{L}]+$", ""), F.regexp_replace(core, r"[^A-Za-z0-9]+$", "")))
+        head = F.regexp_replace(value, r"[=:].*$", "=")
+        near = F.concat(F.right(m["before"], F.lit(24)), F.lit(" "), head)
+        ahead = F.concat(m["prior"], F.when(value.rlike("[=:]"), head).otherwise(F.lit("")))
+        beside, linked = ahead.rlike(BESIDE), ahead.rlike(LINKED)
+        name = letters & (core.rlike(rf"^(?:{NAMES})(?!\p{{L}})") | (ahead.rlike(NAMED) & core.rlike(r"^\p{Lu}"))) & ~beside
         n, d = F.char_length(core), F.char_length(digits(core))
         inside = F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
         mixed = core.rlike("[A-Za-z]") & core.rlike("[0-9]")
         return F.struct(
             start.cast("int").alias("start"), end.cast("int").alias("end"), inside.alias("base"),
-            vote(inside | core.rlike(r"^[A-Za-z0-9_-]{16,}$") | core.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), core.rlike(r"^[0-9]{1,4}$") | core.rlike(r"^[0-9]+(?:[.,][0-9]+)+$")).alias("by_shape"),
-            vote(n >= 10, n <= 5).alias("by_length"),
-            vote(near.rlike(SECRET_WORDS)).alias("by_secret_word"),
-            vote(F.lit(False), near.rlike(PLAIN_WORDS)).alias("by_plain_word"),
-            vote(near.rlike(r"[=:]\s*\"?\s*$"), near.rlike(r"[a-z],?\s+$") & (n <= 5)).alias("by_sign"),
-            vote(inside, (d <= 2) & ~inside).alias("by_base"),
-            vote(mixed, ~core.rlike("[A-Za-z]")).alias("letters_and_digits"),
-            vote(n >= 14, n <= 8).alias("long"),
+            vote(inside | (letters & (name | (beside & linked))) | core.rlike(r"^[A-Za-z0-9_-]{16,}$") | core.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), core.rlike(r"^[0-9]{1,4}$") | core.rlike(r"^[0-9]+(?:[.,][0-9]+)+$") | letters).alias("by_shape"),
+            vote((n >= 10) & ~name, (n <= 5) & ~name).alias("by_length"),
+            vote(either(beside | name, near.rlike(SECRET_WORDS))).alias("by_secret_word"),
+            vote(F.lit(False), either(~(beside & linked) & ~name, near.rlike(PLAIN_WORDS))).alias("by_plain_word"),
+            vote(either(linked & ~name, near.rlike(r"[=:]\s*\"?\s*$")), either(~name, near.rlike(r"[a-z],?\s+$") & (n <= 5))).alias("by_sign"),
+            vote(inside, (d <= 2) & ~inside & ~letters).alias("by_base"),
+            vote(mixed, either(F.lit(False), ~core.rlike("[A-Za-z]"))).alias("letters_and_digits"),
+            vote((n >= 14) & ~name, (n <= 8) & ~name).alias("long"),
             vote(value.rlike("[\"']")).alias("quoted"),
             vote(core.rlike("^[0-9]+$")).alias("number_only"),
         )
 
     kind = f"array<struct<start:int,end:int,base:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
-    return F.when(text.rlike("[0-9]"), F.transform(pieces(text, CANDIDATE), one).cast(kind)).otherwise(F.array().cast(kind))
+    return F.transform(pieces(text, CANDIDATE), one).cast(kind)
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[list[dict], float, list[float]]:
@@ -188,7 +214,7 @@ def found(docs: DataFrame, text_col: str = "text", model: tuple[list[float], flo
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("the_text"))
     rows = rows.withColumn("base", base_spans(F.col("the_text")))
     rows = rows.withColumn("candidates", candidates(F.col("the_text"), F.col("base")))
-    weights, intercept = model or train(rows.where(F.col("the_text").rlike("[0-9]")))
+    weights, intercept = model or train(rows)
 
     def score(c: Column) -> Column:
         out = F.lit(intercept)
