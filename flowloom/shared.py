@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset, as in local tests."""
+    """spark.checkpoint.dir of the session; where that is unset a folder of our own on a local master, as in tests, and an error on any other."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = f"{tempfile.gettempdir()}/flowloom-shared"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
