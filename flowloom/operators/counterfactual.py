@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import country, relative_change, sector_token
+from flowloom.operators.quantiles import exact_median
 
 #: Mean shock of the training data, by which effects are scaled. Fixed value.
 TYPICAL = -0.175
@@ -58,7 +59,8 @@ def impacts(result: DataFrame) -> DataFrame:
 def direct_blocks(result: DataFrame) -> DataFrame:
     """For each of the three direct types that occurs: edges, value, mean and median percentage, total change."""
     rows = result.where("edge_type <> 'indirect'")
-    return rows.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("value_t").alias("value_t"), F.avg("pct_change").alias("mean_pct"), F.sum("absolute_change").alias("total_change"), F.median("pct_change").alias("median_pct"))
+    sums = rows.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("value_t").alias("value_t"), F.avg("pct_change").alias("mean_pct"), F.sum("absolute_change").alias("total_change"))
+    return sums.join(exact_median(rows, ["edge_type"], "pct_change", "median_pct"), "edge_type")
 
 
 def indirect_block(result: DataFrame) -> DataFrame:
@@ -71,7 +73,10 @@ def shock_summary(result: DataFrame, shocked: list[str], magnitude: float) -> Da
     """One row of twelve fields."""
     kinds = [F.count_if(F.col("edge_type") == k).alias(k) for k in ("direct_outgoing", "direct_incoming", "indirect")]
     over = [F.count_if(F.abs("pct_change") > k).alias(f"edges_affected_{k}pct") for k in (1, 5, 10)]
-    return result.agg(F.lit(",".join(shocked)).alias("shocked_nodes"), F.lit(-abs(magnitude)).alias("magnitude"), F.count(F.lit(1)).alias("total_edges"), *kinds, F.sum("absolute_change").alias("total_impact"), F.avg("pct_change").alias("mean_pct_change"), F.median("pct_change").alias("median_pct_change"), *over)
+    one = result.agg(F.lit(",".join(shocked)).alias("shocked_nodes"), F.lit(-abs(magnitude)).alias("magnitude"), F.count(F.lit(1)).alias("total_edges"), *kinds, F.sum("absolute_change").alias("total_impact"), F.avg("pct_change").alias("mean_pct_change"), *over)
+    middle = exact_median(result.withColumn("one", F.lit(1)), ["one"], "pct_change", "median_pct_change")
+    at = one.columns.index("mean_pct_change") + 1
+    return one.withColumn("one", F.lit(1)).join(middle, "one", "left").select(*one.columns[:at], "median_pct_change", *one.columns[at:])
 
 
 def effect_summary(rows: DataFrame, shocked: list[str], least: float = 0.01) -> DataFrame:
@@ -82,11 +87,13 @@ def effect_summary(rows: DataFrame, shocked: list[str], least: float = 0.01) ->
 
 def hop_decay(effects: DataFrame, keys: tuple[str, ...] = ("year", "trial")) -> DataFrame:
     """keys, distance: edges, mean, lower median, sample deviation, percentage of drops (under -0.01) and of marked effects (over 0.01 either way)."""
-    e = F.col("effect")
-    return effects.groupBy(*keys, "distance").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.avg(e).alias("mean_effect"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY effect)").alias("median_effect"),
+    e, group = F.col("effect"), [*keys, "distance"]
+    sums = effects.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_edges"), F.avg(e).alias("mean_effect"),
         F.stddev_samp(e).alias("std_effect"), (F.avg((e < -0.01).cast("double")) * 100).alias("pct_drops"), (F.avg((F.abs(e) > 0.01).cast("double")) * 100).alias("pct_significant"),
     )
+    middle = exact_median(effects, group, "effect", "median_effect", lower=True)
+    return sums.join(middle, group).select(*group, "n_edges", "mean_effect", "median_effect", "std_effect", "pct_drops", "pct_significant")
 
 
 def over_trials(decay: DataFrame, keys: tuple[str, ...] = ("year",)) -> DataFrame:

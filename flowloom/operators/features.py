@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import clip, growth, log_change, year_code
+from flowloom.shared import written
 
 NODE_BASE = ("in_strength", "out_strength", "in_degree", "out_degree")
 NODE_LAG = ("out_strength_growth", "in_strength_growth", "out_strength_lag1", "in_strength_lag1")
@@ -146,11 +147,12 @@ def build_graph(edges: DataFrame, first_year: int, threshold: float = 0.1, max_l
     Strengths and shares come from all edges, scaling from those that are left after cleaning; the node universe is that
     of first_year; the year's code joins the node features after scaling.
     """
+    edges = written(edges.select("year", "source", "target", "value"), "edges")  # used about ten times below
     index = node_index(edges.where(F.col("year") == first_year).select(F.explode(F.array("source", "target"))))
     labelled = edges.select("year").distinct().join(edges.select((F.col("year") - 1).alias("year")).distinct(), "year", "left_semi")
     rows = edge_features(edges).join(F.broadcast(labelled), "year", "left_semi").join(label_trade_drops(edges, threshold).select("year", "source", "target", "value_t", "value_t1", "pct_change", "y_drop"), ["year", "source", "target"], "left")
     rows = significant(clean_edge_values(rows, max_log_change), min_change)
-    rows = rows.join(F.broadcast(index.select(F.col("node").alias("source"), F.col("idx").alias("src_idx"))), "source").join(F.broadcast(index.select(F.col("node").alias("target"), F.col("idx").alias("tgt_idx"))), "target")
+    rows = rows.join(index.select(F.col("node").alias("source"), F.col("idx").alias("src_idx")), "source").join(index.select(F.col("node").alias("target"), F.col("idx").alias("tgt_idx")), "target")
     names = [*EDGE_BASE, *EDGE_LAG]
     scaled = standardize(rows, names)
     graph_edges = scaled.select("year", "src_idx", "tgt_idx", "source", "target", F.array(*[F.coalesce(c, F.lit(0.0)) for c in names]).alias("features"), F.col("y_drop").alias("y"), "value_t", "value_t1")

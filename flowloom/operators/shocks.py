@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +26,27 @@ def with_target(rows: DataFrame) -> DataFrame:
     return rows.withColumn("target_delta", log_change(F.col("value_t"), F.col("value_t1")))
 
 
+def seeded(seed: int, keys: list[str]) -> Column:
+    """An order of rows by the seed and their keys that any engine can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
 def exactly(rows: DataFrame, partition: list[str], keys: list[str], size: Column, seed: int) -> DataFrame:
-    """`size` rows of each partition, the first by a seeded hash of the keys: exact, without replacement, the same each time."""
-    at = F.row_number().over(Window.partitionBy(*partition).orderBy(F.xxhash64(F.lit(seed), *keys), *keys))
-    return rows.withColumn("place", at).where(F.col("place") <= size).drop("place")
+    """`size` rows (the same for all rows of a partition) of each partition, the first by a seeded hash of the keys: exact, without replacement, the same each time.
+
+    No partition is sorted as a whole: the hash's first three digits deal it into 4096 lots; lots before the boundary
+    are taken whole, and only the boundary's own lot is ranked.
+    """
+    names = rows.columns
+    rows = rows.withColumns({"__hash": seeded(seed, keys), "__size": size}).withColumn("__lot", F.left("__hash", F.lit(3)))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*partition).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = rows.groupBy(*partition, "__lot").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", before)
+    lots = lots.select(*[F.col(c).alias(f"__{c}") for c in (*partition, "__lot")], "__n", "__before")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*partition, "__lot")])
+    held = rows.join(lots, same).where(F.col("__before") < F.col("__size"))
+    place = F.row_number().over(Window.partitionBy(*partition, "__lot").orderBy("__hash", *keys))
+    cut = held.where(F.col("__before") + F.col("__n") > F.col("__size")).withColumn("__place", place).where(F.col("__before") + F.col("__place") <= F.col("__size"))
+    return held.where(F.col("__before") + F.col("__n") <= F.col("__size")).select(*names).unionByName(cut.select(*names))
 
 
 def kind(rows: DataFrame, eps: float) -> Column:
@@ -68,5 +88,5 @@ def synthetic_masks(edges: DataFrame, shocked: DataFrame) -> DataFrame:
 def shock_trials(nodes: DataFrame, trials: int = 20, least: int = 5, most: int = 10, seed: int = 0) -> DataFrame:
     """trial, node: for each trial between least and most nodes, drawn by seeded hashes."""
     rows = nodes.select(F.col(nodes.columns[0]).alias("node")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    size = least + F.pmod(F.xxhash64(F.lit(seed), F.lit("size"), "trial"), F.lit(most - least + 1))
+    size = least + F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("size"), F.col("trial").cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("bigint") % (most - least + 1)
     return exactly(rows, ["trial"], ["trial", "node"], size, seed).select("trial", "node")

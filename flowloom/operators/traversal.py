@@ -17,6 +17,8 @@ def hops(edges: DataFrame, starts: DataFrame, rounds: int, keys: tuple[str, ...]
     """keys, node, hops for all nodes at most `rounds` hops from starts(keys, node). Key columns that edges has too must agree."""
     own = [k for k in keys if k in edges.columns]
     links = edges.select(*own, F.col("source").alias("node"), F.col("target").alias("next")).distinct()
+    if rounds > 1:
+        links = written(links, "links")  # else each hop works them out again
     seen = frontier = starts.select(*keys, "node").distinct().withColumn("hops", F.lit(0))
     for n in range(1, rounds + 1):
         step = frontier.select(*keys, "node").join(links, [*own, "node"]).select(*keys, F.col("next").alias("node")).distinct()
@@ -50,7 +52,7 @@ def cascade_summary(flows: DataFrame) -> DataFrame:
 
 
 def cascade_nested(flows: DataFrame) -> DataFrame:
-    """One row for each degree with the list of its flows, largest first."""
+    """One row for each degree with the list of its flows, largest first: for a report on one node, as a degree's flows are one row."""
     one = F.struct((-F.col("original_value")).alias("order"), "source", "target", "original_value", "new_value", "reduction", "reduction_pct")
     return flows.groupBy("degree").agg(F.array_sort(F.collect_list(one)).alias("flows"))
 

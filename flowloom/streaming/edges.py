@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +26,19 @@ def running_strengths(edges: DataFrame) -> DataFrame:
 
 
 def relabel(edges: DataFrame, table_path: str, labels: Callable[[DataFrame, list[int]], None], checkpoint: str, threshold: float = 0.1) -> StreamingQuery:
-    """Append each batch to the edge table (one folder for each year) and hand `labels` the new labels of the years that it touches."""
+    """Put each batch into the edge table (a folder for each batch and year) and hand `labels` the new labels of the years that it touches.
+
+    A batch that runs again after a failure writes its own folder anew, so nothing counts twice.
+    """
+
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]  # batches of another checkpoint have numbers of their own
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("append").partitionBy("year").parquet(table_path)
+        rows.write.mode("overwrite").partitionBy("year").parquet(f"{table_path}/batch={run}-{number}")
         years = sorted({y for r in rows.select("year").distinct().collect() for y in (r.year - 1, r.year, r.year + 1)})
         near = sorted({y + k for y in years for k in (-1, 0, 1)})
-        stored = spark.read.schema(EDGES).parquet(table_path).where(F.col("year").isin(near))
+        stored = spark.read.schema(EDGES).option("basePath", table_path).parquet(table_path).select("year", "source", "target", "value").where(F.col("year").isin(near))
         summed = stored.groupBy("year", "source", "target").agg(F.sum("value").alias("value"))
         labels(label_trade_drops(summed, threshold).where(F.col("year").isin(years)), years)
 
