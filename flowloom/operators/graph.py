@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import country, sector
+from flowloom.operators.shocks import seeded
 
 
 def node_exists(nodes: DataFrame, node: str) -> DataFrame:
@@ -22,7 +23,7 @@ def node_properties(nodes: DataFrame, node: str) -> DataFrame:
 
 def random_node(nodes: DataFrame, seed: int = 0) -> DataFrame:
     """One node drawn evenly: the least of a seeded hash, so the same each time, and one pass without a sort."""
-    return nodes.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1)
+    return nodes.select("id").orderBy(seeded(seed, ["id"]), "id").limit(1)
 
 
 def first_edge(edges: DataFrame) -> DataFrame:
@@ -72,6 +73,11 @@ def distinct_values(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.select(F.col(key).alias("value")).distinct().orderBy("value")
 
 
+def numbered(values: DataFrame) -> DataFrame:
+    """value and its place from 1 by name: for a listing, whose values are few."""
+    return values.withColumn("number", F.row_number().over(Window.orderBy("value")))
+
+
 def partition_count(nodes: DataFrame, key: str, value: str) -> DataFrame:
     return nodes.where(F.col(key) == value).agg(F.count(F.lit(1)).alias("vertices"))
 

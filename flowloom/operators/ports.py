@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import month_name, number
+from flowloom.shared import written
+from flowloom.sources.writers import write_csv
 
 MONTHS = ("08", "09", "10")
 KEYS = ("commodity", "commodity_desc", "cty_code")
@@ -40,6 +42,15 @@ def share(wide: DataFrame) -> DataFrame:
     return wide.agg(F.count(F.lit(1)).alias("commodities"), F.count_if(v).alias("v_commodities"), total.alias("total"), part.alias("v_total"), F.when(total > 0, F.try_divide(part, total) * 100).otherwise(0.0).alias("share_pct"))
 
 
+def analyse(trade: DataFrame, path: str, months: tuple[str, ...] = MONTHS) -> DataFrame:
+    """The whole analysis: writes all groups to path/all and the V-shaped ones to path/v_shape, both as CSV with their total, largest first, and returns the row of share()."""
+    wide = written(by_month(cleaned(trade, months), months), "ports")
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in wide.columns[-3:]), F.lit(0.0))
+    for name, rows in (("all", wide), ("v_shape", v_shaped(wide))):
+        write_csv(rows.withColumn("total", total).orderBy(F.desc("total"), *KEYS), f"{path}/{name}")
+    return share(wide)
+
+
 def totals_by_month(trade: DataFrame) -> DataFrame:
     """month (three letters) and its total."""
     return trade.groupBy(month_name(F.col("month")).alias("month")).agg(F.sum("value").alias("total"))

@@ -90,6 +90,28 @@ def better(metric: str, value: Column) -> Column:
     return value if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -value
 
 
+def train_on_plateau(fit, evaluate, rate: float, rounds: int = 20, patience: int = 15, flat: int = 5, factor: float = 0.5, least: float = 1e-6, metric: str = "r2") -> tuple[object, list[tuple[float, float]]]:
+    """The best of the models that fit(rate, model before) gives round by round, and each round's (rate, value).
+
+    After more than `flat` rounds without a better value the rate falls by factor, down to least; after `patience` rounds without one training ends.
+    """
+    sign = 1.0 if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -1.0
+    best, top, model, idle, waited, seen = None, float("-inf"), None, 0, 0, []
+    for _ in range(rounds):
+        model = fit(rate, model)
+        value = evaluate(model)
+        seen.append((rate, value))
+        if sign * value > top:
+            best, top, idle, waited = model, sign * value, 0, 0
+            continue
+        idle, waited = idle + 1, waited + 1
+        if idle >= patience:
+            break
+        if waited > flat:
+            rate, waited = max(least, rate * factor), 0
+    return best, seen
+
+
 def train_with_patience(fit, evaluate, rates: list[float], patience: int = 2, metric: str = "r2") -> tuple[object, list[float]]:
     """The best of the models that fit(rate) gives one after the other; stops after `patience` without an improvement of evaluate(model)."""
     sign = 1.0 if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -1.0

@@ -12,6 +12,7 @@ from flowloom.operators import features as N
 from flowloom.operators.edges import endpoints
 from flowloom.plans.network import FLOORS, LABELS, LARGE, NODE, OTHER, YEAR, edges_of, nodes, rounded
 from flowloom.plans.sql import EDGES, NODES, Queries
+from flowloom.shared import written
 from flowloom.sources import trade
 
 query = Queries()
@@ -91,6 +92,21 @@ def indicators_fill_I3(spark, sf_dir):
     return rounded(filled(spark, sf_dir), 6, "value")
 
 
+#: A factor for each of the seven indicators, as the tables have one.
+FACTORS = {c: 1 + 0.5 * i for i, c in enumerate(indicators.CODES)}
+
+
+@query(IND + ", k AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in FACTORS) + "]) AS code, unnest([" + ", ".join(map(str, FACTORS.values())) + """]) AS factor), w AS (SELECT country, year, code, value * factor AS value FROM filled CROSS JOIN k),
+p AS (SELECT country, year, """ + ", ".join(f"max(value) FILTER (code = '{c}') AS {c}" for c in FACTORS) + """ FROM w GROUP BY ALL), gx AS (SELECT CASE country WHEN 'N19' THEN 'ROW_' || sector ELSE id END AS node, CASE country WHEN 'N19' THEN 'ROW' ELSE country END AS country FROM nodes WHERE country < 'N20')
+SELECT year, node, """ + ", ".join(f"round({c}, 6) AS {c}" for c in list(FACTORS)[1:]) + ", round(ln(1 + gdp_per_capita), 8) AS log_gdp_per_capita FROM gx JOIN p USING (country)")
+def node_indicators_I1(spark, sf_dir):
+    factors = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(f).alias("factor")) for c, f in FACTORS.items()]))
+    seven = trade.indicators(spark, sf_dir).select("country", "year", "value", factors.alias("k")).select("country", "year", "k.code", (F.col("value") * F.col("k.factor")).alias("value"))
+    graph = graph_nodes(spark, sf_dir)
+    out = indicators.node_indicators(graph, indicators.fill_indicators(graph, seven, trade.economies(spark, sf_dir)))
+    return rounded(rounded(out, 6, *list(FACTORS)[1:]), 8, "log_gdp_per_capita")
+
+
 @query(IND + """SELECT year, CASE country WHEN 'N19' THEN 'ROW_' || sector ELSE id END AS node, round(ln(1 + value), 8) AS log_gdp_per_capita FROM nodes JOIN filled USING (country) WHERE country < 'N19'
 UNION ALL SELECT year, 'ROW_' || sector, round(ln(1 + value), 8) FROM nodes JOIN filled ON filled.country = 'ROW' WHERE nodes.country = 'N19'""")
 def log_gdp_I4(spark, sf_dir):
@@ -153,12 +169,14 @@ def shock_sample_counts_M4(spark, sf_dir, whole=False):
     return rows.groupBy("year").agg(F.count_if("shocked").alias("shocked"), F.count_if(~F.col("shocked")).alias("normal"))
 
 
-@query()
+@query(KINDS + """, f AS (SELECT *, CASE WHEN target_delta > 0.001 THEN 'gain' WHEN target_delta < -0.001 THEN 'drop' ELSE 'neutral' END AS kind FROM flows), o AS (SELECT f.*, row_number() OVER (PARTITION BY f.year, kind ORDER BY md5('3|' || source || '|' || target), source, target) AS place, least(g, d) AS q, z FROM f JOIN k ON k.year = f.year)
+SELECT year, kind, source, target FROM o WHERE place <= CASE kind WHEN 'neutral' THEN least(z, floor(q * 0.1)) ELSE q END""")
 def balanced_sample_M3(spark, sf_dir, whole=False):
     return shocks.balanced_sample(flows(spark, sf_dir, whole), seed=3).select("year", "kind", "source", "target")
 
 
-@query()
+@query(NODES + f""", en AS (SELECT source AS node FROM edges WHERE year = {YEAR} UNION SELECT target FROM edges WHERE year = {YEAR}), t AS (SELECT unnest(range(1, 21))::INT AS trial), o AS (SELECT trial, node, row_number() OVER (PARTITION BY trial ORDER BY md5('11|' || trial || '|' || node), trial, node) AS place, 5 + ('0x' || substr(md5('11|size|' || trial), 1, 8))::BIGINT % 6 AS size FROM en CROSS JOIN t)
+SELECT trial, node FROM o WHERE place <= size""")
 def shock_trials_M8(spark, sf_dir):
     return shocks.shock_trials(endpoints(edges_of(spark, sf_dir)), seed=11)
 
@@ -175,9 +193,9 @@ PRED = EDGES + """, pr AS (SELECT t.year, t.source, t.target, t.value AS value_t
 """
 
 
-def predictions(spark, sf_dir, whole: bool = False) -> DataFrame:
+def predictions(spark, sf_dir, whole: bool = False, edges: DataFrame | None = None) -> DataFrame:
     """year, source, target, value_t, value_t1, pred, target_delta: one aggregation deals each edge to the three years that it matters in."""
-    rows = trade.edges(spark, sf_dir).where("true" if whole else "year BETWEEN 1996 AND 2000")
+    rows = (edges or trade.edges(spark, sf_dir)).where("true" if whole else "year BETWEEN 1996 AND 2000")
     dealt = rows.select("source", "target", "value", F.explode(F.array(*[F.struct((F.col("year") + k).alias("year"), F.lit(k).alias("k")) for k in (-1, 0, 1)])).alias("d")).select("source", "target", "value", "d.*")
     at = lambda k: F.sum(F.when(F.col("k") == k, F.col("value")))
     sums = dealt.where("true" if whole else "year BETWEEN 1997 AND 1999").groupBy("year", "source", "target").agg(at(1).alias("p"), at(0).alias("value_t"), at(-1).alias("value_t1")).where("value_t IS NOT NULL AND value_t1 IS NOT NULL")
@@ -310,7 +328,8 @@ def metric_table_P11(spark, sf_dir, whole=False):
     return experiments.metric_table(results(spark, sf_dir, whole)).select("loss", "direction_acc", "r2", "rmse", "smape", "pred_neg_frac", "best_epoch")
 
 
-@query()
+@query(SIGNS.replace("{eps}", "1e-3") + """, c AS (SELECT year, coalesce(avg((sp = st)::INT) FILTER (target_delta > 1e-3), 0) AS g, coalesce(avg((sp = st)::INT) FILTER (target_delta < -1e-3), 0) AS d, 1 - sum(power(target_delta - pred, 2)) / (count(*) * var_pop(target_delta)) AS r2 FROM s GROUP BY year)
+SELECT 'y' || year AS loss, round(g, 8) AS gain_dir_acc, round(d, 8) AS drop_dir_acc, round(r2, 8) AS r2 FROM c""")
 def plot_metrics_S20(spark, sf_dir, whole=False):
     return experiments.plotted(results(spark, sf_dir, whole))
 
@@ -406,9 +425,10 @@ ym AS (SELECT distance, avg(mean_effect) AS mean_effect, avg(pct_drops) AS pct_d
 
 
 def decay(spark, sf_dir, whole: bool = False) -> DataFrame:
-    rows = predictions(spark, sf_dir, whole)
-    links = trade.edges(spark, sf_dir).where(F.lit(whole) | ((F.col("value") >= LARGE) & F.col("year").between(1997, 1999)))
-    index = N.node_index(endpoints(trade.edges(spark, sf_dir)))
+    edges = written(trade.edges(spark, sf_dir), "edges")
+    rows = predictions(spark, sf_dir, whole, edges)
+    links = edges.where(F.lit(whole) | ((F.col("value") >= LARGE) & F.col("year").between(1997, 1999)))
+    index = N.node_index(endpoints(edges))
     starts = index.select((F.col("idx") % TRIALS + 1).alias("trial"), "node").crossJoin(F.broadcast(rows.select("year").distinct()))
     level = traversal.hops(links, starts, 2, ("year", "trial"))
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).join(level.withColumnRenamed("node", "source"), ["year", "trial", "source"], "left")
@@ -474,4 +494,4 @@ def message_passing_ML1(spark, sf_dir):
 # The whole job beside the queries above, whose SQL is kept: searches over all edges, and every year that has a successor
 
 YEARS = (" AND year BETWEEN 1997 AND 1999", " WHERE year BETWEEN 1997 AND 1999", " WHERE t.year BETWEEN 1997 AND 1999")
-query.whole((*FLOORS, *YEARS), ("balanced_sample_M3", "plot_metrics_S20", "predictor_ML2"))
+query.whole((*FLOORS, *YEARS), ("predictor_ML2",))

@@ -96,7 +96,7 @@ def node_properties_G2(spark, sf_dir):
     return G.node_properties(nodes(spark, sf_dir), NODE).select("id", F.get(p["country"], F.lit(0)).alias("country_value"), F.get(p["sector"], F.lit(0)).alias("sector_value"))
 
 
-@query()
+@query(NODES + "SELECT id FROM nodes ORDER BY md5('7|' || id), id LIMIT 1")
 def random_node_G3(spark, sf_dir):
     return G.random_node(nodes(spark, sf_dir), seed=7)
 
@@ -136,6 +136,11 @@ def list_partitions_G11(spark, sf_dir):
     return G.distinct_values(nodes(spark, sf_dir), "country")
 
 
+@query(NODES + "SELECT country AS value, row_number() OVER (ORDER BY country)::INT AS number FROM (SELECT DISTINCT country FROM nodes)")
+def numbered_partitions_W4(spark, sf_dir):
+    return G.numbered(G.distinct_values(nodes(spark, sf_dir), "country"))
+
+
 @query(NODES + "SELECT count(*) AS vertices FROM nodes WHERE country = 'N09'")
 def partition_count_A4(spark, sf_dir):
     return G.partition_count(nodes(spark, sf_dir), "country", "N09")

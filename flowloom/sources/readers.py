@@ -82,6 +82,12 @@ def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     return long.select("k.country", F.regexp_extract("y", r"(\d+)", 1).cast("int").alias("year"), "k.code", "value").where("value IS NOT NULL")
 
 
+def read_economies(spark: SparkSession, path: str) -> DataFrame:
+    """id, region and is_aggregate from a CSV of economies with columns id, region and aggregate (true or false); an empty region is missing."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select("id", F.nullif(F.trim("region"), F.lit("")).alias("region"), F.coalesce(F.lower("aggregate") == "true", F.lit(False)).alias("is_aggregate"))
+
+
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
     """loss and the nested metrics of each <loss>_model/results.json."""
     rows = spark.read.schema(RESULTS).option("multiLine", True).option("allowNonNumericNumbers", True).json(pattern)
