@@ -6,26 +6,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.shared import shared_dir, written
 
 
-__all__ = ["blocks", "literal_rows", "offsets", "shared_dir", "table", "utf8", "written"]
+__all__ = ["blocks", "fresh", "literal_rows", "offsets", "own_columns", "shared_dir", "short_batches", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with Arrow batches of at most `rows` rows in its session where Spark's default of 10,000 holds: texts are long, and both sides keep whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, str(rows))
+    return docs
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, beginning as `name`."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(docs: DataFrame, less: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of docs whatever their names hold, but for those named in less."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in less]
+
+
 def literal_rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     """A small table of equally long lists of values, made by the JVM alone."""
     zipped = F.arrays_zip(*[F.lit(v).alias(c) for c, v in columns.items()])
     return spark.range(0, 1, 1, 1).select(F.explode(zipped).alias("r")).select(*[F.col("r")[c].alias(c) for c in columns])
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text each, and a row at least: bounds what numpy holds, never cuts a text."""
     for batch in batches:
         if not batch.num_rows:

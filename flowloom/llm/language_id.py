@@ -19,13 +19,14 @@ an empty table none. Other columns are not looked at.
 from __future__ import annotations
 
 from collections import namedtuple
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, table, utf8
+from flowloom.llm.common import blocks, fresh, own_columns, short_batches, table, utf8
 
 UNIT = 1 << 16
 #: languages; symbol: class of each byte; goto: state after a symbol; cost: code length (state, symbol, language). The last symbol stands before a text.
@@ -44,29 +45,27 @@ def grams(data: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """lang, n, gram, count over the texts of docs (lang, text)."""
+    """lang, n, gram, count over the texts of docs (lang, text); lang is a number or a name."""
 
     def run(batches):
         for b in blocks(batches, "text"):
             data, ends = utf8(b.column("text"))
-            langs = np.array(b.column("lang").to_pylist(), object)
-            for lang in sorted(set(langs)):
+            langs = b.column("lang").to_numpy(zero_copy_only=False)
+            for lang in np.unique(langs):
                 rows = np.flatnonzero(langs == lang)
                 own = np.concatenate([data[ends[i] : ends[i + 1]] for i in rows])
                 own_ends = np.concatenate(([0], np.cumsum(np.diff(ends)[rows])))
                 for n in range(1, order + 2):
                     gram, count = np.unique(grams(own, own_ends, n), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "n": pa.array(np.full(len(gram), n), pa.int32()), "gram": gram, "count": count})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), b.column("lang").type), "n": pa.array(np.full(len(gram), n), pa.int32()), "gram": gram, "count": count})
 
-    counts = docs.mapInArrow(run, "lang string, n int, gram bigint, count bigint")
+    counts = short_batches(docs).mapInArrow(run, f"lang {docs.schema['lang'].dataType.simpleString()}, n int, gram bigint, count bigint")
     return counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
-def build(counts, order: int) -> Model:
-    """counts: arrays or columns lang, n, gram, count."""
-    lang, n, gram, count = (np.asarray(counts[c]) for c in ("lang", "n", "gram", "count"))
-    languages = sorted(set(lang.tolist()))
-    which = np.searchsorted(np.array(languages, dtype=object), lang.astype(object)) if languages else np.zeros(0, int)
+def build(counts, order: int, languages: list[str]) -> Model:
+    """counts: arrays or columns lang (a place in languages), n, gram, count. languages: by name."""
+    which, n, gram, count = (np.asarray(counts[c]) for c in ("lang", "n", "gram", "count"))
     seen = np.unique(gram[n == 1])
     symbols = len(seen) + 2  # one for all other bytes, one for the place before a text
     symbol = np.full(256, len(seen), np.int32)
@@ -126,40 +125,61 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Learns from about per_language of the rows of each language where `learn` holds."""
     ok = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().collect()}
+    languages = sorted(sizes)
     if not sizes:
-        return build({"lang": [], "n": np.zeros(0, int), "gram": np.zeros(0, np.int64), "count": np.zeros(0, int)}, order)
+        return build({"lang": np.zeros(0, int), "n": np.zeros(0, int), "gram": np.zeros(0, np.int64), "count": np.zeros(0, int)}, order, languages)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]), F.col(lang_col))
+    number = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col(lang_col))
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / (1 << 20)
-    sample = ok.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return build(gram_counts(sample, order).toPandas(), order)
+    sample = ok.where(draw < share).select(number.alias("lang"), F.col(text_col).alias("text"))
+    counts = gram_counts(sample, order).toArrow()
+    return build({c: counts.column(c).to_numpy() for c in counts.column_names}, order, languages)
 
 
-def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and bits_per_byte of each row behind its columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("the_text"))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+def judged(model: Model, spark: SparkSession, text: Column) -> Column:
+    """struct (lang, score, bits) of a text: the language, its probability and its code's bits for each byte.
 
-    def run(batches):
+    Only the text goes to Python and only the struct comes back; the other columns stay on the JVM's side.
+    """
+    held = spark.sparkContext.broadcast(model)
+    short_batches(spark.range(0))
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
-        for b in blocks(batches, "the_text"):
-            data, ends = utf8(b.column("the_text"))
-            lengths = code_lengths(m, data, ends)
-            if m.languages:
-                best = lengths.argmin(axis=1)
-                low = lengths[np.arange(len(best)), best]
-                score = 1 / np.exp2((low[:, None] - lengths) / UNIT).sum(axis=1)
-                pred = pa.array([m.languages[i] for i in best], pa.string())
-                bits = low / UNIT / np.maximum(1, np.diff(ends))
-            else:
-                score, bits, pred = np.zeros(len(ends) - 1), np.full(len(ends) - 1, 8.0), pa.nulls(len(ends) - 1, pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pred, pa.array(score), pa.array(bits)], [*b.schema.names[:-1], "pred", "score", "bits"])
+        for t in texts:
+            lang, score, bits = [], [], []
+            for b in blocks([pa.RecordBatch.from_arrays([t], ["text"])], "text"):
+                data, ends = utf8(b.column("text"))
+                n = len(ends) - 1
+                if m.languages:
+                    lengths = code_lengths(m, data, ends)
+                    best = lengths.argmin(axis=1)
+                    low = lengths[np.arange(n), best]
+                    score.append(1 / np.exp2((low[:, None] - lengths) / UNIT).sum(axis=1))
+                    lang += [m.languages[i] for i in best]
+                    bits.append(low / UNIT / np.maximum(1, np.diff(ends)))
+                else:
+                    score.append(np.zeros(n))
+                    lang += [None] * n
+                    bits.append(np.full(n, 8.0))
+            parts = [pa.array(lang, pa.string()), *[pa.array(np.concatenate(x) if x else np.zeros(0)) for x in (score, bits)]]
+            yield pa.StructArray.from_arrays(parts, ["lang", "score", "bits"])
+
+    # Not deterministic for the planner: else a filter on the result is put below and has it worked out twice.
+    code = F.arrow_udf(run, "lang string, score double, bits double").asNondeterministic()
+    return code(F.coalesce(text, F.lit("")))
 
+
+def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, lang_score and bits_per_byte of each row behind its columns; columns that have these names already give way."""
+    text, one = F.col(text_col).cast("string"), fresh(docs, "judged")
+    out = docs.withColumn(one, judged(model, docs.sparkSession, text))
     # Whether there is a letter is seen on the JVM's side; the search ends at the first.
-    out = wide.mapInArrow(run, f"{schema}, pred string, score double, bits double")
-    none = F.col("pred").isNull() | ~F.coalesce(F.col(f"c{names.index(text_col)}").cast("string").rlike(r"\p{L}"), F.lit(False))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.when(none, "und").otherwise(F.col("pred")).alias("lang_pred"), F.when(none, 0.0).otherwise(F.col("score")).alias("lang_score"), F.col("bits").alias("bits_per_byte"))
+    none = F.col(one)["lang"].isNull() | ~F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return out.select(
+        *own_columns(docs, ("lang_pred", "lang_score", "bits_per_byte")), F.when(none, "und").otherwise(F.col(one)["lang"]).alias("lang_pred"),
+        F.when(none, 0.0).otherwise(F.col(one)["score"]).alias("lang_score"), F.col(one)["bits"].alias("bits_per_byte"),
+    )
 
 
 def op4_language_id(spark, sf_dir):
