@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import table, written
+from flowloom.llm.common import own_columns, table, written
 
 #: Characters that normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -60,7 +60,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     buckets = buckets or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("chars"), (F.struct(*docs.columns) if carry else F.lit(None).cast("int")).alias("row"), normalised(text).alias("norm"), F.xxhash64(F.col(id_col)).alias("tie"))
+    rows = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("chars"), (F.struct(*own_columns(docs)) if carry else F.lit(None).cast("int")).alias("row"), normalised(text).alias("norm"), F.xxhash64(F.col(id_col)).alias("tie"))
     rows = rows.withColumn("prefix", F.substring("norm", 1, prefix_chars))
     cuts = splitters(rows.select("prefix", "tie"), buckets, per_bucket)
     bucket, shared = F.lit(0), F.lit(False)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, table
+from flowloom.llm.common import blocks, short_batches, table
 
 CAPTURE = b"OggS"
 #: Capture pattern, version, flags, granule position, serial number, page number, checksum, lacing values.
@@ -172,7 +172,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             media = [write(x + bytes(-len(x) % 64 or 64 * (not x)), rate, packet) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, raw)), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 def read_column(media: DataFrame) -> DataFrame:

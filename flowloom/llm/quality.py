@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, table, utf8, written
+from flowloom.llm.common import blocks, short_batches, table, utf8, written
 from flowloom.llm.language_id import remainder
 from flowloom.llm.near_dedup import word_hashes
 
@@ -62,7 +62,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(statistics(*utf8(b.column("text")))), pa.list_(pa.float64()))], ["id", "x"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
+    return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<double>")
 
 
 def sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, offsets, table
+from flowloom.llm.common import blocks, offsets, short_batches, table
 
 #: The published pattern of this family of vocabularies, with white space as Unicode has it. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -128,11 +128,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         of = counter(path, remember)
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", 1 << 20):
             n = of.count(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offsets(b.column("text"))), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    out = short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
