@@ -1,32 +1,35 @@
-"""Best-fit packing into sequences of several permitted lengths.
-
-A document's length is a number that the caller gives (by default its UTF-8 bytes and one end mark). Pieces as long as
-the longest sequence are cut off and fill one each; what is left of each document is packed, longest first: into the
-open sequence with the least room that is still enough or, if there is none, into a new one of the length whose cost
-for each place it can be expected to fill is least; at the end each sequence shrinks to the least permitted length
-that holds its contents. A sequence of length s costs overhead + s + s*s/quadratic.
-
-Each task packs its rows in blocks of at most `block` pieces, so there is no shuffle, a task's memory is bounded and
-no group is gathered; a block's last sequences shrink like all others. A task that runs again packs the same rows in
-the same way.
-
-Cases: a null or negative length counts as 0; a length of 0 goes where there
-is least room left, or opens a sequence. Ties in
-length go by order in the block. Repeated rows are packed each for itself. An empty table gives no rows. Other columns
-are not looked at.
+"""Best-fit packing of token ids into sequences of several permitted lengths.
+
+What is packed are the ids of each document, as the caller has them (op3: those of a SentencePiece vocabulary
+and an end id). Pieces as long as the longest sequence are cut off and fill one each; what is left of each document is
+packed, longest first: into the open sequence with the least room that is still enough or, if there is none, into a
+new one of the length whose cost for each place it can be expected to fill is least; at the end each sequence shrinks
+to the least permitted length that holds its contents. A sequence of length s costs overhead + s + s*s/quadratic.
+A row of the result is a sequence with its ids, and for each piece in it the document, the piece's number and where it
+begins; unpacked() gives the documents back.
+
+Each task packs its rows in blocks of about `block` ids, so there is no shuffle, a task's memory is bounded by a block
+and the longest document, and no group is gathered; a block's last sequences shrink like all others. Documents of
+different blocks never share a sequence. A task that runs again packs the same rows in the same way.
+
+Cases: null ids count as none; a document without ids is a piece of length 0, which goes where there is least room
+left, or opens a sequence. Ties in length go by order in the block. Repeated rows are packed each for itself. An empty
+table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import table
+from flowloom.llm.common import blocks, offsets, short_batches, table
+from flowloom.llm.pieces import LibraryIds
 
 
 class Costs:
@@ -69,54 +72,80 @@ def best_fit(lengths: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray,
     return where, start, final[where] if len(lengths) else where
 
 
-def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[int, ...] = (2048, 4096, 8192, 16384), overhead: float = 64, quadratic: float = 65536, block: int = 50_000) -> DataFrame:
-    """id, piece, piece_start, piece_length, sequence, sequence_size, sequence_start: one row for each piece of each document."""
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at `begin` and are `size` long, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
+def pack(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ids_of: Callable[[pa.Array], pa.Array] | None = None, sizes: tuple[int, ...] = (512, 1024, 2048, 4096, 8192), overhead: float = 64, quadratic: float = 65536, block: int = 1 << 20) -> DataFrame:
+    """sequence (its name), size, used, ids; and for each piece in it, in order: id_col's value in `owners`, its number in the document in `pieces`, where it begins in `starts`.
+
+    ids_of: gives the ids of the values of ids_col, such as texts; without it they are ids. block: ids that are packed
+    together, whole documents always.
+    """
     costs, most = Costs(sizes, overhead, quadratic), max(sizes)
-    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
+    held = F.coalesce(F.col(ids_col).cast("string"), F.lit("")) if ids_of else F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
+    rows = short_batches(tokens.select(F.col(id_col).alias("id"), held.alias("ids")))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches):
+    names = ["sequence", "size", "used", "ids", "owners", "pieces", "starts"]
+
+    def packed(name: str, docs: pa.Array, ids: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        count = np.maximum(1, -(-n // most))
+        owner = np.repeat(np.arange(len(n)), count)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(most, n[owner] - piece * most)
+        where, start, final = best_fit(size, costs)
+        order = np.lexsort((start, where))  # stable: a piece without ids stays where it was dealt
+        where, start, final, owner, piece, size = (x[order] for x in (where, start, final, owner, piece, size))
+        begin = (np.cumsum(n) - n)[owner] + piece * most
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        last = np.append(first[1:], len(where))
+        for a in range(0, len(first), 256):
+            f, t = first[a : a + 256], last[a : a + 256]
+            s = slice(f[0], t[-1])
+            used = np.add.reduceat(size[s], f - f[0])
+            at = pa.array(np.append(f - f[0], t[-1] - f[0]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (docs.take(pa.array(owner[s])), pa.array(piece[s], pa.int32()), pa.array(start[s], pa.int32()))]
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(used)), pa.int32()), pa.array(gathered(ids, begin[s], size[s]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{w}" for w in where[f].tolist()]), pa.array(final[f], pa.int32()), pa.array(used, pa.int32()), held, *lists], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, count, number = TaskContext.get().partitionId(), [], 0, 0
 
-        def packed(parts):
-            nonlocal number
-            number += 1
-            ids = pa.concat_arrays([p[0] for p in parts])
-            n = np.concatenate([p[1] for p in parts])
-            pieces = np.maximum(1, -(-n // most))
-            owner = np.repeat(np.arange(len(n)), pieces)
-            piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(most, n[owner] - piece * most)
-            where, start, final = best_fit(size, costs)
-            for a in range(0, len(owner), 10_000):
-                s = slice(a, a + 10_000)
-                names = pa.array([f"{task}-{number}-{w}" for w in where[s].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[s])), pa.array(piece[s]), pa.array(piece[s] * most), pa.array(size[s]), names, pa.array(final[s]), pa.array(start[s])], ["id", "piece", "piece_start", "piece_length", "sequence", "sequence_size", "sequence_start"])
-
-        for b in batches:
-            n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal held, count, number
+            docs, ids, n = (list(x) for x in zip(*held, strict=True))
+            held, count, number = [], 0, number + 1
+            yield from packed(f"{task}-{number}", pa.concat_arrays(docs), np.concatenate(ids), np.concatenate(n))
+
+        for b in blocks(batches, "ids") if ids_of else batches:
+            own = ids_of(b.column("ids")) if ids_of else b.column("ids")
+            ends, values = offsets(own), own.values
             a = 0
-            while a < len(n):  # whole documents, until a block has its pieces
-                more = np.cumsum(np.maximum(1, -(-n[a:] // most)))
-                take = max(1, int(np.searchsorted(more, block - count, side="right"))) if count < block else 0
-                if take:
-                    held.append((b.column("id").slice(a, take), n[a : a + take]))
-                    count += int(more[take - 1]) if take <= len(more) else int(more[-1])
-                    a += take
-                if count >= block or a < len(n):
-                    yield from packed(held)
-                    held, count = [], 0
+            while a < b.num_rows:
+                t = min(max(int(np.searchsorted(ends, ends[a] + block - count, side="right")) - 1, a + 1), b.num_rows)
+                held.append((b.column("id").slice(a, t - a), values.slice(ends[a], ends[t] - ends[a]).to_numpy(zero_copy_only=False), np.diff(ends[a : t + 1])))
+                count += int(ends[t] - ends[a])
+                a = t
+                if count >= block or a < b.num_rows:
+                    yield from flushed()
         if held:
-            yield from packed(held)
+            yield from flushed()
 
-    out = rows.mapInArrow(run, f"id {kind}, piece bigint, piece_start bigint, piece_length bigint, sequence string, sequence_size bigint, sequence_start bigint")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(run, f"sequence string, size int, used int, ids array<int>, owners array<{kind}>, pieces array<int>, starts array<int>")
+    return out
 
 
-def byte_length(text_col: str = "text") -> Column:
-    """Tokens of a byte-level model: the UTF-8 bytes and an end mark."""
-    return F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1
+def unpacked(sequences: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col and ids of each document, from the sequences that pack() gives. Documents need different ids."""
+    piece = F.explode(F.arrays_zip("owners", "pieces", "starts", F.concat(F.slice("starts", 2, F.size("starts")), F.array("used")).alias("ends")))
+    one = sequences.select("ids", piece.alias("p")).select(F.col("p.owners").alias(id_col), F.struct(F.col("p.pieces").alias("piece"), F.slice("ids", F.col("p.starts") + 1, F.col("p.ends") - F.col("p.starts")).alias("ids")).alias("part"))
+    return one.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["ids"])).alias("ids"))
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_length())
+    import public_tokenizers
+
+    ids_of = LibraryIds(public_tokenizers.path("piece_bpe_32k.model"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ids_col="text", ids_of=ids_of).withColumnRenamed("owners", "doc_ids")

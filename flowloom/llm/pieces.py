@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, table
+from flowloom.llm.common import blocks, short_batches, table
 
 MARK = "▁"
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -119,10 +119,25 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         v = vocabulary(path, remember, check)
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(v.encode(b.column("text").to_pylist()), pa.list_(pa.int32()))], ["id", "ids"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+@lru_cache(maxsize=4)
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class LibraryIds:
+    """The ids that encode() gives, by the library itself: for operators that take ids. Called with an array of texts."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        return pa.array(library(self.path).encode(texts.fill_null("").to_pylist(), add_eos=True, num_threads=1), pa.list_(pa.int32()))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -136,7 +151,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                 part = b.slice(i, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v.decode(x or []) for x in part.column("ids").to_pylist()], pa.string())], ["id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 300_000, check: bool = True) -> DataFrame:
@@ -145,7 +160,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         v = vocabulary(path, remember, check)
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", 1 << 20):
             ids = v.encode(b.column("text").to_pylist())
             number = v.numbers
             hashes = [hashlib.sha256(" ".join([number[i] for i in x]).encode()).hexdigest() for x in ids]
@@ -153,7 +168,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return short_batches(rows).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op2_sentencepiece(spark, sf_dir):
