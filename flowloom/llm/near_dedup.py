@@ -7,11 +7,14 @@ Two documents are candidates if they agree in at least two collections: with p =
 probability (1-p)**groups + groups*p*(1-p)**(groups-1), at J = 0.8 and the defaults 0.06 %, at J = 0.85 0.005 %.
 
 Candidates are compared on their full sets. Rows of equal sets are put together first. Within a table key each set is
-held against one centre, not against all: first the centre that it shares most keys with, then the others. Where a key's
-members are then not one component, its sets outside the largest one are held against all sets in such keys that an
-exact prefix filter leaves: shingles have one order, rare ones first, and two similar sets share one early enough for
-the rest to reach the overlap they need. So a large group of near copies costs about its size, and no key's pairs are
-all made.
+held against one centre, not against all: first each set with the few centres that it shares most keys with, then one
+set of each component of a key with one of the key's largest, at most LATER pairs for two components. Where a key's
+members are then not one component, its sets outside the largest one are held against all sets in such keys that three
+exact filters leave: shingles have one order, rare ones first, and two similar sets share one early enough for the rest
+to reach the overlap they need; and each set carries 1024 marks of which slots hold an odd number of its shingles, so
+that marks that differ are shingles that differ. The first two steps cost about a group's size. The last one compares
+marks of all pairs of sets of a group that are not yet connected, and verifies those that the marks leave: near the
+threshold few (README has figures), but in a group without links the comparisons grow with the square.
 
 Cases: null or blank texts have no set and are linked with nothing. Rows of equal sets are linked whatever their ids.
 Rows that share an id are one document in links. A null id is no node: such a row gets the component of the rows with
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import blocks, table, utf8, written
+from flowloom.llm.common import blocks, short_batches, table, utf8, written
 
 _rng = np.random.Generator(np.random.PCG64(20240917))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     if len(kept.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 18), base, np.uint64)
         steps[0] = 1
         kept[base] = np.cumprod(steps)
     return kept[base][:n]
@@ -120,7 +123,7 @@ def sketch(docs: DataFrame, k: int, groups: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "whole", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, whole binary, keys array<bigint>")
+    return short_batches(docs).mapInArrow(run, f"id {kind}, n bigint, whole binary, keys array<bigint>")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -131,28 +134,34 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             out = [s.view(np.int64) for s in shingle_sets(*utf8(b.column("text")), k)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
+    return short_batches(docs).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<bigint>")
 
 
 SLOTS = 1 << 18
+#: Words of 64 bits that mark which slots of a set hold an odd number of its shingles.
+WORDS = 16
+#: How many of a set's centres are tried first.
+FIRST = 3
+#: How many pairs are then tried at most between two components.
+LATER = 16
 
 
 def slot_counts(rows: DataFrame) -> np.ndarray:
     """How many shingles of rows fall in each of SLOTS slots: a rough frequency, 1 MB whatever the input, by which shingles are put in one order."""
-    counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).count().toPandas()
+    counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).count().toArrow()
     out = np.zeros(SLOTS, np.int64)
-    out[counts["slot"]] = counts["count"]
+    out[counts.column("slot").to_numpy()] = counts.column("count").to_numpy()
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
-    """token, id, n, c, stray, left: each set's first shingles in the order, as many as a similar set of `partner` shingles or more must meet; left: how many there are from this one on."""
+    """token, id, n, c, stray, left, odd: each set's first shingles in the order, as many as a similar set of `partner` shingles or more must meet; left: how many there are from this one on. odd: see WORDS."""
     held = rows.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                tokens, owner, left = [], [], []
+                tokens, owner, left, odd = [], [], [], []
                 n, partner = part.column("n").to_numpy(), part.column("partner").to_numpy()
                 for i, s in enumerate(part.column("shingles")):
                     own = s.values.to_numpy()
@@ -163,11 +172,13 @@ def prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
                     tokens.append(own[first])
                     owner.append(np.full(len(first), i))
                     left.append(len(own) - np.arange(len(first)))
+                    bits = np.bincount((own.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
+                    odd.append(np.packbits(bits).view(np.int64))
                 owner = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[part.column(c).take(owner) for c in ("id", "n", "c", "stray")], pa.array(np.concatenate(left))], ["token", "id", "n", "c", "stray", "left"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[part.column(c).take(owner) for c in ("id", "n", "c", "stray")], pa.array(np.concatenate(left)), pa.array(odd, pa.list_(pa.int64())).take(owner)], ["token", "id", "n", "c", "stray", "left", "odd"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "n", "c", "stray", "partner", "shingles").mapInArrow(run, f"token bigint, id {kind}, n bigint, c {kind}, stray boolean, left bigint")
+    return rows.select("id", "n", "c", "stray", "partner", "shingles").mapInArrow(run, f"token bigint, id {kind}, n bigint, c {kind}, stray boolean, left bigint, odd array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,10 +200,13 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
+def everyone(ids: DataFrame, label: DataFrame) -> DataFrame:
+    """label (id, component) for all of ids: those without links are components of their own."""
+    return written(ids.select("id").distinct().join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "label")
+
+
 def joined(links: DataFrame, label: DataFrame) -> DataFrame:
-    """label (id, component) after further links: only the pairs of components that they connect go through components()."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    label = written(label.unionByName(ends.join(label, "id", "left_anti").withColumn("component", F.col("id"))), "label")
+    """label (id, component; of all ids in links) after further links: only the pairs of components that they connect go through components()."""
     la = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     pairs = links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
@@ -200,6 +214,12 @@ def joined(links: DataFrame, label: DataFrame) -> DataFrame:
     return written(label.join(higher, "component", "left").select("id", F.coalesce("low", "component").alias("component")), "label")
 
 
+def unlike(percent: int) -> Column:
+    """Whether the marks of two sets (columns x and y) show that they are less similar: each odd bit that differs stands for a shingle that only one of them has."""
+    odd = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(WORDS)), F.lit(0))
+    return F.lit(100 + percent) * odd > F.lit(100 - percent) * (F.col("nx") + F.col("ny"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, groups: int = 14, width: int = 3, broadcast_ids: int = 2_000_000) -> DataFrame:
     """id, n_shingles, component_id, kept for each row. Links: 100 * intersection >= percent * union, on full sets.
 
@@ -213,54 +233,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row for each set and table. Most keys have one member: a count, summed before the shuffle, leaves the rest.
     chosen = marks.where("id is not null").join(reps.select(F.col("rep").alias("id"), F.col("whole")), ["id", "whole"], "left_semi")
     exploded = chosen.select("id", "n", F.explode("keys").alias("key"))
-    order = F.xxhash64("key", "id")
-    centre = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"))).alias("c")).where("members > 1")
-    members = written(exploded.join(centre.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "key").where("id is not null"), "members")
-    fits = F.lit(100) * F.least("n", "centre_n") >= F.lit(percent) * F.greatest("n", "centre_n")
-    pairs = members.where((F.col("id") != F.col("centre")) & fits).groupBy(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    pairs = written(pairs, "pairs")
+    several = exploded.groupBy("key").count().where("count > 1").select("key")
+    members = written(exploded.join(several, "key"), "members")
 
     wanted = written(members.select("id").distinct(), "wanted")
     few = wanted.count() <= broadcast_ids
-    mine = F.broadcast(wanted) if few else wanted
-    texts = rows.join(mine, "id", "left_semi")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     full = written(sets(texts, k), "sets").where("size(shingles) > 0")
 
     def linked(some: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets are similar enough."""
+        """Those of the pairs (a, b) whose full sets are similar enough. Nothing stands on the joins, so that a frequent id's partition can be split."""
         left = full.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = full.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         held = some.select("a", "b").join(left, "a").join(right, "b").select("a", "b", both.alias("both"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-        return held.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b").distinct()
-
-    # First each set's most frequent partner.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", F.col("a"))).alias("a")).select("a", "b")
-    label = components(written(linked(best), "linked"))
-
-    # Then the other centres, for what is not connected by now.
-    la = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    lb = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = written(linked(apart), "linked")
-    label = joined(more, label)
+        return held.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+
+    def fits(n: str, m: str) -> Column:
+        return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+    # Each key has a centre, another one in each table. First each set's most frequent centres.
+    centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("o"), F.col("id"), F.col("n"))).alias("c"))
+    around = members.join(centre.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("an")), "key").where((F.col("id") != F.col("a")) & fits("n", "an"))
+    shared = around.groupBy(F.col("id").alias("b"), "a").agg(F.count(F.lit(1)).alias("keys"))
+    # An id has at most one centre in each table, so the list is short.
+    best = shared.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "a")), False), 1, FIRST).alias("c"))
+    tried = written(best.select("b", F.explode("c.a").alias("a")), "pairs")
+    label = everyone(wanted, components(written(linked(tried), "linked")))
+
+    def parts(label: DataFrame) -> DataFrame:
+        """key, c, m, least, x for each component of each key that is in several: its members there, the least size of a set, one of its sets; main, y: the same of the key's largest."""
+        at = members.join(label, "id")
+        one = F.min(F.struct(F.xxhash64("key", "id", "component").alias("o"), F.col("id"), F.col("n")))
+        each = written(at.groupBy("key", F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), one.alias("x")), "parts")
+        key = each.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "c", F.col("x").alias("y"))).alias("main"), F.min("least").alias("partner"))
+        return each.join(key.where("parts > 1").select("key", F.col("main.c").alias("main"), F.col("main.y").alias("y"), "partner"), "key")
+
+    # Then, for what is not connected by now, one set of each component of a key against one of its largest. Two
+    # components may meet in many keys: of their pairs, dealt into LATER lots, the most frequent of each.
+    apart = parts(label).where(F.col("c") != F.col("main")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "c", "main", F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    apart = apart.where(fits("n", "m")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"), F.first("c").alias("c"), F.first("main").alias("main"))
+    apart = apart.groupBy(F.least("c", "main"), F.greatest("c", "main"), F.pmod(F.xxhash64("a", "b"), F.lit(LATER))).agg(F.max_by(F.struct("a", "b"), F.struct("keys", "a", "b")).alias("p")).select("p.a", "p.b")
+    label = joined(written(linked(apart), "linked"), label)
 
     # Keys whose members are not yet one component: sets outside the key's largest one are held against all others by
     # exact prefix filtering, whatever keys they share. partner: the least size of a set in a key with this one.
-    at = members.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    per = at.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    key = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("m", "c")).alias("main"), F.min("least").alias("least")).where("parts > 1")
-    at = at.join(key.select("key", "main", "least"), "key")
-    opened = written(at.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("main")).alias("stray"), F.min("least").alias("partner")), "open")
+    open_keys = parts(label).select("key", "c", "main", "partner")
+    at = members.join(label.withColumnRenamed("component", "c"), "id").join(open_keys, ["key", "c"])
+    opened = written(at.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bool_or(F.col("c") != F.col("main")).alias("stray"), F.min("partner").alias("partner")), "open")
     held = full.join(F.broadcast(opened) if few else opened, "id")
     slots = slot_counts(held)
-    rows = written(prefixes(held, slots, percent), "prefix")
-    x = rows.where("stray").select("token", F.col("id").alias("xid"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("left").alias("lx"))
-    y = rows.select("token", F.col("id").alias("yid"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("left").alias("ly"), F.col("stray").alias("sy"))
-    near = (F.col("cx") != F.col("cy")) & (~F.col("sy") | (F.col("yid") < F.col("xid"))) & (F.lit(100) * F.least("nx", "ny") >= F.lit(percent) * F.greatest("nx", "ny"))
-    near = near & (F.lit(100 + percent) * F.least("lx", "ly") >= F.lit(percent) * (F.col("nx") + F.col("ny")))
-    rest = x.join(y, "token").where(near).select(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).distinct()
-    last = written(linked(rest), "linked")
+    tokens = written(prefixes(held, slots, percent), "prefix")
+    x = tokens.where("stray").select("token", F.col("id").alias("xid"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("left").alias("lx"), *[F.col("odd")[i].alias(f"x{i}") for i in range(WORDS)])
+    y = tokens.select("token", F.col("id").alias("yid"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("left").alias("ly"), F.col("stray").alias("sy"), *[F.col("odd")[i].alias(f"y{i}") for i in range(WORDS)])
+    near = (x["token"] == y["token"]) & (F.col("cx") != F.col("cy")) & (~F.col("sy") | (F.col("yid") < F.col("xid"))) & fits("nx", "ny")
+    near = near & (F.lit(100 + percent) * F.least("lx", "ly") >= F.lit(percent) * (F.col("nx") + F.col("ny"))) & ~unlike(percent)
+    rest = x.join(y, near).groupBy(F.least("xid", "yid").alias("a"), F.greatest("xid", "yid").alias("b")).agg(F.count(F.lit(1)).alias("tokens"))
+    last = written(linked(written(rest, "rest")), "linked")
     if last.limit(1).count():
         label = joined(last, label)
 
