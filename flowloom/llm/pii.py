@@ -1,21 +1,23 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
-Base: four patterns (e-mail, ip, card, phone) with their checks; their spans stay as they are. Candidates for more are
-the tokens that no base span covers and that have a digit, or letters behind a secret word or a sign (`=`, `:`; not the
-one of a URL's scheme), or are a name of the gazetteer, what follows one or what follows a title. Labelers of three sorts vote on each token: patterns (its shape),
-gazetteers (the words inside it or before it) and contexts (signs before it, base spans). Spark counts how often each
-pattern of votes and features occurs over all documents; the table of patterns is small by construction (see
-PATTERNS). Expectation-maximisation on it estimates each labeler's reliability and each pattern's chance of being
-personal; Spark's LogisticRegression, weighted by these, trains the final span classifier on the features, and its
-weights are one expression. Spans that it accepts are added with kind `secret`.
-
-Positions: the pieces between matches and the matches themselves alternate; a fold over them sums up code points.
-Patterns use possessive repetition and look behind instead of starting inside a run, so that each reads a text of any
-length once and needs no deep stack; the matches are those of the plain patterns.
+Base: four patterns (e-mail, ip, card, phone) with their checks; their spans stay as they are. Candidates for more
+are of three sorts: tokens with a digit; letters without a digit behind a secret word or a sign (`=`, `:`; not the one
+of a URL's scheme); names of the gazetteer and what follows a title. Labelers of three sorts vote on each candidate:
+patterns (its shape), gazetteers (the words inside it or before it) and contexts (signs before it, base spans, bare
+numbers that no base check takes). Spark counts how often each pattern of votes and features occurs over all
+documents; the table of patterns is small by construction (see PATTERNS). Expectation-maximisation on it estimates
+each labeler's reliability and each pattern's chance of being personal; Spark's LogisticRegression, weighted by these,
+trains the final span classifier on the features, and its weights are one expression. Spans that it accepts are added
+with kind `secret`.
+
+Positions: the pieces between matches and the matches themselves alternate; folds over blocks of them sum up code
+points. Patterns use possessive repetition, look behind instead of starting inside a run, and read a context forwards
+from its word or sign, so that each reads a text of any length once and needs no deep stack; the matches of the base
+patterns are those of the plain ones.
 
 Cases: a null text is empty and has no spans. Texts are never cut. Spans of different kinds may overlap. Repeated rows
 count once for each row and give repeated rows. With no candidates at all nothing is added. An empty table gives no
-rows. Other columns are not looked at.
+rows. Other columns are not looked at; columns named as found()'s give way to them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import literal_rows, table
+from flowloom.llm.common import fresh, literal_rows, own_columns, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive repetition. Where a match could begin inside a run of its first part, \G stands for the end of the match before.
@@ -45,45 +47,64 @@ NEEDS = {
     "phone": lambda text: F.contains(text, F.lit("+")),
 }
 #: Gazetteers. Ours.
-WORDS = "password|passwd|passphrase|pwd|secret|token|apikey|api[_-]?key|credential|auth|login|pin|ssn|iban|passport|account|licen[cs]e[_-]?key"
+WORDS = "account|api[_-]?key|auth|credential|iban|licen[cs]e[_-]?key|login|pass(?:word|wd|phrase|port)|pin|pwd|secret|ssn|token"
 SECRET_WORDS = rf"(?i)(?:^|[^a-z])(?:{WORDS})(?:$|[^a-z])"
+PLAIN_WORDS = r"(?i)(?:^|[^a-z])(?:version|chapter|page|section|volume|figure|table|part|step|article|copyright|vol|no|line|item)(?:$|[^a-z])"
 NAMES = (
     "Alice|Andrew|Anna|Anthony|Barbara|Carlos|Catherine|Charles|Christopher|Claire|Daniel|David|Elizabeth|Emily|Emma|Fatima|François|Françoise|Giovanni|Hans|Helen|Isabelle|James|Jennifer|Jessica|Johann|John|"
     "José|Joseph|Juan|Jürgen|Karen|Katharina|Laura|Linda|Lucía|Margaret|María|Mary|Matthew|Michael|Mohammed|Nancy|Nicolas|Olivia|Patricia|Pedro|Peter|Philippe|Pierre|Rebecca|Richard|Robert|Sarah|Stefan|Steven|"
     "Susan|Thomas|Ursula|William|Wolfgang"
 )
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Frau|Señor|Señora"
-#: Tokens with a digit; with letters behind a sign inside; with letters behind a sign or secret word before; names.
-LETTERS = r"[^\s\p{L}]*+\p{L}\S*+"
-CANDIDATE = (
-    rf"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[^\s=:]++[=:](?!//){LETTERS}|(?<=[=:]\s{{1,2}}){LETTERS}|(?<=(?<![A-Za-z])(?i:{WORDS})[\"']?\s{{1,2}}(?:(?:is|was)\s)?)(?!(?:is|was)\s){LETTERS}"
-    rf"|(?=[\"'(]?\p{{Lu}})[\"'(]?(?:{NAMES})(?!\p{{L}})(?:\s\p{{Lu}}|)\S*+|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{NAMES}|(?:{TITLES})\.?)\s)\p{{Lu}}\S*+)"
+#: Tokens with a digit.
+DIGITS = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A secret word, with or without a sign or verb, or a sign alone; then, as group 1, a token of letters.
+LETTERS = (
+    rf"(?:[=:](?!//)|(?<![A-Za-z])(?=[aAcCiIlLpPsStT])(?i:{WORDS})(?![A-Za-z])[0-9]*+[\"']?(?:\s{{0,2}}[=:]|\s(?:is|was)(?=\s)|(?=\s)))\s{{0,2}}[\"'(]?"
+    rf"(?!(?:(?i:{WORDS})(?![A-Za-z])|(?:is|was)\s))(\p{{L}}[^\s0-9]*+)(?!\S)"
 )
-NAMED = rf"(?<!\p{{L}})(?:{NAMES}|(?:{TITLES})\.?)\s$"
-#: What stands before a value when it is beside a secret word, and when a sign or verb links the two.
-BESIDE = rf"(?i)(?:^|[^a-z])(?:{WORDS})[0-9]*[\"']?(?:\s*[=:]|\s+(?:is|was)\s|\s)\s*[\"']?$"
-LINKED = r"(?:[=:]\s*|\s(?:is|was)\s+)[\"']?$"
-PLAIN_WORDS = r"(?i)(?:^|[^a-z])(?:version|chapter|page|section|volume|figure|table|part|step|article|copyright|vol|no|line|item)(?:$|[^a-z])"
+#: A name, or what follows a title as group 1.
+NAMED = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.?\s(\p{{Lu}}[^\s0-9]*+)|(?:{NAMES})(?!\p{{L}})(?:\s\p{{Lu}}[^\s0-9]*+)?)"
 #: Labelers, then features of shape: each is -1, 0 or 1, so there are at most 3**10 patterns.
 LABELERS = ("by_shape", "by_length", "by_secret_word", "by_plain_word", "by_sign", "by_base")
 FEATURES = (*LABELERS, "letters_and_digits", "long", "quoted", "number_only")
 PATTERNS = 3 ** len(FEATURES)
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    """array of struct (start, end, value, before, prior) of the matches; before: the last 48 code points between it and the match in front, prior: of that match and these."""
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def pieces(text: Column, pattern: str, block: int = 512) -> Column:
+    """array of struct (start, end, value, before) of the matches; before: the last 24 code points between it and the match in front.
+
+    A fold copies what it has at each step, so it goes over blocks of matches, and a second one over the blocks.
+    """
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.greatest(F.size(values), F.lit(0))).alias("gap"))
-    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string,prior:string>>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,prior:string>>").alias("spans")).cast(kind)
+    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string>>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
 
     def step(held: Column, pair: Column) -> Column:
         start = held["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(48)).alias("before"), F.right(F.concat(F.coalesce(F.try_element_at(held["spans"], F.lit(-1))["value"], F.lit("")), pair["gap"]), F.lit(48)).alias("prior"))
-        return F.struct(end.alias("at"), F.concat(held["spans"], F.array(one)).alias("spans")).cast(kind)
+        one = F.struct(start.alias("start"), (start + F.char_length(pair["value"])).alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(24)).alias("before"))
+        return F.struct(one["end"].alias("at"), F.concat(held["spans"], F.array(one)).alias("spans")).cast(kind)
+
+    def of_block(pairs: Column) -> Column:
+        return F.aggregate(pairs, none, step)
 
-    return F.aggregate(pairs, first, step, lambda held: held["spans"])
+    def moved(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+
+    def put_together(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda held, p: F.concat(held, F.array(F.element_at(held, -1) + p["at"])))
+        return let(starts, lambda at: F.flatten(F.transform(parts, lambda p, i: moved(p["spans"], F.get(at, i)))))
+
+    def all_of(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / block).cast("int")), lambda i: of_block(F.slice(pairs, i * block + 1, F.lit(block))))
+        return F.when(F.size(pairs) <= block, of_block(pairs)["spans"]).otherwise(let(blocks, put_together))
+
+    return let(F.arrays_zip(values.alias("value"), let(gaps, lambda g: F.slice(g, 1, F.size(g) - 1)).alias("gap")), all_of)
 
 
 def digits(value: Column) -> Column:
@@ -129,44 +150,75 @@ def vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """array of struct (start, end, base, features): tokens, their votes and shapes. A leading `word=` or quote is part of the token, not of the span."""
+CANDIDATES = f"array<struct<start:int,end:int,base:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
+
+
+def overlaps(spans: Column, start: Column, end: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < end) & (b["end"] > start))
+
+
+def with_digits(text: Column, base: Column) -> Column:
+    """CANDIDATES of the tokens with a digit. A leading `word=` or quote is part of the token, not of the span."""
 
     def one(m: Column) -> Column:
         value = m["value"]
-        letters = ~value.rlike("[0-9]")
-
-        def either(word: Column, other: Column) -> Column:
-            return F.when(letters, word).otherwise(other)
-
-        core = either(F.regexp_extract(value, r"(\p{L}[^=:\"'<>(),;\[\]{}]*+)[^\p{L}]*$", 1), F.regexp_extract(value, r"([A-Za-z0-9][A-Za-z0-9_./+-]*+)[^A-Za-z0-9]*$", 1))
-        cut = either(F.regexp_extract(value, r"([^\p{L}]*)$", 1), F.regexp_extract(value, r"([^A-Za-z0-9]*)$", 1))
-        end = m["end"] - F.char_length(cut)
-        start = end - F.char_length(either(F.regexp_replace(core, r"[^\p{L}]+$", ""), F.regexp_replace(core, r"[^A-Za-z0-9]+$", "")))
-        head = F.regexp_replace(value, r"[=:].*$", "=")
-        near = F.concat(F.right(m["before"], F.lit(24)), F.lit(" "), head)
-        ahead = F.concat(m["prior"], F.when(value.rlike("[=:]"), head).otherwise(F.lit("")))
-        beside, linked = ahead.rlike(BESIDE), ahead.rlike(LINKED)
-        name = letters & (core.rlike(rf"^(?:{NAMES})(?!\p{{L}})") | (ahead.rlike(NAMED) & core.rlike(r"^\p{Lu}"))) & ~beside
+        core = F.regexp_extract(value, r"([A-Za-z0-9][A-Za-z0-9_./+-]*+)[^A-Za-z0-9]*$", 1)
+        end = m["end"] - F.char_length(F.regexp_extract(value, r"([^A-Za-z0-9]*)$", 1))
+        start = end - F.char_length(F.regexp_replace(core, r"[^A-Za-z0-9]+$", ""))
+        near = F.concat(m["before"], F.lit(" "), F.regexp_replace(value, r"[=:].*$", "="))
         n, d = F.char_length(core), F.char_length(digits(core))
-        inside = F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        mixed = core.rlike("[A-Za-z]") & core.rlike("[0-9]")
+        inside, word = overlaps(base, m["start"], m["end"]), near.rlike(SECRET_WORDS)
+        mixed, social = core.rlike("[A-Za-z]") & core.rlike("[0-9]"), core.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+        bare = ~core.rlike("[A-Za-z]") & ~word & ~social  # a number that no base check takes
         return F.struct(
             start.cast("int").alias("start"), end.cast("int").alias("end"), inside.alias("base"),
-            vote(inside | (letters & (name | (beside & linked))) | core.rlike(r"^[A-Za-z0-9_-]{16,}$") | core.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), core.rlike(r"^[0-9]{1,4}$") | core.rlike(r"^[0-9]+(?:[.,][0-9]+)+$") | letters).alias("by_shape"),
-            vote((n >= 10) & ~name, (n <= 5) & ~name).alias("by_length"),
-            vote(either(beside | name, near.rlike(SECRET_WORDS))).alias("by_secret_word"),
-            vote(F.lit(False), either(~(beside & linked) & ~name, near.rlike(PLAIN_WORDS))).alias("by_plain_word"),
-            vote(either(linked & ~name, near.rlike(r"[=:]\s*\"?\s*$")), either(~name, near.rlike(r"[a-z],?\s+$") & (n <= 5))).alias("by_sign"),
-            vote(inside, (d <= 2) & ~inside & ~letters).alias("by_base"),
-            vote(mixed, either(F.lit(False), ~core.rlike("[A-Za-z]"))).alias("letters_and_digits"),
-            vote((n >= 14) & ~name, (n <= 8) & ~name).alias("long"),
-            vote(value.rlike("[\"']")).alias("quoted"),
-            vote(core.rlike("^[0-9]+$")).alias("number_only"),
-        )
-
-    kind = f"array<struct<start:int,end:int,base:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
-    return F.transform(pieces(text, CANDIDATE), one).cast(kind)
+            vote(inside | (mixed & core.rlike(r"^[A-Za-z0-9_-]{16,}$")) | social, core.rlike(r"^[0-9]{1,4}$") | core.rlike(r"^[0-9]+(?:[.,][0-9]+)+$")).alias("by_shape"),
+            vote((n >= 10) & (mixed | inside | social), n <= 5).alias("by_length"),
+            vote(word).alias("by_secret_word"),
+            vote(F.lit(False), near.rlike(PLAIN_WORDS)).alias("by_plain_word"),
+            vote(near.rlike(r"[=:]\s*\"?\s*$"), near.rlike(r"[a-z],?\s+$") & (n <= 5)).alias("by_sign"),
+            vote(inside, (bare | (d <= 2)) & ~inside).alias("by_base"),
+            vote(mixed, ~core.rlike("[A-Za-z]")).alias("letters_and_digits"),
+            vote(n >= 14, n <= 8).alias("long"), vote(value.rlike("[\"']")).alias("quoted"), vote(core.rlike("^[0-9]+$")).alias("number_only"),
+        )
+
+    return F.when(text.rlike("[0-9]"), F.transform(pieces(text, DIGITS), one).cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
+
+
+def of_letters(start: Column, end: Column, base: Column, word: Column, sign: Column, name: bool, n: Column, quoted: Column) -> Column:
+    """What labelers and features say of a token of letters: a secret word and a sign together speak for it, or that it is a name."""
+    inside, yes = overlaps(base, start, end), F.lit(name) | (word & sign)
+    return F.struct(
+        start.alias("start"), end.alias("end"), inside.alias("base"), vote(inside | yes, ~yes).alias("by_shape"), vote((n >= 10) & F.lit(not name), (n <= 5) & F.lit(not name)).alias("by_length"), vote(word | F.lit(name)).alias("by_secret_word"),
+        vote(F.lit(False), ~yes).alias("by_plain_word"), vote(sign & F.lit(not name), ~sign & F.lit(not name) & (n <= 5)).alias("by_sign"), vote(inside).alias("by_base"), F.lit(0).alias("letters_and_digits"),
+        vote((n >= 14) & F.lit(not name), (n <= 8) & F.lit(not name)).alias("long"), vote(quoted).alias("quoted"), F.lit(0).alias("number_only"),
+    )
+
+
+def with_letters(text: Column, base: Column, names: Column) -> Column:
+    """CANDIDATES behind secret words and signs, less those that are names."""
+
+    def one(m: Column) -> Column:
+        value = F.regexp_extract(m["value"], LETTERS, 1)
+        context = F.left(m["value"], F.char_length(m["value"]) - F.char_length(value))
+        start, core = m["end"] - F.char_length(value), F.regexp_replace(value, r"[^\p{L}]+$", "")
+        word, n = ~context.rlike("^[=:]"), F.char_length(core)
+        return of_letters(start, start + n, base, word, context.rlike(r"[=:]|\s(?:is|was)\s"), False, n, context.rlike("[\"']$"))
+
+    found = F.filter(F.transform(pieces(text, LETTERS), one).cast(CANDIDATES), lambda c: ~overlaps(names, c["start"], c["end"]))
+    return F.when(text.rlike(LETTERS), found).otherwise(F.array().cast(CANDIDATES))
+
+
+def with_names(text: Column, base: Column) -> Column:
+    """CANDIDATES that are names."""
+
+    def one(m: Column) -> Column:
+        titled = F.regexp_extract(m["value"], NAMED, 1)
+        value = F.when(titled != "", titled).otherwise(m["value"])
+        start, core = m["end"] - F.char_length(value), F.regexp_replace(value, r"[^\p{L}]+$", "")
+        return of_letters(start, start + F.char_length(core), base, F.lit(False), F.lit(False), True, F.char_length(core), F.lit(False))
+
+    return F.when(text.rlike(NAMED), F.transform(pieces(text, NAMED), one).cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[list[dict], float, list[float]]:
@@ -208,13 +260,14 @@ def train(spans: DataFrame) -> tuple[list[float], float]:
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
-def found(docs: DataFrame, text_col: str = "text", model: tuple[list[float], float] | None = None) -> DataFrame:
-    """docs with base (spans) and spans (base and added), arrays of struct (start, rank, end, kind) by start and kind, behind its columns."""
-    names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("the_text"))
-    rows = rows.withColumn("base", base_spans(F.col("the_text")))
-    rows = rows.withColumn("candidates", candidates(F.col("the_text"), F.col("base")))
-    weights, intercept = model or train(rows)
+def found(docs: DataFrame, text_col: str = "text", model: tuple[list[float], float] | None = None, base_col: str = "pii_base", spans_col: str = "pii_spans") -> DataFrame:
+    """docs with base_col (base spans) and spans_col (base and added), arrays of struct (start, rank, end, kind) by start and kind, behind its columns."""
+    text, base, names, candidates = (fresh(docs, c) for c in ("the_text", "base", "names", "candidates"))
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = rows.withColumn(base, base_spans(F.col(text)))
+    rows = rows.withColumn(names, with_names(F.col(text), F.col(base)))
+    rows = rows.withColumn(candidates, F.concat(with_digits(F.col(text), F.col(base)), with_letters(F.col(text), F.col(base), F.col(names)), F.col(names)))
+    weights, intercept = model or train(rows.select(F.col(candidates).alias("candidates")))
 
     def score(c: Column) -> Column:
         out = F.lit(intercept)
@@ -222,9 +275,9 @@ def found(docs: DataFrame, text_col: str = "text", model: tuple[list[float], flo
             out = out + c[f] * F.lit(w)
         return out
 
-    added = F.filter("candidates", lambda c: ~c["base"] & (score(c) > 0) & (c["end"] > c["start"]))
+    added = F.filter(candidates, lambda c: ~c["base"] & (score(c) > 0) & (c["end"] > c["start"]))
     added = F.transform(added, lambda c: F.struct(c["start"], F.lit(len(KINDS)).alias("rank"), c["end"], F.lit("secret").alias("kind"))).cast(SPAN)
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("base").alias("pii_base"), F.array_sort(F.concat("base", added)).alias("pii_spans"))
+    return rows.select(*own_columns(docs, (base_col, spans_col)), F.col(base).alias(base_col), F.array_sort(F.concat(F.col(base), added)).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
@@ -250,4 +303,4 @@ def op7_pii(spark, sf_dir):
     def count(kind: str) -> Column:
         return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("pii_base")), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
