@@ -21,21 +21,176 @@ from flowloom.llm.common import literal_rows, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words of hosts and paths that are to be blocked and allowed. Ours; each makes some urls of the labelled table.
-BLOCKED = ("ads", "adserver", "ads-track", "adclick", "banner", "tracker", "tracking", "pixel", "popup", "casino", "poker", "jackpot", "betting", "slots", "xxx", "porn", "adult", "sexcam", "pills", "viagra", "pharma-cheap", "replica", "free-money", "win-prize", "loan-fast", "phish", "malware", "warez", "crack", "torrent")
-ALLOWED = ("news", "blog", "wiki", "docs", "library", "university", "museum", "journal", "science", "weather", "recipes", "garden", "history", "music", "travel", "school", "city", "forum", "books", "health", "sports", "river", "mountain", "bakery", "theatre", "research", "archive", "gazette", "people", "market")
+#: The labelled urls: one by one, ours. Those to be blocked, and those to be allowed.
+BLOCKED = """
+http://ads.example.com/en/290
+https://adserver.shopnet.example.net/click?id=31
+https://track.mailing.example.com/en/407
+http://pixel.metrics.example.net/en/11
+https://cdn.popunder.example.org/pop.js
+http://www.adclick-exchange.example.com/redirect/882
+https://banners.partner.example.net/de/72890.html
+https://m.analytics-beacon.example.com/es/812
+http://affiliate.deals.example.org/out/5521
+https://tracking.newsletter.example.net/u/unsubscribe-confirm
+http://m.casino-royal.example.com/en/18
+https://www.pokerroom.example.net/join/bonus
+https://bet365bonus.example.com/sports-betting/odds
+http://jackpot-city.example.org/games/roulette
+https://online-bookmaker.example.net/en/3021.html
+https://luckyslots.example.com/es/77
+http://blackjack-vip.example.com/deposit-bonus
+https://lottery-winner.example.net/claim-prize
+http://xxxvideos.example.com/watch/9918
+https://adult-cams.example.net/live/room3
+http://m.hotsexchat.example.org/de/55/
+https://blog.porn-gallery.example.com/fr/1288
+http://nude-pics.example.net/gallery/3
+https://www.escorts-tonight.example.com/en/9
+http://milfdating.example.org/signup
+https://erotic-stories.example.net/story/44
+http://www.cheap-viagra.example.com/en/6204
+https://pharmacy-noprescription.example.net/pills/buy
+http://weightloss-miracle.example.org/free-trial
+https://buy-cialis-online.example.com/cart
+http://replica-watches.example.net/fr/71.html
+https://fake-handbags.example.com/outlet/louis
+http://essay-writing-cheap.example.org/order-now
+https://payday-loans-fast.example.net/es/640/
+http://quick-cash-advance.example.com/no-credit-check
+https://bitcoin-doubler.example.org/invest-now
+http://forex-signals-profit.example.net/vip
+https://crypto-giveaway.example.com/claim
+http://make-money-fast.example.org/secret-method
+https://free-iphone-winner.example.net/survey/prize
+http://secure-login-verify.example.com/account/update
+https://paypa1-support.example.net/confirm-password
+http://bank-alert-verify.example.org/signin.php
+https://appleid-locked.example.com/unlock
+http://download-crack.example.net/keygen/photoshop
+https://warez-files.example.org/de/340?page=2
+http://torrent-movies.example.com/magnet/1080p
+https://free-streaming-hd.example.net/watch-now
+http://malware-drop.example.org/de/2009
+https://exploit-kit.example.com/landing/gate.php
+http://virus-cleaner-pro.example.net/scan/now.exe
+https://toolbar-install.example.org/setup.exe
+http://stats.clickfraud.example.com/en/1?x=1
+https://doubleads.example.net/frame/ad_slot_4
+http://media.example.com/adframe/top-banner.html
+https://www.portal.example.org/sponsored/click-here
+http://news.example.net/ads/popup-offer.html
+https://img.example.com/tracking/pixel.gif
+http://sub.example.org/casino/free-bonus
+https://home.example.net/xxx/hardcore
+http://shop.example.com/viagra-cialis/discount
+https://files.example.org/crack/serial-keygen.zip
+http://go.example.net/redirect/affiliate/offer
+https://web.example.com/poker/tournament-bonus
+http://www.city.example.org/payday-loan/instant
+https://info.example.net/win-prize/iphone
+http://static.example.com/advert/interstitial.js
+https://m.example.org/sexcam/live-girls
+http://en.example.net/betting/odds/tips
+https://forum.example.com/replica-watches/cheap
+http://mail.example.org/phishing/verify-account
+https://x.example.net/torrent/download/full-movie
+http://de.example.com/gluecksspiel/kasino-bonus
+https://fr.example.org/jeux-argent/casino-gratuit
+http://es.example.net/apuestas/casino-gratis
+https://spam-mailer.example.com/bulk/email-list
+http://seo-backlinks.example.net/buy-links
+https://blog.clickbait-viral.example.org/en/4477
+http://survey-rewards.example.com/giftcard/free
+https://dating-singles.example.net/hot-girls
+""".split()
+ALLOWED = """
+https://www.cityherald.example.com/en/local/council-meets
+http://news.rivertown.example.net/2021/05/flood-report.html
+https://library.northfield.example.org/catalogue/item/2231
+http://www.museum-of-glass.example.org/exhibits/current
+https://docs.compilerkit.example.net/guide/getting-started
+http://blog.gardenpath.example.com/tomatoes-in-spring
+https://www.weather-centre.example.net/forecast/week
+http://university.example.org/physics/lectures/3
+https://journal.marine-biology.example.com/volume/12/article/4
+http://en.encyclopedia.example.org/wiki/Volcano
+https://recipes.homekitchen.example.net/soup/lentil
+http://www.chess-club.example.com/rules/openings
+https://parliament.example.org/debates/2019/minutes
+http://school.hillside.example.net/calendar/term2
+https://travelnotes.example.com/en/lisbon/tram-28
+http://www.railway-history.example.org/lines/branch
+https://health.cityclinic.example.net/vaccination/hours
+http://forum.woodworkers.example.com/thread/8821
+https://openmaps.example.org/edit/help
+http://www.astronomy-society.example.net/observations/moon
+https://music-archive.example.com/scores/bach
+http://theatre.example.org/programme/autumn
+https://www.bakery-lane.example.net/about
+http://poems.example.com/de/rilke/herbst
+https://farmers-market.example.org/sellers/list
+http://statistics.example.net/population/2020.html
+https://code.opentools.example.com/project/readme
+http://www.football-league.example.org/results/week7
+https://bird-watching.example.net/species/heron
+http://grammar.example.com/fr/verbes/irreguliers
+https://law-review.example.org/cases/summary/88
+http://www.bookshop.example.net/authors/k
+https://childrens-stories.example.com/en/the-lost-boat
+http://mountain-rescue.example.org/training/dates
+https://science-daily.example.net/plants/photosynthesis
+http://gallery.watercolour.example.com/works/17
+https://www.cycling-paths.example.org/routes/coast
+http://radio.example.net/programmes/evening-concert
+https://philosophy.example.com/essays/on-time
+http://www.town-archive.example.org/records/1890
+https://de.lexikon.example.net/artikel/Fluss
+http://www.gemeinde.example.com/de/rathaus/termine
+https://zeitung.example.org/de/kultur/5521
+http://www.ecole.example.net/fr/cantine/menus
+https://bibliotheque.example.com/fr/livres/nouveautes
+http://www.ayuntamiento.example.org/es/noticias/412
+https://revista.example.net/es/historia/siglo-xix
+http://cooking.example.com/index.html
+https://www.mathnotes.example.org/algebra/groups
+http://help.editor.example.net/faq/saving-files
+https://m.observer.example.com/en/1204
+http://www.harbour.example.net/en/3391.html
+https://blog.example.org/de/7720/
+http://site.example.com/fr/918
+https://www.example.net/en/56?page=2
+http://mobile.example.org/es/4410.html
+https://thehill.example.com/en/2231
+http://www.stone.example.net/de/118
+https://reader.example.org/en/9012/
+http://blog.lantern.example.com/fr/3305
+https://www.meadow.example.net/es/77
+http://m.orchard.example.com/de/6120.html
+https://notes.example.net/en/8
+http://harvest.example.com/en/5150?ref=feed
+https://www.willow.example.org/fr/2718
+http://blog.pebble.example.net/de/314/
+https://www.thunder.example.com/en/159.html
+http://m.anchor.example.net/fr/26
+https://island.example.org/es/535
+http://blog.then.example.com/en/8979
+https://www.other.example.net/en/3238/
+http://m.nation.example.org/de/4626
+https://station.example.com/en/4338.html
+http://www.motion.example.net/fr/3279
+https://blog.gathering.example.org/es/5028
+http://m.strand.example.com/en/841
+https://thistle.example.net/de/9716?page=3
+http://www.under.example.org/en/9399
+https://shore.example.com/es/3751/
+http://letters.example.net/en/582
+""".split()
 
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled urls: url, label (1: block)."""
-    rows = []
-    for label, names in ((1, BLOCKED), (0, ALLOWED)):
-        for i, w in enumerate(names):
-            end, lang = ("com", "net", "org")[i % 3], ("en", "fr", "de", "es")[i % 4]
-            rows += [(f"https://{w}.example.{end}/{lang}/{1000 + 37 * i}", label), (f"http://m.{w}.example.{end}/{lang}/{20000 + 911 * i}.html", label), (f"https://www.{w}{i}.{end}/index.html?page={i}", label)]
-            rows += [(f"http://site{i}.example.{end}/{w}/{i}", label), (f"https://blog.{names[i - 1]}-{w}.{end}/{lang}/{7 * i}/", label)]
-            rows += [(f"https://www.place{i}.{end}/{lang}/{w}.html", label), (f"http://portal{7 * i}.example.{end}/{w}/{lang}/", label), (f"https://cdn.{w}.{end}/a/{i}.js", label)]
-    return literal_rows(spark, {"url": [u for u, _ in rows], "label": [n for _, n in rows]})
+    return literal_rows(spark, {"url": BLOCKED + ALLOWED, "label": [1] * len(BLOCKED) + [0] * len(ALLOWED)})
 
 
 def host(url: Column) -> Column:
@@ -77,6 +232,11 @@ def fit(urls: DataFrame, sizes: tuple[int, ...] = (3, 4), features: int = 4096,
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
+def numbers(values: list[float]) -> Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def rule_for(host_col: Column, path_col: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
     """The longest rule that fits, as struct (length, rule, verdict); null if none does."""
     fits = [F.when(((host_col == h) | F.endswith(host_col, F.lit("." + h))) & F.startswith(path_col, F.lit(p)), F.struct(F.lit(-len(h + p)).alias("length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for v, h, p in rules]
@@ -86,7 +246,7 @@ def rule_for(host_col: Column, path_col: Column, rules: tuple[tuple[str, str, st
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, urls: DataFrame | None = None, sizes: tuple[int, ...] = (3, 4), features: int = 4096) -> DataFrame:
     """pages with host, path, rule, verdict and block_score (the model's) behind their columns."""
     weights, intercept = fit(urls if urls is not None else labelled(pages.sparkSession), sizes, features)
-    weight = F.lit(weights)
+    weight = numbers(weights)
     out = pages.withColumns({"__host": host(F.col(url_col)), "__path": path(F.col(url_col))})
     out = out.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
     total = F.aggregate(hashed_grams(F.col("__host"), F.col("__path"), sizes, features), F.lit(intercept), lambda a, i: a + F.get(weight, i))
