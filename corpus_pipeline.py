@@ -3,7 +3,7 @@
 Language ID lets go documents without a letter, of no clear language (score below 0.5) or that no learnt language
 codes better than plain bytes (8 bits each). Exact dedup keeps one row of each group of equal texts. MinHash
 near-dedup (shingles of five words, similarity 0.8 or more) keeps one document of each group. PII replaces what it
-finds by its kind in brackets and sets n_chars. Packing, the last, gives each document's pieces and their sequences.
+finds by its kind in brackets and sets n_chars. Packing, the last, gives sequences of token ids and whose pieces they hold.
 
 Cases: nulls and odd texts go through as each operator's docstring says; a document without an id is kept by the dedup
 stages unless its text is a copy. Columns besides those of documents are kept as they are.
@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import exact_dedup, language_id, near_dedup, packing, pii
-from flowloom.llm.common import table, written
+from flowloom.llm import exact_dedup, language_id, near_dedup, packing, pieces, pii
+from flowloom.llm.common import fresh, own_columns, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, language_id.remainder("doc_id", 3) != 1)
-    judged = language_id.predictions(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= 0.5) & (F.col("bits_per_byte") < 8)).select(*docs.columns)
+    one = fresh(docs, "judged")
+    clear = (F.col(one)["score"] >= 0.5) & (F.col(one)["bits"] < 8) & F.col("text").rlike(r"\p{L}")
+    return docs.withColumn(one, language_id.judged(model, spark, F.col("text"))).where(clear).select(*own_columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +34,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.found(docs).withColumn("text", F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("pii_spans"))))
+    spans = fresh(docs, "pii_spans")
+    out = pii.found(docs, base_col=fresh(docs, "pii_base"), spans_col=spans)
+    changed = {"text": F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col(spans)))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.size(spans) > 0, F.char_length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*own_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.byte_length())
+    import public_tokenizers
+
+    ids_of = pieces.LibraryIds(public_tokenizers.path("piece_bpe_32k.model"))
+    return packing.pack(docs, ids_col="text", ids_of=ids_of).withColumnRenamed("owners", "doc_ids")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]
