@@ -55,7 +55,14 @@ def test_query(spark, docs, name):
 
 
 def test_packing_query(spark, docs):
-    got = queries.queries()["op3_best_fit_packing"](spark, SF).toPandas()
-    assert (got.groupby("doc_id").piece_length.sum() == docs.text.map(lambda t: len(t.encode()) + 1)).all()
-    used = got.groupby("sequence").agg(n=("piece_length", "sum"), size=("sequence_size", "first"))
-    assert (used.n <= used["size"]).all() and used.n.sum() / used["size"].sum() > 0.95
+    import public_tokenizers
+    import sentencepiece
+
+    from flowloom.llm import packing
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = queries.queries()["op3_best_fit_packing"](spark, SF)
+    got = {r.doc_id: r.ids for r in packing.unpacked(rows.withColumnRenamed("doc_ids", "owners")).collect()}
+    assert got == {i: [*sp.encode(t), sp.eos_id()] for i, t in docs.text.items()}
+    sums = rows.selectExpr("sum(used) AS used", "sum(size) AS size", "bool_and(used <= size AND used = size(ids)) AS ok").first()
+    assert sums.ok and sums.used / sums["size"] > 0.95
