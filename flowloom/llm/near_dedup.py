@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(kept.get(base, ())) < n:
+    if base not in kept or len(kept[base]) < n:
         steps = np.full(max(n, 1 << 18), base, np.uint64)
         steps[0] = 1
         kept[base] = np.cumprod(steps)
