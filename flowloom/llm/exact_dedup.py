@@ -28,9 +28,8 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def splitters(keys: DataFrame, buckets: int, per_bucket: int) -> list[tuple[str, int]]:
-    """At most buckets - 1 keys (prefix, tie) that cut a sample of about per_bucket keys for each bucket evenly."""
-    count = keys.count()
+def splitters(keys: DataFrame, buckets: int, per_bucket: int, count: int) -> list[tuple[str, int]]:
+    """At most buckets - 1 keys (prefix, tie) that cut a sample of about per_bucket keys for each bucket evenly. count: how many keys there are."""
     if not count:
         return []
     share = min(1.0, buckets * per_bucket / count)
@@ -53,23 +52,28 @@ def bucket_of(prefix: Column, tie: Column, cuts: list[tuple[str, int]]) -> tuple
     return F.aggregate(steps, F.lit(0), step), prefixes
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, buckets: int | None = None, per_bucket: int = 32, prefix_chars: int = 256) -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, buckets: int | None = None, per_bucket: int = 32, prefix_chars: int = 256, range_bytes: int = 256 << 20, most_buckets: int = 20_000) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 for each row of docs; with carry also row, the whole input row where kept (else null).
 
-    buckets: ranges, three for each shuffle partition unless given. per_bucket: sampled keys for each.
+    buckets: ranges; unless given three for each shuffle partition, or one for each range_bytes of normalised text where
+    these are more, up to most_buckets (which bounds the splitters; a range is sorted externally, whatever its size).
+    per_bucket: sampled keys for each.
     """
-    buckets = buckets or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("chars"), (F.struct(*own_columns(docs)) if carry else F.lit(None).cast("int")).alias("row"), normalised(text).alias("norm"), F.xxhash64(F.col(id_col)).alias("tie"))
     rows = rows.withColumn("prefix", F.substring("norm", 1, prefix_chars))
-    cuts = splitters(rows.select("prefix", "tie"), buckets, per_bucket)
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("norm").cast("bigint")).alias("bytes")).first()
+    buckets = buckets or max(least, min(most_buckets, (size["bytes"] or 0) // range_bytes))
+    cuts = splitters(rows.select("prefix", "tie"), buckets, per_bucket, size["rows"])
     bucket, shared = F.lit(0), F.lit(False)
     if cuts:
         bucket, prefixes = bucket_of(F.col("prefix"), F.col("tie"), cuts)
         shared = F.coalesce(F.get(prefixes, F.col("bucket") - 1) == F.col("prefix"), F.lit(False)) | F.coalesce(F.get(prefixes, F.col("bucket")) == F.col("prefix"), F.lit(False))
     rows = rows.withColumn("bucket", bucket).withColumn("shared", shared).drop("prefix")
     # With carry the texts move once, inside their rows, and are normalised again on the other side.
-    rows = rows.drop("norm").repartition("bucket").withColumn("norm", normalised(F.col("row")[text_col].cast("string"))) if carry else rows.repartition("bucket")
+    tasks = (buckets, "bucket") if buckets > least else ("bucket",)
+    rows = rows.drop("norm").repartition(*tasks).withColumn("norm", normalised(F.col("row")[text_col].cast("string"))) if carry else rows.repartition(*tasks)
 
     inside = Window.partitionBy("bucket").orderBy("norm", "tie")
     rows = rows.withColumns({"pos": F.row_number().over(inside), "before": F.lag("norm").over(inside)})
