@@ -89,11 +89,11 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, the end id included."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        new = {s for segments in cut for s in segments if s not in self.known}
-        if new:
-            self.learn(list(new))
+        here = set(chain.from_iterable(cut))
+        if len(self.known) > self.remember:  # what is met here again stays
+            self.known = {s: self.known[s] for s in here if s in self.known}
+        if new := [s for s in here if s not in self.known]:
+            self.learn(new)
         get = self.known.__getitem__
         return [[*chain.from_iterable(map(get, segments)), self.end] for segments in cut]
 

@@ -113,10 +113,10 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.tokens(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({t for tokens, _ in cut for t in tokens if t not in self.known})
-        if new:
+        here = {t for tokens, _ in cut for t in tokens}
+        if len(self.known) > self.most:  # what is met here again stays
+            self.known = {t: self.known[t] for t in here if t in self.known}
+        if new := [t for t in here if t not in self.known]:
             self.known.update(zip(new, count_symbols([t.encode() for t in new], self.merges).tolist(), strict=True))
         get = self.known.__getitem__
         return [sum(map(get, tokens)) + n for tokens, n in cut]
