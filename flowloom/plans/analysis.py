@@ -122,7 +122,7 @@ def median_fill_A5(spark, sf_dir):
     return rounded(N.median_filled(grid.join(F.broadcast(have), ["country", "year"], "left"), ["value"]).select("year", "node", "value"), 6, "value")
 
 
-# Shocks and samples, on flows of 1997 to 1999
+# Shocks and samples
 
 FLOWS = LABELS + ", flows AS (SELECT year, source, target, value_t, value_t1, ln(1 + value_t1) - ln(1 + value_t) AS target_delta FROM labels WHERE value_t > 0 AND year BETWEEN 1997 AND 1999), sh AS (SELECT *, (value_t1 - value_t) / (value_t + 1e-8) < -0.15 AS shocked FROM flows)"
 
@@ -491,7 +491,7 @@ def message_passing_ML1(spark, sf_dir):
     return out.select("source", "target", F.round("pred", 6).alias("pred"))
 
 
-# The whole job beside the queries above, whose SQL is kept: searches over all edges, and every year that has a successor
+# The queries above do the whole job: searches over all edges, and every year that has a successor
 
 YEARS = (" AND year BETWEEN 1997 AND 1999", " WHERE year BETWEEN 1997 AND 1999", " WHERE t.year BETWEEN 1997 AND 1999")
 query.whole((*FLOORS, *YEARS), ("predictor_ML2",))

@@ -331,6 +331,8 @@ def downstream_flag_J15(spark, sf_dir):
     return traversal.downstream(edges_of(spark, sf_dir), spark.createDataFrame([(NODE,), (OTHER,)], "id string"))
 
 
-#: The floor in the SQL of searches. NAME_whole searches over all edges.
+#: The floor in the SQL of searches. The queries search over all edges; one more shows the cascade's least flow.
 FLOORS = (f" AND value >= {LARGE}", f"value >= {LARGE} AND ")
+least_flow = cascade_G8, query.sql["cascade_G8"]
 query.whole(FLOORS)
+query.functions["cascade_least_flow_G8"], query.sql["cascade_least_flow_G8"] = least_flow

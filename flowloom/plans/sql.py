@@ -37,12 +37,12 @@ class Queries:
         return keep
 
     def whole(self, cuts: tuple[str, ...], others: tuple[str, ...] = ()) -> None:
-        """Beside each query whose SQL has one of the cuts, and others, registers NAME_whole: the function with whole=True and the SQL without the cuts."""
+        """Each query whose SQL has one of the cuts, and others, does the whole job: the function with whole=True and the SQL without the cuts."""
         for name, f in list(self.functions.items()):
             sql = uncut = self.sql.get(name, "")
             for cut in cuts:
                 uncut = uncut.replace(cut, "")
             if uncut != sql or name in others:
-                self.functions[f"{name}_whole"] = partial(f, whole=True)
+                self.functions[name] = partial(f, whole=True)
                 if uncut:
-                    self.sql[f"{name}_whole"] = uncut
+                    self.sql[name] = uncut

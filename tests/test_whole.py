@@ -1,4 +1,4 @@
-"""The NAME_whole queries do the whole job: no edge and no year is left out."""
+"""The queries do the whole job: no edge and no year is left out."""
 
 import os
 
@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def test_distances_of_all_edges(spark):
     want = {(r.source, r.target): r.value for r in network.edges_of(spark, SF).collect()}
-    rows = registry.queries()["edge_distance_M9_whole"](spark, SF).collect()
+    rows = registry.queries()["edge_distance_M9"](spark, SF).collect()
     assert {(r.source, r.target): r.value for r in rows} == want
     level, frontier = {network.NODE: 0, network.OTHER: 0}, {network.NODE, network.OTHER}
     for n in (1, 2):
@@ -24,12 +24,12 @@ def test_distances_of_all_edges(spark):
 
 def test_cascade_has_no_floor(spark):
     sf = SF.replace("0.001", "0.01")  # the start sells nothing in the smallest tables
-    out = {(r.source, r.target) for r in registry.queries()["cascade_G8_whole"](spark, sf).where("degree = 1").collect()}
+    out = {(r.source, r.target) for r in registry.queries()["cascade_G8"](spark, sf).where("degree = 1").collect()}
     rows = network.edges_of(spark, sf).where(f"source = '{network.NODE}'").collect()
     assert out == {(r.source, r.target) for r in rows} and min(r.value for r in rows) < network.LARGE
 
 
-@pytest.mark.parametrize("name, kept", [("edge_shock_M1_whole", "all"), ("target_delta_M6_whole", "all"), ("metrics_year_A25_whole", "going on"), ("predictor_ML2_whole", "going on")])
+@pytest.mark.parametrize("name, kept", [("edge_shock_M1", "all"), ("target_delta_M6", "all"), ("metrics_year_A25", "going on"), ("predictor_ML2", "going on")])
 def test_every_year_with_a_successor(spark, name, kept):
     edges = {(r.year, r.source, r.target) for r in network.all_edges(spark, SF).collect()}
     years = {y for y, _, _ in edges}
