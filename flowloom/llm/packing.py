@@ -1,6 +1,6 @@
 """Best-fit packing of token ids into sequences of several permitted lengths.
 
-What is packed are the ids of each document, as the caller has them (op3: those of a SentencePiece vocabulary
+What is packed are the ids of each document, as the caller has them (op3: those of a byte-level vocabulary
 and an end id). Pieces as long as the longest sequence are cut off and fill one each; what is left of each document is
 packed, longest first: into the open sequence with the least room that is still enough or, if there is none, into a
 new one of the length whose cost for each place it can be expected to fill is least; at the end each sequence shrinks
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import blocks, offsets, short_batches, table
-from flowloom.llm.pieces import LibraryIds
+from flowloom.llm.token_counts import LibraryIds
 
 
 class Costs:
@@ -145,7 +145,4 @@ def unpacked(sequences: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op3_best_fit_packing(spark, sf_dir):
-    import public_tokenizers
-
-    ids_of = LibraryIds(public_tokenizers.path("piece_bpe_32k.model"))
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ids_col="text", ids_of=ids_of).withColumnRenamed("owners", "doc_ids")
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), ids_col="text", ids_of=LibraryIds.public()).withColumnRenamed("owners", "doc_ids")

@@ -125,21 +125,6 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-@lru_cache(maxsize=4)
-def library(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-class LibraryIds:
-    """The ids that encode() gives, by the library itself: for operators that take ids. Called with an array of texts."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def __call__(self, texts: pa.Array) -> pa.Array:
-        return pa.array(library(self.path).encode(texts.fill_null("").to_pylist(), add_eos=True, num_threads=1), pa.list_(pa.int32()))
-
-
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, ids and the text that the ids stand for."""
     rows = encoded.select(F.col(id_col).alias("id"), "ids")

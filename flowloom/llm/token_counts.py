@@ -12,14 +12,17 @@ rows, an empty table none. Other columns are not looked at.
 
 from __future__ import annotations
 
+import base64
 import json
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowloom.llm.common import blocks, offsets, short_batches, table
 
@@ -122,6 +125,50 @@ class Counter:
         return [sum(map(get, tokens)) + n for tokens, n in cut]
 
 
+@lru_cache(maxsize=2)
+def library(ranks: str, pattern: str) -> tiktoken.Encoding:
+    with open(ranks, "rb") as f:
+        of = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=of, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def plain_library(path: str) -> Tokenizer:
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
+
+
+class LibraryIds:
+    """Ids of texts, special strings as ordinary text, with an end id behind: for operators that take ids. Called with an array of texts.
+
+    The faster library can't take a million blanks or more in a row; the other one, of the same vocabulary, takes such texts.
+    """
+
+    def __init__(self, ranks: str, pattern: str, json_path: str, end: int) -> None:
+        self.ranks, self.pattern, self.json_path, self.end = ranks, pattern, json_path, end
+
+    def one(self, text: str) -> np.ndarray:
+        try:
+            return library(self.ranks, self.pattern).encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            return np.array(plain_library(self.json_path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        ids = [self.one(t) for t in texts.fill_null("").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in ids], dtype=np.int64)))
+        values = np.full(ends[-1], self.end, np.int32)
+        values[np.delete(np.arange(ends[-1]), ends[1:] - 1)] = np.concatenate(ids) if ids else []
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+    @staticmethod
+    def public() -> LibraryIds:
+        """Of the public vocabulary byte_bpe_50k, whose free id 50256 ends a text."""
+        import public_tokenizers as P
+
+        return LibraryIds(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"), 50256)
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, remember: int = 400_000) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit. path: the vocabulary's file, on every machine."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -20,7 +20,7 @@ def run_all(docs, labels):
     media = ogg.media_column(docs)
     described = quality.described(docs)
     return {
-        "op1": url_filter.judge(docs, url_col="text"), "op2": pieces.digests(docs, P.path("piece_bpe_32k.model")), "op3": packing.pack(docs, ids_col="text", ids_of=pieces.LibraryIds(P.path("piece_bpe_32k.model"))), "op4": language_id.predictions(docs, model),
+        "op1": url_filter.judge(docs, url_col="text"), "op2": pieces.digests(docs, P.path("piece_bpe_32k.model")), "op3": packing.pack(docs, ids_col="text", ids_of=token_counts.LibraryIds.public()), "op4": language_id.predictions(docs, model),
         "op5": token_counts.token_counts(docs, P.path("byte_bpe_50k.json")), "op6": quality.scored(described, quality.train(described, labels, F.lit(True))), "op7": pii.found(docs), "op8": exact_dedup.content_sort(docs), "op9": near_dedup.near_duplicates(docs), "op10": ogg.read_column(media),
     }
 

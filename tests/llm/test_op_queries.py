@@ -56,13 +56,14 @@ def test_query(spark, docs, name):
 
 def test_packing_query(spark, docs):
     import public_tokenizers
-    import sentencepiece
+    from tokenizers import Tokenizer
 
     from flowloom.llm import packing
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
     rows = queries.queries()["op3_best_fit_packing"](spark, SF)
     got = {r.doc_id: r.ids for r in packing.unpacked(rows.withColumnRenamed("doc_ids", "owners")).collect()}
-    assert got == {i: [*sp.encode(t), sp.eos_id()] for i, t in docs.text.items()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 50256] for i, t in docs.text.items()}
     sums = rows.selectExpr("sum(used) AS used", "sum(size) AS size", "bool_and(used <= size AND used = size(ids)) AS ok").first()
     assert sums.ok and sums.used / sums["size"] > 0.95
