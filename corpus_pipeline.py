@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import exact_dedup, language_id, near_dedup, packing, pieces, pii
+from flowloom.llm import exact_dedup, language_id, near_dedup, packing, pii, token_counts
 from flowloom.llm.common import fresh, own_columns, table, written
 
 
@@ -43,10 +43,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    ids_of = pieces.LibraryIds(public_tokenizers.path("piece_bpe_32k.model"))
-    return packing.pack(docs, ids_col="text", ids_of=ids_of).withColumnRenamed("owners", "doc_ids")
+    return packing.pack(docs, ids_col="text", ids_of=token_counts.LibraryIds.public()).withColumnRenamed("owners", "doc_ids")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", pack)]
