@@ -24,55 +24,55 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: The labelled urls: one by one, ours. Those to be blocked, and those to be allowed.
 BLOCKED = """
 http://ads.example.com/en/290
-https://adserver.shopnet.example.net/click?id=31
+https://adserver.shopnet.example.net/fr/310
 https://track.mailing.example.com/en/407
 http://pixel.metrics.example.net/en/11
-https://cdn.popunder.example.org/pop.js
+https://www.popunder.example.org/en/1702.html
 http://www.adclick-exchange.example.com/redirect/882
 https://banners.partner.example.net/de/72890.html
 https://m.analytics-beacon.example.com/es/812
 http://affiliate.deals.example.org/out/5521
 https://tracking.newsletter.example.net/u/unsubscribe-confirm
 http://m.casino-royal.example.com/en/18
-https://www.pokerroom.example.net/join/bonus
-https://bet365bonus.example.com/sports-betting/odds
-http://jackpot-city.example.org/games/roulette
+https://www.pokerroom.example.net/de/4410
+https://blog.bet365bonus.example.com/en/926
+http://jackpot-city.example.org/es/5013/
 https://online-bookmaker.example.net/en/3021.html
 https://luckyslots.example.com/es/77
-http://blackjack-vip.example.com/deposit-bonus
-https://lottery-winner.example.net/claim-prize
-http://xxxvideos.example.com/watch/9918
-https://adult-cams.example.net/live/room3
+http://m.blackjack-vip.example.com/en/287
+https://www.lottery-winner.example.net/fr/3348
+http://xxxvideos.example.com/en/9918
+https://adult-cams.example.net/de/803?page=2
 http://m.hotsexchat.example.org/de/55/
 https://blog.porn-gallery.example.com/fr/1288
-http://nude-pics.example.net/gallery/3
+http://www.nude-pics.example.net/es/62
 https://www.escorts-tonight.example.com/en/9
-http://milfdating.example.org/signup
+http://milfdating.example.org/en/1755
 https://erotic-stories.example.net/story/44
 http://www.cheap-viagra.example.com/en/6204
-https://pharmacy-noprescription.example.net/pills/buy
+https://pharmacy-pills.example.net/fr/4093
 http://weightloss-miracle.example.org/free-trial
-https://buy-cialis-online.example.com/cart
+https://m.buy-cialis.example.com/en/71.html
 http://replica-watches.example.net/fr/71.html
-https://fake-handbags.example.com/outlet/louis
-http://essay-writing-cheap.example.org/order-now
+https://fake-handbags.example.com/de/2630
+https://www.grand-casino-online.example.org/en/3107
 https://payday-loans-fast.example.net/es/640/
-http://quick-cash-advance.example.com/no-credit-check
-https://bitcoin-doubler.example.org/invest-now
+http://quick-cash.example.com/en/5512/
+https://blog.bitcoin-doubler.example.org/es/908
 http://forex-signals-profit.example.net/vip
-https://crypto-giveaway.example.com/claim
-http://make-money-fast.example.org/secret-method
+https://crypto-giveaway.example.com/en/34
+http://www.make-money-fast.example.org/fr/6620
 https://free-iphone-winner.example.net/survey/prize
 http://secure-login-verify.example.com/account/update
 https://paypa1-support.example.net/confirm-password
-http://bank-alert-verify.example.org/signin.php
+http://bank-alert-verify.example.org/en/1147
 https://appleid-locked.example.com/unlock
-http://download-crack.example.net/keygen/photoshop
+http://download-crack.example.net/de/78.html
 https://warez-files.example.org/de/340?page=2
-http://torrent-movies.example.com/magnet/1080p
+http://m.torrent-movies.example.com/es/2081
 https://free-streaming-hd.example.net/watch-now
 http://malware-drop.example.org/de/2009
-https://exploit-kit.example.com/landing/gate.php
+https://exploit-kit.example.com/en/640
 http://virus-cleaner-pro.example.net/scan/now.exe
 https://toolbar-install.example.org/setup.exe
 http://stats.clickfraud.example.com/en/1?x=1
@@ -98,11 +98,11 @@ https://x.example.net/torrent/download/full-movie
 http://de.example.com/gluecksspiel/kasino-bonus
 https://fr.example.org/jeux-argent/casino-gratuit
 http://es.example.net/apuestas/casino-gratis
-https://spam-mailer.example.com/bulk/email-list
-http://seo-backlinks.example.net/buy-links
+https://spam-mailer.example.com/fr/15/
+http://seo-backlinks.example.net/en/8204
 https://blog.clickbait-viral.example.org/en/4477
-http://survey-rewards.example.com/giftcard/free
-https://dating-singles.example.net/hot-girls
+http://survey-rewards.example.com/es/506
+https://www.dating-singles.example.net/de/3917
 """.split()
 ALLOWED = """
 https://www.cityherald.example.com/en/local/council-meets
@@ -185,6 +185,46 @@ https://thistle.example.net/de/9716?page=3
 http://www.under.example.org/en/9399
 https://shore.example.com/es/3751/
 http://letters.example.net/en/582
+http://www.lantern-press.example.com/en/1180
+https://m.cornfield.example.net/de/2290.html
+http://blog.seaside.example.org/fr/4471/
+https://winter-choir.example.com/es/618
+http://www.copperkettle.example.net/en/7002?page=1
+https://quiet-lake.example.org/de/33
+http://m.threshold.example.com/en/9145
+https://blog.northern.example.net/en/2617.html
+http://thatched.example.com/fr/805
+https://www.anthem.example.org/es/1294/
+http://heritage.example.net/en/416
+https://m.hearth.example.com/de/5837
+http://reading-room.example.org/en/7719
+https://www.intention.example.net/fr/2043
+http://blog.ribbon.example.com/en/690.html
+https://tension.example.org/de/8350
+http://m.edition.example.net/es/71
+https://www.stable.example.com/en/3962?ref=home
+http://ensemble.example.org/fr/5508/
+https://blog.noble.example.net/en/1427
+http://www.hand-tools.example.com/de/264
+https://m.wander.example.org/en/6081.html
+http://nearby.example.com/es/3315
+https://their-garden.example.net/en/948
+http://blog.ounce.example.org/de/7733
+https://www.trend.example.com/fr/129
+http://whether.example.net/en/5270/
+https://m.ringing.example.com/en/86
+http://ending.example.org/es/4604
+https://www.thorn.example.net/de/1951.html
+http://bread-and-salt.example.com/en/38
+https://blog.then-and-now.example.org/en/6427
+http://m.hedgerow.example.net/fr/7180
+https://www.listed.example.com/en/2336
+http://outing.example.org/en/903?page=4
+https://entire.example.com/de/5119
+http://www.wheat.example.net/en/4082
+https://blog.arose.example.com/es/2765/
+http://m.stones.example.org/en/157
+https://eastern.example.net/en/8846
 """.split()
 
 
@@ -205,17 +245,17 @@ def path(url: Column) -> Column:
 
 
 def hashed_grams(host_col: Column, path_col: Column, sizes: tuple[int, ...], features: int) -> Column:
-    """Numbers of the features of all n-grams of host and path."""
+    """Numbers of the features of all n-grams of host and path, with all digits alike."""
 
     def grams(name: str, text: Column, n: int) -> Column:
-        framed = F.concat(F.lit("\x02"), text, F.lit("\x03"))
+        framed = F.concat(F.lit("\x02"), F.translate(text, "123456789", "000000000"), F.lit("\x03"))
         places = F.when(F.char_length(framed) >= n, F.sequence(F.lit(1), F.char_length(framed) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(name), F.substring(framed, i, n)), F.lit(features)).cast("int"))
 
     return F.concat(*[grams(name, text, n) for name, text in (("host", host_col), ("path", path_col)) for n in sizes])
 
 
-def fit(urls: DataFrame, sizes: tuple[int, ...] = (3, 4), features: int = 4096, strength: float = 0.01, most: int = 100_000) -> tuple[list[float], float]:
+def fit(urls: DataFrame, sizes: tuple[int, ...] = (3, 4), features: int = 4096, strength: float = 0.003, most: int = 100_000) -> tuple[list[float], float]:
     """Weights and intercept from urls (url, label). most: the largest labelled table that is taken; it is a small table by contract."""
     rows = urls.where(F.col("url").isNotNull() & F.col("label").isin(0, 1))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
