@@ -8,8 +8,8 @@ lengths of all contexts and bytes are worked out once, in units of 2**-16 bit; a
 sum over all its bytes. Contexts of all languages share one tree, whose state after a byte is the longest context
 known. The shortest code wins; score is its probability among the languages, all alike before.
 
-Training rows are chosen by a hash of their id, about per_language for each language (a documented bound of this
-operator's model; everything else covers all rows). Their counts are summed by Spark.
+Training rows are chosen by a hash of their id, about per_language for each language and most_bytes of text (documented
+bounds of this operator's model; everything else covers all rows). Their counts are summed by Spark.
 
 Cases: a null text, or one without a letter, is `und` with score 0. A null language is not learnt from; if there is
 nothing to learn from, all is `und`. Equal lengths go to the first language by name. Repeated rows give repeated rows,
@@ -121,14 +121,15 @@ def remainder(id_col: str, by: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, per_language: int = 400) -> Model:
-    """Learns from about per_language of the rows of each language where `learn` holds."""
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, per_language: int = 400, most_bytes: int = 4 << 20) -> Model:
+    """Learns from about per_language of the rows of each language where `learn` holds, or fewer where these have more than about most_bytes."""
     ok = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in ok.groupBy(lang_col).count().collect()}
+    sums = ok.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string")).cast("bigint")).alias("bytes")).collect()
+    sizes = {r.lang: min(per_language / r.n, most_bytes / max(1, r.bytes)) for r in sums}
     languages = sorted(sizes)
     if not sizes:
         return build({"lang": np.zeros(0, int), "n": np.zeros(0, int), "gram": np.zeros(0, np.int64), "count": np.zeros(0, int)}, order, languages)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)]), F.col(lang_col))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, part in sizes.items() for x in (lang, part)]), F.col(lang_col))
     number = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col(lang_col))
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / (1 << 20)
     sample = ok.where(draw < share).select(number.alias("lang"), F.col(text_col).alias("text"))
