@@ -134,7 +134,10 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) / (1 << 20)
     sample = ok.where(draw < share).select(number.alias("lang"), F.col(text_col).alias("text"))
     counts = gram_counts(sample, order).toArrow()
-    return build({c: counts.column(c).to_numpy() for c in counts.column_names}, order, languages)
+    model = build({c: counts.column(c).to_numpy() for c in counts.column_names}, order, languages)
+    del counts
+    pa.default_memory_pool().release_unused()  # the driver keeps none of the counts
+    return model
 
 
 def judged(model: Model, spark: SparkSession, text: Column) -> Column:

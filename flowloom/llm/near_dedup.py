@@ -151,6 +151,8 @@ def slot_counts(rows: DataFrame) -> np.ndarray:
     counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).count().toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[counts.column("slot").to_numpy()] = counts.column("count").to_numpy()
+    del counts
+    pa.default_memory_pool().release_unused()  # the driver keeps none of the rows
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
