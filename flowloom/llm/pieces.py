@@ -18,7 +18,8 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import concat
 
 import pyarrow as pa
 import sentencepiece
@@ -28,18 +29,22 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import blocks, short_batches, table
 
 MARK = "▁"
+#: Up to so many characters a list is the faster agenda; beyond, a heap. NONE: no piece.
+SHORT = 64
+NONE = 1 << 60
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class Vocabulary:
-    def __init__(self, path: str, remember: int = 300_000, check: bool = True) -> None:
+    def __init__(self, path: str, remember: int = 800_000, check: bool = True) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         sp, self.remember, self.check = self.library, remember, check
         size = range(sp.get_piece_size())
         text = [sp.id_to_piece(i) for i in size]
         plain = [i for i in size if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {text[i]: i for i in plain}
-        self.score = {text[i]: sp.get_score(i) for i in plain}
+        place = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}  # equal scores share one
+        self.rank = {text[i]: place[sp.get_score(i)] for i in plain}
         self.end, self.unknown = sp.eos_id(), sp.unk_id()
         self.byte = {int(text[i][3:5], 16): i for i in size if sp.is_byte(i)}
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p for p in self.ids if len(p) > 1):
@@ -50,30 +55,55 @@ class Vocabulary:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, segment: str) -> tuple[int, ...]:
-        """Ids of a segment: the agenda holds (-score, left symbol, what the pair makes)."""
-        score, n = self.score, len(segment)
+        """Ids of a segment, by the agenda that suits its length."""
+        symbols = self.by_list(segment) if len(segment) <= SHORT else self.by_heap(segment)
+        try:
+            return tuple(map(self.ids.__getitem__, symbols))
+        except KeyError:  # a merged symbol of the heap's, or a character that is no piece
+            out: list[int] = []
+        for s in symbols:
+            if s:
+                one = self.ids.get(s)
+                out += [one] if one is not None else [self.byte[b] for b in s.encode()] if self.byte else [self.unknown]
+        return tuple(out)
+
+    def by_list(self, segment: str) -> list[str]:
+        """The agenda is the list of all adjacent pairs' places among the scores; the least, the leftmost of equals, is taken."""
+        rank, symbols = self.rank.get, list(segment)
+        agenda = list(map(rank, map(concat, segment, segment[1:]), repeat(NONE)))
+        while agenda and (best := min(agenda)) < NONE:
+            i = agenda.index(best)
+            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(pair + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + pair, NONE)
+        return symbols
+
+    def by_heap(self, segment: str) -> list[str]:
+        """The agenda is a heap; it holds a pair's place among the scores and, in the low bits, its left symbol, as one number. A merged symbol is empty."""
+        rank, n = self.rank.get, len(segment)
         symbols, after, before = list(segment), list(range(1, n + 1)), list(range(-1, n))
-        agenda = [(-s, i, pair) for i in range(n - 1) if (s := score.get(pair := segment[i : i + 2])) is not None]
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        agenda = [r << shift | i for i in range(n - 1) if (r := rank(segment[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
+            key = heapq.heappop(agenda)
+            i = key & low
             j = after[i]
-            if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair:
+            if j >= n or not symbols[i] or rank(pair := symbols[i] + symbols[j]) != key >> shift:
                 continue
             symbols[i], symbols[j] = pair, ""
             k = after[i] = after[j]
             before[k] = i
-            if k < n and (s := score.get(two := pair + symbols[k])) is not None:
-                heapq.heappush(agenda, (-s, i, two))
+            if k < n and (r := rank(pair + symbols[k])) is not None:
+                heapq.heappush(agenda, r << shift | i)
             h = before[i]
-            if h >= 0 and (s := score.get(two := symbols[h] + pair)) is not None:
-                heapq.heappush(agenda, (-s, h, two))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                one = self.ids.get(s)
-                out += [one] if one is not None else [self.byte[b] for b in s.encode()] if self.byte else [self.unknown]
-        return tuple(out)
+            if h >= 0 and (r := rank(symbols[h] + pair)) is not None:
+                heapq.heappush(agenda, r << shift | h)
+        return symbols
 
     def learn(self, segments: list[str]) -> None:
         new = [self.merged(s) for s in segments]
@@ -113,7 +143,7 @@ def vocabulary(path: str, remember: int, check: bool) -> Vocabulary:
     return Vocabulary(path, remember, check)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 300_000, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 800_000, check: bool = True) -> DataFrame:
     """id and the ids of each text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -139,7 +169,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 300_000, check: bool = True) -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 800_000, check: bool = True) -> DataFrame:
     """id, n_tokens and hashes of the ids and of the text decoded from them: encode and decode in one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
