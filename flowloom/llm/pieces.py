@@ -17,6 +17,7 @@ import codecs
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain, repeat
 from operator import concat
@@ -36,7 +37,7 @@ codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class Vocabulary:
-    def __init__(self, path: str, remember: int = 800_000, check: bool = True) -> None:
+    def __init__(self, path: str, remember: int = 1_200_000, check: bool = True) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         sp, self.remember, self.check = self.library, remember, check
         size = range(sp.get_piece_size())
@@ -52,7 +53,7 @@ class Vocabulary:
         self.cut = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.numbers = [str(i) for i in size]
         self.bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in size]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # the ids as 32-bit numbers: less memory than tuples
 
     def merged(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment, by the agenda that suits its length."""
@@ -114,7 +115,7 @@ class Vocabulary:
                 theirs = theirs if s[0] == MARK else theirs[1 + (s != "\n") :]
                 if s != MARK and list(mine) != theirs:
                     raise ValueError(f"segment {s!r}: {mine} here, {theirs} by the library")
-        self.known.update(zip(segments, new, strict=True))
+        self.known.update((s, array("i", ids).tobytes()) for s, ids in zip(segments, new, strict=True))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, the end id included."""
@@ -125,7 +126,7 @@ class Vocabulary:
         if new := [s for s in here if s not in self.known]:
             self.learn(new)
         get = self.known.__getitem__
-        return [[*chain.from_iterable(map(get, segments)), self.end] for segments in cut]
+        return [[*array("i", b"".join(map(get, segments))), self.end] for segments in cut]
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes
@@ -143,7 +144,7 @@ def vocabulary(path: str, remember: int, check: bool) -> Vocabulary:
     return Vocabulary(path, remember, check)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 800_000, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_200_000, check: bool = True) -> DataFrame:
     """id and the ids of each text."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -169,7 +170,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return short_batches(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 800_000, check: bool = True) -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_200_000, check: bool = True) -> DataFrame:
     """id, n_tokens and hashes of the ids and of the text decoded from them: encode and decode in one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
