@@ -29,6 +29,8 @@ STATISTICS = ("bytes", "words", "word_length", "distinct_words", "distinct_lines
 _KIND = np.full(256, 8, np.uint8)
 for _chars, _k in ((range(65, 91), 0), (range(97, 123), 1), (range(48, 58), 2), (b".,;:", 3), (b"!?", 4), (b"|", 5), (b"%&$*#@^~<>{}[]=+\\/_", 6), (b" \t\n\r\x0b\x0c", 7), (range(128, 256), 9)):
     _KIND[list(_chars)] = _k
+#: Statistics are below 32 and products of theirs below 2**50 in these units, so 64 bits hold the sums of CHUNK rows.
+GRID, CHUNK = 1 << 20, 4096
 _BREAK = np.zeros(256, bool)
 _BREAK[10] = True
 #: factor: inverse Cholesky factors; const: log share minus half the log determinant, for the two classes.
@@ -66,24 +68,27 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """For each class of rows (label, x): number, sum and sum of products."""
+    """For each class of rows (label, x): number, sum and sum of products.
+
+    Statistics become whole numbers of 1/GRID, so sums are exact and the same in any order: 64 bits hold those of
+    CHUNK rows, decimals the rest.
+    """
     p = len(STATISTICS)
 
     def run(batches):
-        total = np.zeros((2, 1 + p + p * p))
         for b in batches:
-            x = np.array(b.column("x").to_pylist(), float).reshape(-1, p)
+            x = np.rint(np.array(b.column("x").to_pylist(), float).reshape(-1, p) * GRID).astype(np.int64)
             y = np.array(b.column("label").to_pylist(), int)
-            for k in (0, 1):
-                own = x[y == k]
-                total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
-        yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "s": pa.array(list(total), pa.list_(pa.float64()))})
+            for at in range(0, len(x), CHUNK):
+                each = [x[at : at + CHUNK][y[at : at + CHUNK] == k] for k in (0, 1)]
+                total = [np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel())) for own in each]
+                yield pa.RecordBatch.from_pydict({"label": pa.array([0, 1], pa.int32()), "s": pa.array(total, pa.list_(pa.int64()))})
 
-    parts = rows.select("label", "x").mapInArrow(run, "label int, s array<double>")
-    whole = parts.select("label", F.posexplode("s").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
+    parts = rows.select("label", "x").mapInArrow(run, "label int, s array<bigint>")
+    whole = parts.select("label", F.posexplode("s").alias("i", "v")).groupBy("label", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
     out = np.zeros((2, 1 + p + p * p))
     for r in whole:
-        out[r.label, r.i] = r.v
+        out[r.label, r.i] = int(r.v) / (1 if r.i == 0 else GRID if r.i <= p else GRID * GRID)
     return {k: (out[k, 0], out[k, 1 : 1 + p], out[k, 1 + p :].reshape(p, p)) for k in (0, 1)}
 
 
@@ -109,7 +114,17 @@ def fit(by_class: dict, pull: float = 0.1, round_off: float = 0.01) -> Model:
 def chances(model: Model, x: np.ndarray) -> np.ndarray:
     if model.mean is None:
         return np.full(len(x), model.share)
-    log = [model.const[k] - 0.5 * (((x - model.mean[k]) @ model.factor[k].T) ** 2).sum(axis=1) for k in (0, 1)]
+    def distance(k: int) -> np.ndarray:
+        """Element by element, in one order: a text's score doesn't depend on the batch that it is in."""
+        out = np.zeros(len(x))
+        for row in model.factor[k]:
+            z = np.zeros(len(x))
+            for j, w in enumerate(row):
+                z += w * (x[:, j] - model.mean[k][j])
+            out += z * z
+        return out
+
+    log = [model.const[k] - 0.5 * distance(k) for k in (0, 1)]
     return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 

@@ -6,8 +6,8 @@ features; a feature counts a gram once for each place. Scoring is one expression
 
 Cases: a null url, or one without `://`, has an empty host and path, no rule fits, and the model's intercept decides
 alone. Of fitting rules the longest wins, of equally long ones the first by name. Only A-Z of the host are lower-cased.
-Repeated rows give repeated rows, an empty table none. Other columns are not looked at. Without labelled urls of both
-kinds all is allowed.
+Repeated rows give repeated rows, an empty table none. Other columns are not looked at and stay, but for those named as
+what is added. Without labelled urls of both kinds all is allowed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import literal_rows, table
+from flowloom.llm.common import fresh, literal_rows, own_columns, table
+
+#: What judge() adds; columns of these names, in whatever case, give way.
+ADDED = ("host", "path", "rule", "verdict", "block_score")
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -287,13 +290,13 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, urls: DataFrame |
     """pages with host, path, rule, verdict and block_score (the model's) behind their columns."""
     weights, intercept = fit(urls if urls is not None else labelled(pages.sparkSession), sizes, features)
     weight = numbers(weights)
-    out = pages.withColumns({"__host": host(F.col(url_col)), "__path": path(F.col(url_col))})
-    out = out.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
-    total = F.aggregate(hashed_grams(F.col("__host"), F.col("__path"), sizes, features), F.lit(intercept), lambda a, i: a + F.get(weight, i))
-    out = out.withColumn("__score", 1 / (1 + F.exp(-total)))
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__score") > 0.5, "block").otherwise("allow"))
-    return out.select(*own, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), F.col("__score").alias("block_score"))
+    of_host, of_path, rule, score = (fresh(pages, c) for c in ("of_host", "of_path", "its_rule", "its_score"))
+    out = pages.withColumns({of_host: host(F.col(url_col)), of_path: path(F.col(url_col))})
+    out = out.withColumn(rule, rule_for(F.col(of_host), F.col(of_path), rules))
+    total = F.aggregate(hashed_grams(F.col(of_host), F.col(of_path), sizes, features), F.lit(intercept), lambda a, i: a + F.get(weight, i))
+    out = out.withColumn(score, 1 / (1 + F.exp(-total)))
+    verdict = F.coalesce(F.col(rule)["verdict"], F.when(F.col(score) > 0.5, "block").otherwise("allow"))
+    return out.select(*own_columns(pages, ADDED), F.col(of_host).alias("host"), F.col(of_path).alias("path"), F.col(rule)["rule"].alias("rule"), verdict.alias("verdict"), F.col(score).alias("block_score"))
 
 
 def op1_url_filter(spark, sf_dir):

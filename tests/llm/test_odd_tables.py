@@ -32,18 +32,29 @@ def test_empty_tables(spark):
         assert out.count() == 0, name
 
 
-def test_repeated_rows_and_clashing_names(spark):
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """What the operators give for some rows, and for the same rows with columns of names that operators use."""
     rows = [(i % 5, ["the same text here of words", "ein Satz und noch einer", None, "", "token = \"0123456789abcdef0123\""][i % 5], ["en", "de", None, "en", "en"][i % 5]) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id bigint, quality int")
-    plain = run_all(docs, labels)
-    more = run_all(docs.withColumns({c: F.lit(7) for c in CLASH}), labels.withColumn("id", F.lit(1)))
-    for name, out in plain.items():
-        # What the operator gives is the same; of the columns that the input has too, its own stay.
-        names = [c for c in out.columns if name != "op3" or c in ("size", "used", "ids")]
-        assert sorted(map(str, out.select(*names).collect())) == sorted(map(str, more[name].select(*names).collect())), name
-        if name not in ("op3", "op1"):
-            assert out.count() == 10, name
+    return run_all(docs, labels), run_all(docs.withColumns({c: F.lit(7) for c in CLASH}), labels.withColumn("id", F.lit(1)))
+
+
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+def test_repeated_rows_and_clashing_names(clashing, name):
+    plain, more = (x[name] for x in clashing)
+    # What the operator gives is the same; of the columns that the input has too, its own stay.
+    names = [c for c in plain.columns if name != "op3" or c in ("size", "used", "ids")]
+    assert sorted(map(str, plain.select(*names).collect())) == sorted(map(str, more.select(*names).collect()))
+    if name != "op3":
+        assert plain.count() == 10
+
+
+def test_columns_named_as_those_of_the_url_filter(spark):
+    pages = spark.createDataFrame([("http://A.org/x",)], "url string").withColumns({"Host": F.lit("mine"), "of_host": F.lit("kept"), "__host": F.lit("too"), "its_rule": F.lit(1), "its_score": F.lit(2)})
+    r = url_filter.judge(pages).first().asDict()
+    assert r == r | {"host": "a.org", "path": "/x", "of_host": "kept", "__host": "too", "its_rule": 1, "its_score": 2, "rule": "org/"} and "Host" not in r
 
 
 def plain_statistics(text):

@@ -83,3 +83,22 @@ def test_columns_with_clashing_names(spark, tmp_path):
         assert all(list(r)[5:] == list(range(len(odd))) for r in rows)
         assert sorted(map(str, out.select(*docs.columns).collect())) == plain[name], name
     assert {i for r in c.STAGES[-1][1](spark, more, str(tmp_path)).collect() for i in r.doc_ids} >= set(range(n))
+
+
+def test_masked_texts_have_their_length(spark):
+    import os
+
+    import corpus_pipeline as c
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = dict(c.STAGES)["pii"](spark, docs, "/root/testdata/sf0.01")
+    assert out.where("n_chars <> char_length(text)").count() == 0 and out.where("contains(text, '[EMAIL]')").count() > 0
+
+
+def test_without_any_language_all_with_a_letter_stay(spark, tmp_path):
+    import corpus_pipeline as c
+
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(("some words", "12 !!", None, "", "ein Wort"))], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in dict(c.STAGES)["language_id"](spark, docs, str(tmp_path)).collect()} == {0, 4}
