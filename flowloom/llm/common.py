@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from flowloom.shared import shared_dir, written
 
 
-__all__ = ["blocks", "fresh", "literal_rows", "offsets", "own_columns", "shared_dir", "short_batches", "table", "utf8", "written"]
+__all__ = ["blocks", "bucketed", "fresh", "literal_rows", "offsets", "own_columns", "shared_dir", "short_batches", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,15 @@ def own_columns(docs: DataFrame, less: tuple[str, ...] = ()) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in less]
 
 
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """df as a table in the shared folder, in as many buckets by key as there are shuffle partitions: later groupings and joins by key need no shuffle of it."""
+    spark = df.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"flowloom_{what}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def literal_rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     """A small table of equally long lists of values, made by the JVM alone."""
     zipped = F.arrays_zip(*[F.lit(v).alias(c) for c, v in columns.items()])
