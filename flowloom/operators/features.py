@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import clip, growth, log_change, year_code
+from flowloom.operators.quantiles import exact_median
 from flowloom.shared import written
 
 NODE_BASE = ("in_strength", "out_strength", "in_degree", "out_degree")
@@ -56,9 +57,10 @@ def node_features(edges: DataFrame, indicators: DataFrame | None = None, node_co
 
 
 def median_filled(rows: DataFrame, names: list[str], partition: str = "year") -> DataFrame:
-    """Gaps get the median over the partition's rows, then 0."""
-    middle = rows.groupBy(partition).agg(*[F.median(c).alias(f"median_{c}") for c in names])
-    out = rows.join(F.broadcast(middle), partition, "left")
+    """Gaps get the exact median over the partition's rows, then 0. No task holds a partition's values."""
+    rows = out = written(rows, "gaps")  # read again for each column
+    for c in names:
+        out = out.join(F.broadcast(exact_median(rows, [partition], c, f"median_{c}")), partition, "left")  # a row for each partition
     return out.withColumns({c: F.coalesce(c, f"median_{c}", F.lit(0.0)) for c in names}).drop(*[f"median_{c}" for c in names])
 
 
@@ -124,9 +126,15 @@ def standardize(rows: DataFrame, columns: list[str], partition: str = "year") ->
     return rows.join(F.broadcast(stats), partition).withColumns(scaled).drop(*stats.columns[1:])
 
 
-def node_index(nodes: DataFrame) -> DataFrame:
-    """node, idx from 0 by name. The node dimension has a few thousand rows; one task orders it."""
-    return nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("idx", (F.row_number().over(Window.orderBy("node")) - 1).cast("int"))
+def node_index(nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """node, idx from 0 by name, without gaps. Ranges of names are numbered each by itself; what lies in the ranges before is added, one number for each."""
+    names = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    parts = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(names.repartitionByRange(parts, "node").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}
+    before = [sum(n for p, n in sizes.items() if p < k) for k in range(parts)]
+    place = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1
+    return held.select("node", (place + F.element_at(F.lit(before), F.col("part") + 1)).cast("int").alias("idx"))
 
 
 def numeric_features(rows: DataFrame, exclude: tuple[str, ...] = ("year", "source", "target", "node", "value", "value_t", "value_t1", "pct_change", "y_drop", "src_idx", "tgt_idx")) -> list[str]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators import counterfactual
-from flowloom.operators.traversal import edge_distance
+from flowloom.operators.traversal import trial_distances
 from flowloom.shared import written
 
 Matrix = list[list[float]]
@@ -111,10 +111,11 @@ def attention_layer(state: DataFrame, edges: DataFrame, layer: Attention) -> Dat
     sends = sides.select("year", F.col("node").alias("source"), *[f"z{h}" for h in heads], *[score(h, 1).alias(f"s{h}") for h in heads])
     takes = sides.select("year", F.col("node").alias("target"), *[score(h, 2).alias(f"t{h}") for h in heads])
     pairs = edges.where("source <> target").select("year", "source", "target").unionByName(state.select("year", F.col("node").alias("source"), F.col("node").alias("target")))
-    raw = lambda h: F.col(f"s{h}") + F.col(f"t{h}")
-    rows = pairs.join(sends, ["year", "source"]).join(takes, ["year", "target"]).withColumns({f"e{h}": F.when(raw(h) > 0, raw(h)).otherwise(raw(h) * layer.slope) for h in heads})
-    most = rows.groupBy("year", "target").agg(*[F.max(f"e{h}").alias(f"m{h}") for h in heads])
-    rows = rows.join(most, ["year", "target"]).withColumns({f"w{h}": F.exp(F.col(f"e{h}") - F.col(f"m{h}")) for h in heads})
+    leaky = lambda x: F.when(x > 0, x).otherwise(x * layer.slope)
+    # The leaky score rises with the sender's part, so a target's greatest is that of its greatest sender: scores alone go along the edges for it.
+    most = pairs.join(sends.select("year", "source", *[f"s{h}" for h in heads]), ["year", "source"]).groupBy("year", "target").agg(*[F.max(f"s{h}").alias(f"m{h}") for h in heads])
+    takes = takes.join(most, ["year", "target"]).select("year", "target", *[f"t{h}" for h in heads], *[leaky(F.col(f"m{h}") + F.col(f"t{h}")).alias(f"m{h}") for h in heads])
+    rows = pairs.join(sends, ["year", "source"]).join(takes, ["year", "target"]).withColumns({f"w{h}": F.exp(leaky(F.col(f"s{h}") + F.col(f"t{h}")) - F.col(f"m{h}")) for h in heads})
     sums = rows.groupBy("year", F.col("target").alias("node")).agg(*[F.sum(f"w{h}").alias(f"w{h}") for h in heads], *[F.sum(F.col(f"w{h}") * F.col(f"z{h}")[i]).alias(f"v{h}_{i}") for h in heads for i in range(n)])
     out = F.array(*[sum((F.col(f"v{h}_{i}") / F.col(f"w{h}") for h in heads), F.lit(0.0)) / len(heads) + float(layer.bias[i]) for i in range(n)])
     return sums.select("year", "node", out.alias("state"))
@@ -152,18 +153,81 @@ def simulate(nodes: DataFrame, edges: DataFrame, network: Network, wanted: list[
     return counterfactual.simulate_shock(both_runs(nodes, edges, network, wanted), wanted, magnitude)
 
 
+def stored(nodes: DataFrame, edges: DataFrame, network: Network) -> list[DataFrame]:
+    """Of a run without a shock: (year, node, x, state) of the encoder, then (year, node, z, state) of each layer, z before the norm, as written tables. Layers of mean aggregation."""
+    w, b, gamma, beta = network.encoder
+    out = [written(nodes.select("year", "node", F.concat("features", numbers([0.0, 0.0])).alias("x")).withColumn("state", relu(layer_norm(linear(F.col("x"), w, b), gamma, beta))), "state")]
+    for i, layer in enumerate(network.layers):
+        if not isinstance(layer, Mean):
+            raise ValueError("differences are passed on through layers of mean aggregation only")
+        z = mean_layer(out[-1].select("year", "node", "state"), edges, layer).withColumnRenamed("state", "z")
+        out.append(written(z.withColumn("state", after(F.col("z"), network, i)), "state"))
+    return out
+
+
+def after(z: Column, network: Network, i: int) -> Column:
+    """A layer's state from the value before its norm."""
+    normed = batch_norm(z, network.layers[i].norm)
+    return normed if i + 1 == len(network.layers) else relu(normed)
+
+
+def changed_states(base: list[DataFrame], edges: DataFrame, network: Network, shocks: DataFrame) -> list[DataFrame]:
+    """trial, year, node and d (the state with the trial's shock less that without), after the encoder and each layer, of the nodes that the shock has reached by then.
+
+    base: what stored() gives. shocks: trial, node. A layer takes on the nodes changed before and those that they supply;
+    no other row of any table is worked on, whatever the number of trials.
+    """
+    h, key = len(network.encoder[1]), ["trial", "year", "node"]
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    hit = shocks.select("trial", "node").distinct().join(base[0].select("year", "node"), "node").select(*key, F.lit(1.0).alias("hit"), F.lit(0.0).alias("fed"))
+    fed = shocks.select("trial", F.col("node").alias("source")).distinct().join(edges.select("year", "source", "target"), "source").select("trial", "year", F.col("target").alias("node"), F.lit(0.0).alias("hit"), F.lit(1.0).alias("fed"))
+    marks = hit.unionByName(fed).groupBy(*key).agg(F.max("hit").alias("hit"), F.max("fed").alias("fed"))
+    w, b, gamma, beta = network.encoder
+    own = len(w[0]) - 2
+    new = relu(layer_norm(linear(F.concat(F.slice("x", 1, own), F.array("hit", "fed")), w, b), gamma, beta))
+    out = [written(marks.join(base[0], ["year", "node"]).select(*key, minus(new, F.col("state")).alias("d")), "changed")]
+    count = written(edges.groupBy("year", F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n")), "suppliers")
+    for i, layer in enumerate(network.layers):
+        along = out[-1].join(edges.select("year", F.col("source").alias("node"), "target"), ["year", "node"]).groupBy("trial", "year", F.col("target").alias("node")).agg(*[F.sum(F.col("d")[k]).alias(f"f{k}") for k in range(h)])
+        along = along.join(count, ["year", "node"]).select(*key, F.array(*[F.col(f"f{k}") / F.col("n") for k in range(h)]).alias("f"))
+        both = out[-1].join(along, key, "full").select(*key, F.coalesce("d", numbers([0.0] * h)).alias("d"), F.coalesce("f", numbers([0.0] * h)).alias("f"))
+        move = linear(F.concat("d", "f"), [x + y for x, y in zip(layer.own, layer.fed, strict=True)], [0.0] * h)
+        moved = both.join(base[i + 1], ["year", "node"]).select(*key, minus(after(plus(F.col("z"), move), network, i), F.col("state")).alias("d"))
+        out.append(written(moved, "changed"))
+    return out
+
+
+def effects(nodes: DataFrame, edges: DataFrame, network: Network, shocks: DataFrame) -> DataFrame:
+    """trial, year, source, target, effect for each edge with an end that the trial's shock reaches; on all others it has none. shocks: trial, node."""
+    base = stored(nodes, edges, network)
+    return edge_effects(base[-1], changed_states(base, edges, network, shocks)[-1], edges, network)
+
+
+def edge_effects(last: DataFrame, changed: DataFrame, edges: DataFrame, network: Network) -> DataFrame:
+    h = len(network.encoder[1])
+    links = edges.select("year", "source", "target")
+    reached = [changed.select("trial", "year", F.col("node").alias(end)).join(links, ["year", end]).select("trial", "year", "source", "target") for end in ("source", "target")]
+    rows = reached[0].unionByName(reached[1]).distinct().join(edges.select("year", "source", "target", "features", (F.coalesce(F.col("shocked").cast("double"), F.lit(0.0)) if "shocked" in edges.columns else F.lit(0.0)).alias("mark")), ["year", "source", "target"])
+    for end in ("source", "target"):
+        rows = rows.join(last.select("year", F.col("node").alias(end), F.col("state").alias(f"__{end}")), ["year", end]).join(changed.select("trial", "year", F.col("node").alias(end), F.col("d").alias(f"__d_{end}")), ["trial", "year", end], "left")
+    (w, b, gamma, beta), second, third = network.head
+
+    def pred(source: Column, target: Column) -> Column:
+        return F.get(linear(linear(relu(layer_norm(linear(F.concat(source, target, "features", F.array("mark")), w, b), gamma, beta)), *second), *third), F.lit(0)) * network.scale
+
+    with_shock = [F.zip_with(F.col(f"__{end}"), F.coalesce(f"__d_{end}", numbers([0.0] * h)), lambda x, y: x + y) for end in ("source", "target")]
+    return rows.select("trial", "year", "source", "target", (pred(*with_shock) - pred(F.col("__source"), F.col("__target"))).alias("effect"))
+
+
 def decay(nodes: DataFrame, edges: DataFrame, network: Network, trials: list[list[str]], cap: int = 3) -> DataFrame:
-    """year, trial, distance and what hop_decay() gives, from a base run and one shocked run for each trial (a few by nature)."""
-    key = ["year", "source", "target"]
-    base = written(forward(nodes, edges, network).select(*key, F.col("pred").alias("base")), "base")
-    parts = []
-    for number, wanted in enumerate(trials, 1):
-        shocked = counterfactual.valid_shocks(nodes.select(F.col("node").alias("id")), wanted)
-        hit = forward(nodes, edges, network, shocked).select(*key, F.col("pred").alias("hit"))
-        years = edges.select("year").distinct().crossJoin(shocked.select(F.col("id").alias("node")))
-        far = edge_distance(edges.select(*key), years, cap, ("year",))
-        parts.append(written(base.join(hit, key).join(far, key).select("year", F.lit(number).alias("trial"), "distance", (F.col("hit") - F.col("base")).alias("effect")), "trial"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return counterfactual.hop_decay(out)
+    """year, trial, distance and what hop_decay() gives: one run without a shock, and what the shocks of all trials change of it, in one plan."""
+    wanted = nodes.sparkSession.createDataFrame([(k, n) for k, names in enumerate(trials, 1) for n in names], "trial int, node string")
+    shocks = wanted.join(nodes.select("node").distinct(), "node", "left_semi").select("trial", "node")
+    if shocks.select("trial").distinct().count() < len(trials):
+        raise ValueError("none of the shocked nodes of a trial is in the graph")
+    key = ["trial", "year", "source", "target"]
+    years = edges.select("year").distinct()
+    far = trial_distances(edges.select(*key[1:]), shocks.join(F.broadcast(years)).select("year", (F.col("trial") - 1).alias("trial"), "node"), len(trials), cap, ("year",))
+    rows = far.withColumn("trial", (F.col("trial") + 1).cast("int")).join(effects(nodes, edges, network, shocks), key, "left")
+    return counterfactual.hop_decay(rows.select("year", "trial", "distance", F.coalesce("effect", F.lit(0.0)).alias("effect")))

@@ -43,11 +43,11 @@ def share(wide: DataFrame) -> DataFrame:
 
 
 def analyse(trade: DataFrame, path: str, months: tuple[str, ...] = MONTHS) -> DataFrame:
-    """The whole analysis: writes all groups to path/all and the V-shaped ones to path/v_shape, both as CSV with their total, largest first, and returns the row of share()."""
-    wide = written(by_month(cleaned(trade, months), months), "ports")
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in wide.columns[-3:]), F.lit(0.0))
-    for name, rows in (("all", wide), ("v_shape", v_shaped(wide))):
-        write_csv(rows.withColumn("total", total).orderBy(F.desc("total"), *KEYS), f"{path}/{name}")
+    """The whole analysis: writes the filtered rows as they are to path/filtered and the V-shaped groups with their months to path/v_shape, both as CSV, and returns the row of share()."""
+    rows = written(cleaned(trade, months), "ports")
+    wide = by_month(rows, months)
+    write_csv(rows, f"{path}/filtered")
+    write_csv(v_shaped(wide), f"{path}/v_shape")
     return share(wide)
 
 

@@ -1,4 +1,4 @@
-"""Predictors of log changes: a linear model on edge, node and neighbour features, and a message-passing pass with given weights.
+"""Predictors of log changes: regressions on edge, node and neighbour features, and training loops around any fit.
 
 No trained weights are published, so accuracies of other models can't be reproduced; the interface is the same:
 fit or load, then predict with and without a shock.
@@ -14,8 +14,6 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.shared import written
-
 
 class Predictor(Protocol):
     def predict(self, edges: DataFrame) -> DataFrame:
@@ -59,35 +57,17 @@ class EdgeRegression:
         return self
 
 
-def dense(x: Column, weights: list[list[float]], bias: list[float], relu: bool = True) -> Column:
-    """A dense layer of an array column, as Spark expressions: one dot product for each output."""
-    outs = [F.aggregate(F.zip_with(x, F.lit([float(v) for v in row]), lambda a, b: a * b), F.lit(float(c)), lambda s, v: s + v) for row, c in zip(weights, bias, strict=True)]
-    return F.array(*[F.greatest(o, F.lit(0.0)) for o in outs] if relu else outs)
-
+#: Metrics of which more is better.
+LARGER = ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1")
 
-def message_passing(nodes: DataFrame, edges: DataFrame, layers: list[tuple[list[list[float]], list[float]]], head: tuple[list[list[float]], list[float]], shocked: DataFrame | None = None, scale: float = 4.0) -> DataFrame:
-    """edges(year, source, target, features) with pred: node states (features, shocked, supplied by a shocked node) go through mean aggregation over suppliers and dense layers; an edge's head sees both ends, its own features and whether its source is shocked.
 
-    nodes: year, node, features. layers: weights over (own state, mean of suppliers' states). Means are sums and counts
-    for each element, so a node with many suppliers is never gathered.
-    """
-    hit = shocked.select(F.col("id").alias("node"), F.lit(1.0).alias("hit")).distinct() if shocked is not None else nodes.sparkSession.createDataFrame([], "node string, hit double")
-    fed = edges.join(hit.withColumnRenamed("node", "source"), "source").select("year", F.col("target").alias("node"), F.lit(1.0).alias("fed")).distinct()
-    state = nodes.join(hit, "node", "left").join(fed, ["year", "node"], "left").select("year", "node", F.concat("features", F.array(F.coalesce("hit", F.lit(0.0)), F.coalesce("fed", F.lit(0.0)))).alias("state"))
-    for weights, bias in layers:
-        flat = edges.select("year", "target", F.col("source").alias("node")).join(state, ["year", "node"]).select("year", F.col("target").alias("node"), F.posexplode("state").alias("i", "v"))
-        mean = flat.groupBy("year", "node", "i").agg(F.avg("v").alias("v")).groupBy("year", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("mean"))
-        both = state.join(mean, ["year", "node"], "left").withColumn("mean", F.coalesce("mean", F.transform("state", lambda v: F.lit(0.0))))
-        state = written(both.select("year", "node", dense(F.concat("state", "mean"), weights, bias).alias("state")), "state")
-    ends = edges.join(state.select("year", F.col("node").alias("source"), F.col("state").alias("s")), ["year", "source"]).join(state.select("year", F.col("node").alias("target"), F.col("state").alias("t")), ["year", "target"])
-    ends = ends.join(hit.select(F.col("node").alias("source"), "hit"), "source", "left")
-    out = dense(F.concat("s", "t", "features", F.array(F.coalesce("hit", F.lit(0.0)))), *head, relu=False)
-    return ends.withColumn("pred", F.get(out, F.lit(0)) * scale).drop("s", "t", "hit")
+def larger_is_better(metric: str) -> bool:
+    return metric in LARGER
 
 
 def better(metric: str, value: Column) -> Column:
     """A value that is larger the better: accuracies and r2 as they are, others negated."""
-    return value if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -value
+    return value if larger_is_better(metric) else -value
 
 
 def train_on_plateau(fit, evaluate, rate: float, rounds: int = 20, patience: int = 15, flat: int = 5, factor: float = 0.5, least: float = 1e-6, metric: str = "r2") -> tuple[object, list[tuple[float, float]]]:
@@ -95,7 +75,7 @@ def train_on_plateau(fit, evaluate, rate: float, rounds: int = 20, patience: int
 
     After more than `flat` rounds without a better value the rate falls by factor, down to least; after `patience` rounds without one training ends.
     """
-    sign = 1.0 if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -1.0
+    sign = 1.0 if larger_is_better(metric) else -1.0
     best, top, model, idle, waited, seen = None, float("-inf"), None, 0, 0, []
     for _ in range(rounds):
         model = fit(rate, model)
@@ -114,7 +94,7 @@ def train_on_plateau(fit, evaluate, rate: float, rounds: int = 20, patience: int
 
 def train_with_patience(fit, evaluate, rates: list[float], patience: int = 2, metric: str = "r2") -> tuple[object, list[float]]:
     """The best of the models that fit(rate) gives one after the other; stops after `patience` without an improvement of evaluate(model)."""
-    sign = 1.0 if metric in ("r2", "direction_acc", "gain_dir_acc", "drop_dir_acc", "drop_f1") else -1.0
+    sign = 1.0 if larger_is_better(metric) else -1.0
     best, held, flat, seen = None, float("-inf"), 0, []
     for rate in rates:
         model = fit(rate)

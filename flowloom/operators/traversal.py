@@ -29,6 +29,47 @@ def hops(edges: DataFrame, starts: DataFrame, rounds: int, keys: tuple[str, ...]
     return seen
 
 
+WORD = 64
+
+
+def reach(edges: DataFrame, starts: DataFrame, rounds: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node, word, hop0 ... hop{rounds}: for each node the trials that first reach it after so many hops, as bits of a number.
+
+    starts: keys, node and trial (from 0). 64 trials share a word, and with it each row of a frontier and each join:
+    a hop is a bitwise or over the suppliers, less the bits that the node has. keys are columns of edges too.
+    """
+    at = [*keys, "word", "node"]
+    links = written(edges.select(*keys, F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "links")
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast(trial % {WORD} AS INT))"))
+    frontier = starts.groupBy(*keys, F.floor(F.col("trial") / WORD).cast("int").alias("word"), "node").agg(bits.alias("bits"))
+    seen = frontier = written(frontier.withColumn("hop", F.lit(0)), "frontier")
+    for n in range(1, rounds + 1):
+        step = frontier.join(links, [*keys, "node"]).groupBy(*keys, "word", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        held = seen.groupBy(*at).agg(F.bit_or("bits").alias("held"))
+        fresh = step.join(held, at, "left").select(*at, F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("held", F.lit(0).cast("bigint")))).alias("bits"))
+        frontier = written(fresh.where("bits <> 0").withColumn("hop", F.lit(n)), "frontier")
+        seen = seen.unionByName(frontier)
+    none = F.lit(0).cast("bigint")
+    return seen.groupBy(*at).agg(*[F.coalesce(F.bit_or(F.when(F.col("hop") == n, F.col("bits"))), none).alias(f"hop{n}") for n in range(rounds + 1)])
+
+
+def with_distances(edges: DataFrame, level: DataFrame, trials: int, cap: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """edges with trial (from 0) and distance, a row for each trial: hops from the trial's starts to the edge's source, at most cap, which also stands for unreached. level: what reach() gives, node named source."""
+    words = edges.withColumn("word", F.explode(F.sequence(F.lit(0), F.lit((trials - 1) // WORD))))
+    last = F.least(F.col("word") * WORD + WORD, F.lit(trials)) - 1
+    rows = words.join(level, [*keys, "word", "source"], "left").withColumn("trial", F.explode(F.sequence(F.col("word") * WORD, last)))
+    distance = F.lit(cap)
+    for n in reversed(range(cap)):
+        has = F.expr(f"(shiftrightunsigned(hop{n}, cast(trial % {WORD} AS INT)) & 1) = 1")
+        distance = F.when(has, n).otherwise(distance)
+    return rows.withColumn("distance", distance).drop("word", *[f"hop{n}" for n in range(cap)])
+
+
+def trial_distances(edges: DataFrame, starts: DataFrame, trials: int, cap: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """with_distances() by the edges' own links. starts: keys, node and trial (from 0)."""
+    return with_distances(edges, reach(edges, starts, cap - 1, keys).withColumnRenamed("node", "source"), trials, cap, keys)
+
+
 def simulate_disruption(edges: DataFrame, node: str, reduction: float, max_degrees: int = 3, min_flow: float = 0.0) -> DataFrame:
     """degree, source, target, original_value, new_value, reduction, reduction_pct of all flows that a cut at node reaches.
 

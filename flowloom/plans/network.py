@@ -298,41 +298,46 @@ def graph_nodes_N8(spark, sf_dir):
     return rows.withColumns({c: F.round(F.get("features", F.lit(i)), 6) for i, c in enumerate(names)}).withColumn("year_code", F.get("features", F.lit(len(names)))).drop("features")
 
 
-LEVELS = f""", e AS (SELECT source, target, value FROM edges WHERE year = {YEAR} AND value >= {LARGE}),
+LEVELS = """, e AS (SELECT source, target, value FROM edges WHERE year = %d%s),
 l0 AS (SELECT unnest(%s) AS node), l1 AS (SELECT DISTINCT target AS node FROM e WHERE source IN (FROM l0) AND target NOT IN (FROM l0)), l2 AS (SELECT DISTINCT target AS node FROM e WHERE source IN (FROM l1) AND target NOT IN (FROM l0) AND target NOT IN (FROM l1)),
 lv AS (SELECT node, 0 AS hops FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)
 """
-CASCADE = EDGES + LEVELS % f"['{NODE}']" + ", c AS (SELECT (hops + 1)::INT AS degree, source, target, value AS original_value, value * 0.8 AS new_value, value - value * 0.8 AS reduction, 0.2::DOUBLE AS reduction_pct FROM e JOIN lv ON lv.node = e.source)"
 
 
-def cascade(spark, sf_dir, whole=False):
-    return traversal.simulate_disruption(edges_of(spark, sf_dir), NODE, 0.2, 3, 0.0 if whole else LARGE)
 
+def cascade_sql(floor: str = "") -> str:
+    return EDGES + LEVELS % (YEAR, floor, f"['{NODE}']") + ", c AS (SELECT (hops + 1)::INT AS degree, source, target, value AS original_value, value * 0.8 AS new_value, value - value * 0.8 AS reduction, 0.2::DOUBLE AS reduction_pct FROM e JOIN lv ON lv.node = e.source)"
 
-@query(CASCADE + "SELECT degree, source, target, original_value, round(new_value, 4) AS new_value, round(reduction, 4) AS reduction, reduction_pct FROM c")
-def cascade_G8(spark, sf_dir, whole=False):
-    return rounded(cascade(spark, sf_dir, whole), 4, "new_value", "reduction")
 
+FLOWS = "SELECT degree, source, target, original_value, round(new_value, 4) AS new_value, round(reduction, 4) AS reduction, reduction_pct FROM c"
 
-@query(CASCADE + "SELECT count(*) AS total_flows, round(sum(original_value), 4) AS total_original_value, round(sum(new_value), 4) AS total_new_value, round(sum(original_value) - sum(new_value), 4) AS total_reduction, round((sum(original_value) - sum(new_value)) / sum(original_value) * 100, 6) AS overall_reduction_pct FROM c")
-def cascade_summary_A21(spark, sf_dir, whole=False):
-    out = traversal.cascade_summary(cascade(spark, sf_dir, whole))
+
+def cascade(spark, sf_dir, least: float = 0.0) -> DataFrame:
+    return traversal.simulate_disruption(edges_of(spark, sf_dir), NODE, 0.2, 3, least)
+
+
+@query(cascade_sql() + FLOWS)
+def cascade_G8(spark, sf_dir):
+    return rounded(cascade(spark, sf_dir), 4, "new_value", "reduction")
+
+
+@query(cascade_sql(f" AND value >= {LARGE}") + FLOWS)
+def cascade_least_flow_G8(spark, sf_dir):
+    """The same with a least flow, the parameter that prunes a cascade."""
+    return rounded(cascade(spark, sf_dir, LARGE), 4, "new_value", "reduction")
+
+
+@query(cascade_sql() + "SELECT count(*) AS total_flows, round(sum(original_value), 4) AS total_original_value, round(sum(new_value), 4) AS total_new_value, round(sum(original_value) - sum(new_value), 4) AS total_reduction, round((sum(original_value) - sum(new_value)) / sum(original_value) * 100, 6) AS overall_reduction_pct FROM c")
+def cascade_summary_A21(spark, sf_dir):
+    out = traversal.cascade_summary(cascade(spark, sf_dir))
     return rounded(rounded(out, 4, "total_original_value", "total_new_value", "total_reduction"), 6, "overall_reduction_pct")
 
 
-@query(EDGES + LEVELS % f"['{NODE}', '{OTHER}']" + "SELECT source, target, value, least(3, coalesce(hops, 3))::INT AS distance FROM e LEFT JOIN lv ON lv.node = e.source")
-def edge_distance_M9(spark, sf_dir, whole=False):
-    rows = edges_of(spark, sf_dir).where(F.lit(whole) | (F.col("value") >= LARGE)).drop("year")
-    return traversal.edge_distance(rows, spark.createDataFrame([(NODE,), (OTHER,)], "node string"))
+@query(EDGES + LEVELS % (YEAR, "", f"['{NODE}', '{OTHER}']") + "SELECT source, target, value, least(3, coalesce(hops, 3))::INT AS distance FROM e LEFT JOIN lv ON lv.node = e.source")
+def edge_distance_M9(spark, sf_dir):
+    return traversal.edge_distance(edges_of(spark, sf_dir).drop("year"), spark.createDataFrame([(NODE,), (OTHER,)], "node string"))
 
 
 @query(EDGES + f"SELECT DISTINCT target AS id FROM edges WHERE year = {YEAR} AND source IN ('{NODE}', '{OTHER}')")
 def downstream_flag_J15(spark, sf_dir):
     return traversal.downstream(edges_of(spark, sf_dir), spark.createDataFrame([(NODE,), (OTHER,)], "id string"))
-
-
-#: The floor in the SQL of searches. The queries search over all edges; one more shows the cascade's least flow.
-FLOORS = (f" AND value >= {LARGE}", f"value >= {LARGE} AND ")
-least_flow = cascade_G8, query.sql["cascade_G8"]
-query.whole(FLOORS)
-query.functions["cascade_least_flow_G8"], query.sql["cascade_least_flow_G8"] = least_flow

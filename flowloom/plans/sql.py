@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 #: The trade network of sources.trade.edges.
 EDGES = """WITH edges AS (
@@ -35,14 +34,3 @@ class Queries:
             return f
 
         return keep
-
-    def whole(self, cuts: tuple[str, ...], others: tuple[str, ...] = ()) -> None:
-        """Each query whose SQL has one of the cuts, and others, does the whole job: the function with whole=True and the SQL without the cuts."""
-        for name, f in list(self.functions.items()):
-            sql = uncut = self.sql.get(name, "")
-            for cut in cuts:
-                uncut = uncut.replace(cut, "")
-            if uncut != sql or name in others:
-                self.functions[name] = partial(f, whole=True)
-                if uncut:
-                    self.sql[name] = uncut

@@ -109,16 +109,6 @@ def test_predictors(spark, tmp_path):
     assert got == {"a": 0.0, "b": 0.0, "c": 3.0}
 
 
-def test_message_passing_by_hand(spark):
-    nodes = spark.createDataFrame([(1, "a", [1.0]), (1, "b", [2.0])], "year int, node string, features array<double>")
-    links = spark.createDataFrame([(1, "a", "b", [0.5])], "year int, source string, target string, features array<double>")
-    layer = ([[1.0, 0.0, 0.0, 1.0, 0.0, 0.0]], [0.0])  # own feature and the mean of suppliers'
-    head = ([[1.0, 10.0, 100.0, 1000.0]], [0.25])
-    plain = predictor.message_passing(nodes, links, [layer], head, scale=1.0).first().pred
-    hit = predictor.message_passing(nodes, links, [layer], head, spark.createDataFrame([("a",)], "id string"), scale=1.0).first().pred
-    assert plain == pytest.approx(1 + 30 + 50 + 0.25) and hit == pytest.approx(plain + 1000)
-
-
 def test_patience():
     values = iter([0.1, 0.3, 0.2, 0.25, 0.9])
     best, seen = predictor.train_with_patience(lambda r: r, lambda m: next(values), [1, 2, 3, 4, 5], patience=2)

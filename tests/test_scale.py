@@ -51,8 +51,9 @@ def test_ports_in_one_call(spark, tmp_path):
     rows = [("c1", "x", "08", "10"), ("c1", "x", "09", "5"), ("c1", "x", "10", "8"), ("c2", "x", "08", "10"), ("c2", "x", "09", "5"), ("-", "y", "08", "1")]
     one = ports.analyse(spark.createDataFrame([(c, c, k, m, v) for c, k, m, v in rows], "commodity string, commodity_desc string, cty_code string, month string, value string"), str(tmp_path)).first()
     assert (one.commodities, one.v_commodities, one.total, one.v_total) == (2, 1, 38.0, 23.0)
-    read = lambda n: [(r.commodity, r.total) for r in spark.read.option("header", True).csv(f"{tmp_path}/{n}").collect()]
-    assert read("all") == [("c1", "23.0"), ("c2", "15.0")] and read("v_shape") == [("c1", "23.0")]
+    read = lambda n, *names: sorted(tuple(r[c] for c in names) for r in spark.read.option("header", True).csv(f"{tmp_path}/{n}").collect())
+    assert read("filtered", "commodity", "month", "value") == [("c1", "08", "10.0"), ("c1", "09", "5.0"), ("c1", "10", "8.0"), ("c2", "08", "10.0"), ("c2", "09", "5.0")]
+    assert read("v_shape", "commodity", "Aug", "Sep", "Oct") == [("c1", "10.0", "5.0", "8.0")]
 
 
 def test_economies(spark, tmp_path):
