@@ -4,7 +4,7 @@ Encoding: blanks become the mark U+2581, one more mark goes in front, and the sy
 agenda of adjacent pairs, best score first and leftmost of equals. No piece of such a vocabulary has a mark behind
 another character, so a merge never crosses the place before a mark: a text is cut there (and beside line ends, which
 no longer piece holds; both are verified when the vocabulary is loaded), and a worker remembers the ids of segments
-it has met. Each new segment's ids are held against the sentencepiece library's, batch by batch; a difference ends
+it has met, as they are written, and what they decode to. Each new segment's ids are held against the sentencepiece library's, batch by batch; a difference ends
 the job. Decoding joins the pieces' bytes, byte pieces included, and takes off the mark in front.
 
 Cases: a null or empty text has only the end id and decodes to the empty text. Texts are never cut short; a word of
@@ -17,7 +17,6 @@ import codecs
 import hashlib
 import heapq
 import re
-from array import array
 from functools import lru_cache
 from itertools import chain, repeat
 from operator import concat
@@ -53,7 +52,8 @@ class Vocabulary:
         self.cut = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.numbers = [str(i) for i in size]
         self.bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in size]
-        self.known: dict[str, bytes] = {}  # the ids as 32-bit numbers: less memory than tuples
+        self.known: dict[str, str] = {}  # a segment's ids in decimal, joined by blanks
+        self.odd: dict[str, bytes] = {}  # what the ids of a segment decode to, where that is not the segment itself
 
     def merged(self, segment: str) -> tuple[int, ...]:
         """Ids of a segment, by the agenda that suits its length."""
@@ -115,18 +115,42 @@ class Vocabulary:
                 theirs = theirs if s[0] == MARK else theirs[1 + (s != "\n") :]
                 if s != MARK and list(mine) != theirs:
                     raise ValueError(f"segment {s!r}: {mine} here, {theirs} by the library")
-        self.known.update((s, array("i", ids).tobytes()) for s, ids in zip(segments, new, strict=True))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, the end id included."""
+        number, of = self.numbers.__getitem__, self.bytes.__getitem__
+        for s, ids in zip(segments, new, strict=True):
+            self.known[s] = " ".join(map(number, ids))
+            if (decoded := b"".join(map(of, ids))) != s.replace(MARK, " ").encode():
+                self.odd[s] = decoded
+
+    def segments(self, texts: list[str]) -> list[list[str]]:
+        """Each text's segments, all of them known then."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         here = set(chain.from_iterable(cut))
         if len(self.known) > self.remember:  # what is met here again stays
             self.known = {s: self.known[s] for s in here if s in self.known}
+            self.odd = {s: d for s, d in self.odd.items() if s in self.known}
         if new := [s for s in here if s not in self.known]:
             self.learn(new)
-        get = self.known.__getitem__
-        return [[*array("i", b"".join(map(get, segments))), self.end] for segments in cut]
+        return cut
+
+    def spelled(self, texts: list[str]) -> list[tuple[str, str]]:
+        """Of each text the ids in decimal, the end id included, and what they decode to: both put together from the segments'."""
+        get, end, out = self.known.__getitem__, self.numbers[self.end], []
+        for segments in self.segments(texts):
+            ids = " ".join([*map(get, segments), end])
+            if not segments:
+                out.append((ids, ""))
+                continue
+            if self.odd and not self.odd.keys().isdisjoint(segments):
+                decoded = b"".join([self.odd[s] if s in self.odd else s.replace(MARK, " ").encode() for s in segments]).decode("utf-8", "each_byte")
+            else:
+                decoded = "".join(segments).replace(MARK, " ")
+            marked = decoded[:1] == " " and self.marked(list(map(int, self.known[segments[0]].split(" "))))
+            out.append((ids, decoded[1:] if marked else decoded))
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, the end id included."""
+        return [list(map(int, ids.split(" "))) for ids, _ in self.spelled(texts)]
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes
@@ -177,11 +201,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         v = vocabulary(path, remember, check)
         for b in blocks(batches, "text", 1 << 20):
-            ids = v.encode(b.column("text").to_pylist())
-            number = v.numbers
-            hashes = [hashlib.sha256(" ".join([number[i] for i in x]).encode()).hexdigest() for x in ids]
-            decoded = [hashlib.sha256(v.decode(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            both = v.spelled(b.column("text").to_pylist())
+            hashes, decoded = ([hashlib.sha256(x[i].encode()).hexdigest() for x in both] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ids.count(" ") + 1 for ids, _ in both], pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return short_batches(rows).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

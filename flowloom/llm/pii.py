@@ -2,7 +2,8 @@
 
 Base: four patterns (e-mail, ip, card, phone) with their checks; their spans stay as they are. Candidates for more
 are of three sorts: tokens with a digit; letters without a digit behind a secret word or a sign (`=`, `:`; not the one
-of a URL's scheme); names of the gazetteer and what follows a title. Labelers of three sorts vote on each candidate:
+of a URL's scheme); first names of the gazetteer with a second word in a capital, and what follows a title. All names
+have the same votes, so the gazetteer and the titles decide on them; names in neither are not found. Labelers of three sorts vote on each candidate:
 patterns (its shape), gazetteers (the words inside it or before it) and contexts (signs before it, base spans, bare
 numbers that no base check takes). Spark counts how often each pattern of votes and features occurs over all
 documents; the table of patterns is small by construction (see PATTERNS). Expectation-maximisation on it estimates
@@ -63,8 +64,8 @@ LETTERS = (
     rf"(?:[=:](?!//)|(?<![A-Za-z])(?=[aAcCiIlLpPsStT])(?i:{WORDS})(?![A-Za-z])[0-9]*+[\"']?(?:\s{{0,2}}[=:]|\s(?:is|was)(?=\s)|(?=\s)))\s{{0,2}}[\"'(]?"
     rf"(?!(?:(?i:{WORDS})(?![A-Za-z])|(?:is|was)\s))(\p{{L}}[^\s0-9]*+)(?!\S)"
 )
-#: A name, or what follows a title as group 1.
-NAMED = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.?\s(\p{{Lu}}[^\s0-9]*+)|(?:{NAMES})(?!\p{{L}})(?:\s\p{{Lu}}[^\s0-9]*+)?)"
+#: A first name with a second word in a capital, or what follows a title as group 1. A first name alone may be a place, a figure or a principle.
+NAMED = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.?\s(\p{{Lu}}[^\s0-9]*+)|(?:{NAMES})\s\p{{Lu}}\p{{L}}[^\s0-9]*+)"
 #: Labelers, then features of shape: each is -1, 0 or 1, so there are at most 3**10 patterns.
 LABELERS = ("by_shape", "by_length", "by_secret_word", "by_plain_word", "by_sign", "by_base")
 FEATURES = (*LABELERS, "letters_and_digits", "long", "quoted", "number_only")
@@ -203,7 +204,9 @@ def with_letters(text: Column, base: Column, names: Column) -> Column:
         context = F.left(m["value"], F.char_length(m["value"]) - F.char_length(value))
         start, core = m["end"] - F.char_length(value), F.regexp_replace(value, r"[^\p{L}]+$", "")
         word, n = ~context.rlike("^[=:]"), F.char_length(core)
-        return of_letters(start, start + n, base, word, context.rlike(r"[=:]|\s(?:is|was)\s"), False, n, context.rlike("[\"']$"))
+        quoted = context.rlike("[\"']$")
+        sign = context.rlike("[=:]") | (context.rlike(r"\s(?:is|was)\s") & quoted)  # a verb alone goes before any word
+        return of_letters(start, start + n, base, word, sign, False, n, quoted)
 
     found = F.filter(F.transform(pieces(text, LETTERS), one).cast(CANDIDATES), lambda c: ~overlaps(names, c["start"], c["end"]))
     return F.when(text.rlike(LETTERS), found).otherwise(F.array().cast(CANDIDATES))

@@ -86,15 +86,15 @@ def planted():
     word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
     key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice((20, 32, 40)))) + "7a"
-    forms = [lambda: ('api_key = "{}"', key()), lambda: ("token: {}", key()), lambda: ("password: {}", word() + word() + "xyz"), lambda: ('passphrase = "{}"', f"{word()}-{word()}-{word()}z"), lambda: ("the secret is {}", word() + word() + "qq"), lambda: ("account 4{}", None), lambda: ("met {} there", "Alice Johnson"), lambda: ("login: {}", word() + word() + "k")]
+    forms = [lambda: ('api_key = "{}"', key()), lambda: ("token: {}", key()), lambda: ("password: {}", word() + word() + "xyz"), lambda: ('passphrase = "{}"', f"{word()}-{word()}-{word()}z"), lambda: ('the secret is "{}"', word() + word() + "qq"), lambda: ("account 4{}", None), lambda: ("met {} there", "Alice Johnson"), lambda: ("login: {}", word() + word() + "k")]
     dirty = []
     for i in range(240):
         form, value = forms[i % len(forms)]()
         value = value or "".join(rng.choice("0123456789") for _ in range(9))
         shown = form.format(value) if "{}" in form else form
         dirty.append((f"{prose(rng.randint(3, 20))} {shown} {prose(rng.randint(3, 20))}", "4" + value if form.startswith("account") else value))
-    decoys = ["section 12 of", "version 3.14.1", "in 1998 and 2004", "page 7, line 33", "chapter 9", "note: something", "cost 1,250.50 euros", "the 3rd and 4th", "at 12:30 on 2021-05-17", "figure 8 shows", "see https://plain.example.org/about", "weighs 70kg", "number 4929411182003156 of", "number 1234567890123456789012"]
-    clean = [f"{prose(rng.randint(3, 20))} {decoys[i % len(decoys)]} {prose(rng.randint(3, 20))}" for i in range(280)]
+    decoys = ["section 12 of", "version 3.14.1", "in 1998 and 2004", "page 7, line 33", "chapter 9", "note: something", "cost 1,250.50 euros", "the 3rd and 4th", "at 12:30 on 2021-05-17", "figure 8 shows", "see https://plain.example.org/about", "weighs 70kg", "number 4929411182003156 of", "number 1234567890123456789012", "login is required here", "Alice in Wonderland", "the Peter principle", "so Karen went", "the token is lost"]
+    clean = [f"{prose(rng.randint(3, 20))} {decoys[i % len(decoys)]} {prose(rng.randint(3, 20))}" for i in range(19 * 20)]
     return dirty, clean
 
 

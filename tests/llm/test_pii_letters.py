@@ -8,7 +8,7 @@ from flowloom.llm import pii
 def test_letters_are_voted_on(spark):
     want = {
         "my password: correcthorse and more": "my password: [SECRET] and more", 'passphrase = "open-sesame-kingdom"': 'passphrase = "[SECRET]"', "password=correcthorse": "password=[SECRET]",
-        "password1: correcthorse": None, "login: bobbysmith today": "login: [SECRET] today", "passphrase: señorbátery, ok": "passphrase: [SECRET], ok", "we met Alice Johnson, then Mary.": "we met [SECRET], then [SECRET].", "Dr. Fernandez said so": "Dr. [SECRET] said so",
+        "password1: correcthorse": None, "login: bobbysmith today": "login: [SECRET] today", "passphrase: señorbátery, ok": "passphrase: [SECRET], ok", "we met Alice Johnson, then Mary.": "we met [SECRET], then Mary.", "a login is required": "a login is required", "Alice in Wonderland": "Alice in Wonderland", "Dr. Fernandez said so": "Dr. [SECRET] said so",
         "Note: something else here": "Note: something else here", "http://plain.example.org/about": "http://plain.example.org/about", "key: value pairs": "key: value pairs", "nothing at all": "nothing at all",
     }
     hexes = [f'token = "{i:08x}4e3e49cf46b2d7c90f3602a3d0b907ff"' for i in range(60)] + [f"section {i} of the act" for i in range(60)]
