@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 Encoding: blanks become the mark U+2581, one more mark goes in front, and the symbols of the text are merged by an
-agenda of adjacent pairs, best score first and leftmost of equals. No piece of such a vocabulary has a mark behind
+agenda of adjacent pairs, best score first and leftmost of equals; the agendas of many short segments are one array. No piece of such a vocabulary has a mark behind
 another character, so a merge never crosses the place before a mark: a text is cut there (and beside line ends, which
 no longer piece holds; both are verified when the vocabulary is loaded), and a worker remembers the ids of segments
 it has met, as they are written, and what they decode to. Each new segment's ids are held against the sentencepiece library's, batch by batch; a difference ends
@@ -18,9 +18,9 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
-from itertools import chain, repeat
-from operator import concat
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import blocks, short_batches, table
 
 MARK = "▁"
-#: Up to so many characters a list is the faster agenda; beyond, a heap. NONE: no piece.
-SHORT = 64
-NONE = 1 << 60
+#: Up to so many characters segments are merged together in arrays; beyond, each by a heap. NONE: no piece; an agenda's number is a place among the scores and, in its low AT bits, where the pair stands.
+SHORT, NONE, AT = 64, 1 << 20, 40
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -52,35 +51,84 @@ class Vocabulary:
         self.cut = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
         self.numbers = [str(i) for i in size]
         self.bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in size]
+        self.pairs()
         self.known: dict[str, str] = {}  # a segment's ids in decimal, joined by blanks
         self.odd: dict[str, bytes] = {}  # what the ids of a segment decode to, where that is not the segment itself
 
-    def merged(self, segment: str) -> tuple[int, ...]:
-        """Ids of a segment, by the agenda that suits its length."""
-        symbols = self.by_list(segment) if len(segment) <= SHORT else self.by_heap(segment)
-        try:
-            return tuple(map(self.ids.__getitem__, symbols))
-        except KeyError:  # a merged symbol of the heap's, or a character that is no piece
-            out: list[int] = []
+    def pairs(self) -> None:
+        """The agenda's table: each pair of symbols that a piece can be made of, as one number, with the piece's place among the scores. Symbols are pieces and the characters of pieces."""
+        self.symbol = {p: n for n, p in enumerate({*self.ids, *(c for p in self.ids for c in p)})}
+        self.spare = len(self.symbol)  # stands for all other characters
+        rows = sorted((self.symbol[p[:k]] * (self.spare + 1) + self.symbol[p[k:]], self.rank[p], self.symbol[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol)
+        self.pair, self.place, self.made = (np.array([r[i] for r in rows] or [-1], np.int64) for i in range(3))
+        self.number_of = np.full(self.spare + 1, -1, np.int64)
+        for p, n in self.symbol.items():
+            self.number_of[n] = self.ids.get(p, -1)
+
+    def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of pairs among the scores (NONE: no piece), and what they make."""
+        keys = left * (self.spare + 1) + right
+        at = np.minimum(np.searchsorted(self.pair, keys), len(self.pair) - 1)
+        return np.where(self.pair[at] == keys, self.place[at], NONE), self.made[at]
+
+    def merged(self, segments: list[str]) -> list[list[int]]:
+        """Ids of each segment, by the agenda that suits its length."""
+        short = [s for s in segments if len(s) <= SHORT]
+        found = dict(zip(short, self.by_array(short), strict=True))
+        return [ids if (ids := found.get(s)) else self.spelled_out(self.by_heap(s)) for s in segments]
+
+    def spelled_out(self, symbols: list[str]) -> list[int]:
+        """Ids of symbols, empty ones left out; a character that is no piece goes by its bytes."""
+        out: list[int] = []
         for s in symbols:
             if s:
                 one = self.ids.get(s)
                 out += [one] if one is not None else [self.byte[b] for b in s.encode()] if self.byte else [self.unknown]
-        return tuple(out)
-
-    def by_list(self, segment: str) -> list[str]:
-        """The agenda is the list of all adjacent pairs' places among the scores; the least, the leftmost of equals, is taken."""
-        rank, symbols = self.rank.get, list(segment)
-        agenda = list(map(rank, map(concat, segment, segment[1:]), repeat(NONE)))
-        while agenda and (best := min(agenda)) < NONE:
-            i = agenda.index(best)
-            pair = symbols[i] = symbols[i] + symbols.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(pair + symbols[i + 1], NONE)
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + pair, NONE)
-        return symbols
+        return out
+
+    def by_array(self, segments: list[str]) -> list[list[int] | None]:
+        """The agendas of all segments are one array of their adjacent pairs; in each round the best of each segment, the leftmost of equals, is merged. None where a character is no piece."""
+        if not segments:
+            return []
+        codes, which = np.unique(np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32), return_inverse=True)
+        sym = np.array([self.symbol.get(chr(c), self.spare) for c in codes], np.int64)[which]
+        number, size = np.arange(len(segments)), np.fromiter(map(len, segments), np.int64, len(segments))
+        ends = np.cumsum(size)
+        rank, made = (np.append(x, NONE) for x in self.look(sym[:-1], sym[1:]))
+        rank[ends - 1] = NONE
+        out: list[list[int] | None] = [None] * len(segments)
+        while len(number):
+            first = np.cumsum(size) - size
+            best = np.minimum.reduceat((rank << AT) + np.arange(len(rank)), first)
+            going = best < NONE << AT
+            if not going.all():
+                done = ~going
+                ids, to = self.number_of[sym[np.repeat(done, size)]], np.cumsum(size[done])
+                whole = (np.minimum.reduceat(ids, to - size[done]) >= 0).tolist()
+                values, a = ids.tolist(), 0
+                for n, e, ok in zip(number[done].tolist(), to.tolist(), whole, strict=True):
+                    out[n], a = values[a:e] if ok else None, e
+                stays = np.repeat(going, size)
+                sym, rank, made = sym[stays], rank[stays], made[stays]
+                gone = np.cumsum(np.where(going, 0, size))  # of places in front
+                at = (best & ((1 << AT) - 1))[going] - gone[going]
+                number, size = number[going], size[going]
+                if not len(number):
+                    break
+            else:
+                at = best & ((1 << AT) - 1)
+            sym[at] = made[at]
+            left = np.ones(len(sym), bool)
+            left[at + 1] = False
+            sym, rank, made = sym[left], rank[left], made[left]
+            at, size = at - np.arange(len(at)), size - 1  # one place less for each segment before
+            first = np.cumsum(size) - size
+            inner = at < first + size - 1
+            rank[at] = NONE
+            rank[at[inner]], made[at[inner]] = self.look(sym[at[inner]], sym[at[inner] + 1])
+            before = at[at > first] - 1
+            rank[before], made[before] = self.look(sym[before], sym[before + 1])
+        return out
 
     def by_heap(self, segment: str) -> list[str]:
         """The agenda is a heap; it holds a pair's place among the scores and, in the low bits, its left symbol, as one number. A merged symbol is empty."""
@@ -107,19 +155,19 @@ class Vocabulary:
         return symbols
 
     def learn(self, segments: list[str]) -> None:
-        new = [self.merged(s) for s in segments]
+        new = self.merged(segments)
         if self.check:
             # The library puts a mark in front; a line end in front keeps a segment without one apart from it.
             asked = [s[1:] if s[0] == MARK else "\n" * (s != "\n") + s for s in segments]
             for s, mine, theirs in zip(segments, new, self.library.encode(asked, num_threads=1), strict=True):
                 theirs = theirs if s[0] == MARK else theirs[1 + (s != "\n") :]
-                if s != MARK and list(mine) != theirs:
+                if s != MARK and mine != theirs:
                     raise ValueError(f"segment {s!r}: {mine} here, {theirs} by the library")
-        number, of = self.numbers.__getitem__, self.bytes.__getitem__
+        number, of, known = self.numbers.__getitem__, self.bytes.__getitem__, self.known
+        decoded = [b"".join(map(of, ids)) for ids in new]
+        self.odd.update((s, d) for s, d in zip(segments, decoded, strict=True) if d != s.replace(MARK, " ").encode())
         for s, ids in zip(segments, new, strict=True):
-            self.known[s] = " ".join(map(number, ids))
-            if (decoded := b"".join(map(of, ids))) != s.replace(MARK, " ").encode():
-                self.odd[s] = decoded
+            known[s] = " ".join(map(number, ids))
 
     def segments(self, texts: list[str]) -> list[list[str]]:
         """Each text's segments, all of them known then."""

@@ -163,3 +163,19 @@ def test_clusters_are_the_plain_ones(spark, k, n):
     assert lloyd.cluster(df.limit(0), dims=6).count() == 0 and lloyd.cluster(df.where("vec_id > 100"), dims=6).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
     with pytest.raises(Exception, match="beyond"):
         lloyd.cluster(spark.createDataFrame([(1, [1e9] * 6)], "vec_id bigint, embedding array<double>"), dims=6)
+
+
+def test_agendas_in_one_array_are_those_by_heap():
+    import public_tokenizers as P
+
+    from flowloom.llm import pieces
+
+    v = pieces.Vocabulary(P.path("piece_bpe_32k.model"), check=False)
+    rng = random.Random(12)
+    letters = "aabcdeehilmnorstuéß日🙂.,12" + pieces.MARK
+    segments = list({pieces.MARK * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 63))) for _ in range(1500)} | {"\n", pieces.MARK, "a", "🙂", "aaaaaaaaaaaaaaaa", pieces.MARK + "the"})
+    got = v.by_array([s for s in segments if len(s) <= pieces.SHORT])
+    for s, ids in zip([s for s in segments if len(s) <= pieces.SHORT], got, strict=True):
+        want = v.spelled_out(v.by_heap(s))
+        assert ids == want or (ids is None and any(c not in v.ids for c in s)), s
+    assert v.merged(segments) == [v.spelled_out(v.by_heap(s)) for s in segments] and v.by_array([]) == []
