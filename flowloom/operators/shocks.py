@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.scalar import SMALL, log_change, relative_change
+from flowloom.shared import written
 
 
 def edge_shocks(rows: DataFrame, threshold: float = 0.15) -> DataFrame:
@@ -31,17 +32,27 @@ def seeded(seed: int, keys: list[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
-def exactly(rows: DataFrame, partition: list[str], keys: list[str], size: Column, seed: int) -> DataFrame:
+def exactly(rows: DataFrame, partition: list[str], keys: list[str], size: Column, seed: int, most: int = 50_000) -> DataFrame:
     """`size` rows (the same for all rows of a partition) of each partition, the first by a seeded hash of the keys: exact, without replacement, the same each time.
 
-    No partition is sorted as a whole: the hash's first three digits deal it into 4096 lots; lots before the boundary
-    are taken whole, and only the boundary's own lot is ranked.
+    No partition is sorted as a whole: the hash's first digits deal it into lots; lots before the boundary are taken
+    whole, and only the boundary's own lot is ranked. There are as many digits as keep lots under about `most` rows.
     """
     names = rows.columns
-    rows = rows.withColumns({"__hash": seeded(seed, keys), "__size": size}).withColumn("__lot", F.left("__hash", F.lit(3)))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*partition).orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lots = rows.groupBy(*partition, "__lot").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", before)
-    lots = lots.select(*[F.col(c).alias(f"__{c}") for c in (*partition, "__lot")], "__n", "__before")
+    rows = written(rows.withColumns({"__hash": seeded(seed, keys), "__size": size}), "hashed")  # read three times
+    digits, count = 3, rows.count()
+    while count > most * 16**digits:
+        digits += 1
+    rows = rows.withColumn("__lot", F.left("__hash", F.lit(digits)))
+    lots = rows.groupBy(*partition, "__lot").agg(F.count(F.lit(1)).alias("__n"))
+    # Lots are summed up in front of their first three digits' last ones, then in front of each other's.
+    head, start = F.left("__lot", F.lit(3)), Window.partitionBy(*partition)
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = lots.groupBy(*partition, head.alias("__head")).agg(F.sum("__n").alias("__n")).withColumn("__above", before(start.orderBy("__head")))
+    tops = tops.select(*[F.col(c).alias(f"__{c}") for c in (*partition, "__head")], "__above")
+    inside = lots.withColumn("__head", head).withColumn("__in", before(Window.partitionBy(*partition, "__head").orderBy("__lot")))
+    in_top = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*partition, "__head")])
+    lots = inside.join(tops, in_top).select(*[F.col(c).alias(f"__{c}") for c in partition], F.col("__lot").alias("____lot"), "__n", (F.col("__above") + F.col("__in")).alias("__before"))
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*partition, "__lot")])
     held = rows.join(lots, same).where(F.col("__before") < F.col("__size"))
     place = F.row_number().over(Window.partitionBy(*partition, "__lot").orderBy("__hash", *keys))

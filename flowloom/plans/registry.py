@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from flowloom.plans import analysis, models, network
+from flowloom.plans import analysis, models, network, sources
 
 FLAGSHIP = "node_strength_A1"
 
 
 def queries() -> dict:
-    return {k: f for part in (network, analysis, models) for k, f in part.query.functions.items()}
+    return {k: f for part in (network, analysis, models, sources) for k, f in part.query.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for part in (network, analysis, models) for k, s in part.query.sql.items()}
+    return {k: s for part in (network, analysis, models, sources) for k, s in part.query.sql.items()}
