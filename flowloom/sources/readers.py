@@ -61,7 +61,7 @@ def national_edges(cells: DataFrame) -> DataFrame:
     """year, source, target, value between the industries of a country: rows TTL_<industry> by industry columns, as COUNTRY_INDUSTRY."""
     rows = cells.where(F.startswith("row", F.lit("TTL_")) & ~F.col("row").isin("TTL_INT_FNL")).withColumn("industry", F.substring("row", 5, 64))
     industries = rows.select("country", "year", F.col("industry").alias("col")).distinct()
-    return rows.join(F.broadcast(industries), ["country", "year", "col"], "left_semi").select("year", F.concat_ws("_", "country", "industry").alias("source"), F.concat_ws("_", "country", "col").alias("target"), "value")
+    return rows.join(industries, ["country", "year", "col"], "left_semi").select("year", F.concat_ws("_", "country", "industry").alias("source"), F.concat_ws("_", "country", "col").alias("target"), "value")
 
 
 def read_port_trade(spark: SparkSession, path: str, value_col: str, prefix: str = "E", level: str | None = None) -> DataFrame:
