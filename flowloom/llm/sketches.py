@@ -64,13 +64,18 @@ def cells(rows: DataFrame, keys: list[str], part: int = PART, level: int = 0) ->
     return together(rows.select(*keys, "cell", F.lit(0).cast("bigint").alias("own"), F.col("sign").cast("bigint").alias("count"), "digest", "check"), keys)
 
 
-def peeled(sketches: DataFrame, keys: list[str], part: int = PART, level: int = 0, rounds: int = 5, listed: bool = True) -> DataFrame:
+def peeled(sketches: DataFrame, keys: list[str], part: int = PART, level: int = 0, rounds: int = 6, listed: bool = True, at_once: int = 2) -> DataFrame:
     """Subtracted sketches with what is found moved to the cells LEFT and RIGHT (own: the digest, if listed) and taken out of all others.
 
     A step peels one part, where a digest has one cell only, so it is taken out once; a round has three steps. Cells of
-    one sketch meet in groupings alone, so sketches that lie together by their keys are peeled without a shuffle.
+    one sketch meet in groupings alone, so sketches that lie together by their keys are peeled without a shuffle. After
+    at_once rounds what is left is written, and it ends if that is nothing: each grouping in a plan holds memory.
     """
     for step in range(3 * rounds):
+        if step and step % (3 * at_once) == 0:
+            sketches = written(sketches, "cells")
+            if not sketches.where("cell >= 0").limit(1).count():
+                break
         j = step % 3
         single = F.col("cell").between(j * part, (j + 1) * part - 1) & (F.abs("count") == 1) & (F.col("check") == check(F.col("digest")))
 
