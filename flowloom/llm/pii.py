@@ -1,15 +1,16 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Base: four patterns (e-mail, ip, card, phone) with their checks; their spans stay as they are. Candidates for more
-are of three sorts: tokens with a digit; letters without a digit behind a secret word or a sign (`=`, `:`; not the one
-of a URL's scheme); first names of the gazetteer with a second word in a capital, and what follows a title. All names
-have the same votes, so the gazetteer and the titles decide on them; names in neither are not found. Labelers of three sorts vote on each candidate:
-patterns (its shape), gazetteers (the words inside it or before it) and contexts (signs before it, base spans, bare
-numbers that no base check takes). Spark counts how often each pattern of votes and features occurs over all
-documents; the table of patterns is small by construction (see PATTERNS). Expectation-maximisation on it estimates
+are tokens with a digit, letters without a digit behind a secret word or a sign (`=`, `:`; not the one of a URL's
+scheme), and names: two or three words in capitals one after the other, or what follows a title. Tokens and names have
+labelers of their own, which vote yes, no or nothing. Tokens: patterns (their shape), gazetteers (the words inside or
+before) and contexts (signs before, base spans, bare numbers that no base check takes). Names: gazetteers (first names;
+words in capitals that are no person's), titles, words of address or articles in front, verbs of people or marks of firms
+behind, place in the sentence, endings, repetition. Spark counts how often each pattern of votes and features occurs over
+all documents; the table of patterns is small by construction (see PATTERNS). Expectation-maximisation on it estimates
 each labeler's reliability and each pattern's chance of being personal; Spark's LogisticRegression, weighted by these,
-trains the final span classifier on the features, and its weights are one expression. Spans that it accepts are added
-with kind `secret`.
+trains the final span classifiers on the features, and their weights are one expression. Spans that they accept are added
+with kind `secret`; a name only if a gazetteer, a title, a word of address or a verb speaks for it.
 
 Positions: the pieces between matches and the matches themselves alternate; folds over blocks of them sum up code
 points. Patterns use possessive repetition, look behind instead of starting inside a run, and read a context forwards
@@ -24,6 +25,7 @@ rows. Other columns are not looked at; columns named as found()'s give way to th
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -64,12 +66,32 @@ LETTERS = (
     rf"(?:[=:](?!//)|(?<![A-Za-z])(?=[aAcCiIlLpPsStT])(?i:{WORDS})(?![A-Za-z])[0-9]*+[\"']?(?:\s{{0,2}}[=:]|\s(?:is|was)(?=\s)|(?=\s)))\s{{0,2}}[\"'(]?"
     rf"(?!(?:(?i:{WORDS})(?![A-Za-z])|(?:is|was)\s))(\p{{L}}[^\s0-9]*+)(?!\S)"
 )
-#: A first name with a second word in a capital, or what follows a title as group 1. A first name alone may be a place, a figure or a principle.
-NAMED = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.?\s(\p{{Lu}}[^\s0-9]*+)|(?:{NAMES})\s\p{{Lu}}\p{{L}}[^\s0-9]*+)"
+#: Words in capitals that no person is called, in small letters; those before or after a name; what names and other words end in. Ours.
+NO_NAMES = (
+    "a|academy|air|an|and|apache|april|association|august|avenue|bank|bay|beach|bridge|castle|center|centre|chapter|church|city|club|college|committee|common|company|conditions|copyright|corporation|council|county|court|creative|customer|das|december|department|der|die|"
+    "ein|eine|el|february|foundation|free|friday|für|general|government|great|group|hall|hill|house|il|in|inc|industries|institute|international|island|january|july|june|la|lake|las|law|le|league|les|library|license|los|ltd|march|market|may|ministry|monday|mount|museum|national|"
+    "new|north|november|october|of|office|old|open|park|party|press|prize|public|river|road|royal|rue|saint|san|santa|saturday|school|sea|section|september|service|society|software|source|south|springs|square|state|station|street|sunday|support|team|terms|that|the|these|this|thursday|"
+    "times|tower|tuesday|un|una|une|union|united|university|valley|version|war|wednesday|west|white"
+)
+ADDRESS = "(?:asked|author|called|contact|dear|hello|hi|met|named|name is|regards|signed|sincerely|told|(?:painted|signed|written) by|écrit par|escrito por|geschrieben von)"
+ARTICLES = "(?:a|an|at|in|of|on|the|das|dem|den|der|des|die|ein|eine|el|la|las|le|les|los|un|una|une)"
+VERBS = "(?:answered|asked|called|died|emailed|lived|lives|married|phoned|replied|said|says|signed|told|works|worked|wrote|was born|sagte|schrieb|wohnt|arbeitet|écrit|habite|travaille|dijo|escribió|vive|trabaja)"
+NAME_ENDS = "(?:son|sen|mann|berg|stein|ez|ini|elli|ski|ova|ault|eau|ley|ton|ford)$"
+OTHER_ENDS = "(?:tion|ment|ness|ity|ism|ing|ung|heit|keit|ción|dad|logy|ics|ies)$"
+#: What follows a title as group 1, or two or three words in capitals. A first name alone may be a place, a figure or a principle.
+NAME_WORD = r"(?:Mc|Mac|[DO]['’])?\p{Lu}\p{Ll}++(?:[-'’]\p{Lu}\p{Ll}++)*+(?!\p{L})"
+NEXT = rf"\x20(?:(?:da|de|del|di|la|van|von)\x20)?{NAME_WORD}"
+NAMED = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{TITLES})\.?\x20(?!(?:{TITLES})\.?\x20)({NAME_WORD}(?:{NEXT})?+)|{NAME_WORD}(?:{NEXT}){{1,2}}+)"
 #: Labelers, then features of shape: each is -1, 0 or 1, so there are at most 3**10 patterns.
 LABELERS = ("by_shape", "by_length", "by_secret_word", "by_plain_word", "by_sign", "by_base")
 FEATURES = (*LABELERS, "letters_and_digits", "long", "quoted", "number_only")
-PATTERNS = 3 ** len(FEATURES)
+#: The first PERSON of the names' labelers speak for a person by themselves.
+NAME_LABELERS = ("by_list", "by_title", "by_address", "by_verb", "by_place", "by_ending", "by_repeat")
+NAME_FEATURES = (*NAME_LABELERS, "three_words", "long")
+PERSON = 4
+PATTERNS = 3 ** len(FEATURES) + 3 ** len(NAME_FEATURES)
+#: Weights and intercept of the classifier of tokens, then of names.
+Model = namedtuple("Model", "tokens names")
 
 
 def let(value: Column, use) -> Column:
@@ -77,25 +99,26 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def pieces(text: Column, pattern: str, block: int = 512) -> Column:
-    """array of struct (start, end, value, before) of the matches; before: the last 24 code points between it and the match in front.
+def pieces(text: Column, pattern: str, block: int = 512, behind: int = 0) -> Column:
+    """array of struct (start, end, value, before) of the matches; before: the last 24 code points between it and the match in front. With behind also after: as many code points up to the next match.
 
     A fold copies what it has at each step, so it goes over blocks of matches, and a second one over the blocks.
     """
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string>>>"
+    kind = f"struct<at:int,spans:array<struct<start:int,end:int,value:string,before:string{',after:string' if behind else ''}>>>"
     none = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(kind)
 
     def step(held: Column, pair: Column) -> Column:
         start = held["at"] + F.char_length(pair["gap"])
-        one = F.struct(start.alias("start"), (start + F.char_length(pair["value"])).alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(24)).alias("before"))
+        after = [F.left(pair["next"], F.lit(behind)).alias("after")] if behind else []
+        one = F.struct(start.alias("start"), (start + F.char_length(pair["value"])).alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(24)).alias("before"), *after)
         return F.struct(one["end"].alias("at"), F.concat(held["spans"], F.array(one)).alias("spans")).cast(kind)
 
     def of_block(pairs: Column) -> Column:
         return F.aggregate(pairs, none, step)
 
     def moved(spans: Column, by: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"), s["before"].alias("before")))
+        return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), *[s[c].alias(c) for c in ("value", "before", *(["after"] if behind else []))]))
 
     def put_together(parts: Column) -> Column:
         starts = F.aggregate(parts, F.array(F.lit(0)), lambda held, p: F.concat(held, F.array(F.element_at(held, -1) + p["at"])))
@@ -105,6 +128,8 @@ def pieces(text: Column, pattern: str, block: int = 512) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / block).cast("int")), lambda i: of_block(F.slice(pairs, i * block + 1, F.lit(block))))
         return F.when(F.size(pairs) <= block, of_block(pairs)["spans"]).otherwise(let(blocks, put_together))
 
+    if behind:
+        return let(gaps, lambda g: let(F.arrays_zip(values.alias("value"), F.slice(g, 1, F.size(g) - 1).alias("gap"), F.slice(g, 2, F.size(g) - 1).alias("next")), all_of))
     return let(F.arrays_zip(values.alias("value"), let(gaps, lambda g: F.slice(g, 1, F.size(g) - 1)).alias("gap")), all_of)
 
 
@@ -151,6 +176,7 @@ def vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
 
 
+NAME_CANDIDATES = f"array<struct<start:int,end:int,base:boolean,{','.join(f'{f}:int' for f in NAME_FEATURES)}>>"
 CANDIDATES = f"array<struct<start:int,end:int,base:boolean,{','.join(f'{f}:int' for f in FEATURES)}>>"
 
 
@@ -186,51 +212,57 @@ def with_digits(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.transform(pieces(text, DIGITS), one).cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
 
 
-def of_letters(start: Column, end: Column, base: Column, word: Column, sign: Column, name: bool, n: Column, quoted: Column) -> Column:
-    """What labelers and features say of a token of letters: a secret word and a sign together speak for it, or that it is a name."""
-    inside, yes = overlaps(base, start, end), F.lit(name) | (word & sign)
-    return F.struct(
-        start.alias("start"), end.alias("end"), inside.alias("base"), vote(inside | yes, ~yes).alias("by_shape"), vote((n >= 10) & F.lit(not name), (n <= 5) & F.lit(not name)).alias("by_length"), vote(word | F.lit(name)).alias("by_secret_word"),
-        vote(F.lit(False), ~yes).alias("by_plain_word"), vote(sign & F.lit(not name), ~sign & F.lit(not name) & (n <= 5)).alias("by_sign"), vote(inside).alias("by_base"), F.lit(0).alias("letters_and_digits"),
-        vote((n >= 14) & F.lit(not name), (n <= 8) & F.lit(not name)).alias("long"), vote(quoted).alias("quoted"), F.lit(0).alias("number_only"),
-    )
-
-
-def with_letters(text: Column, base: Column, names: Column) -> Column:
-    """CANDIDATES behind secret words and signs, less those that are names."""
+def with_letters(text: Column, base: Column) -> Column:
+    """CANDIDATES behind secret words and signs: a word and a sign together speak for a token of letters, one of them alone against it."""
 
     def one(m: Column) -> Column:
         value = F.regexp_extract(m["value"], LETTERS, 1)
         context = F.left(m["value"], F.char_length(m["value"]) - F.char_length(value))
         start, core = m["end"] - F.char_length(value), F.regexp_replace(value, r"[^\p{L}]+$", "")
         word, n = ~context.rlike("^[=:]"), F.char_length(core)
-        quoted = context.rlike("[\"']$")
+        quoted, end = context.rlike("[\"']$"), start + n
         sign = context.rlike("[=:]") | (context.rlike(r"\s(?:is|was)\s") & quoted)  # a verb alone goes before any word
-        return of_letters(start, start + n, base, word, sign, False, n, quoted)
+        inside, yes = overlaps(base, start, end), word & sign
+        return F.struct(
+            start.alias("start"), end.alias("end"), inside.alias("base"), vote(inside | yes, ~yes).alias("by_shape"), vote(n >= 10, n <= 5).alias("by_length"), vote(word).alias("by_secret_word"),
+            vote(F.lit(False), ~yes).alias("by_plain_word"), vote(sign, ~sign & (n <= 5)).alias("by_sign"), vote(inside).alias("by_base"), F.lit(0).alias("letters_and_digits"),
+            vote(n >= 14, n <= 8).alias("long"), vote(quoted).alias("quoted"), F.lit(0).alias("number_only"),
+        )
 
-    found = F.filter(F.transform(pieces(text, LETTERS), one).cast(CANDIDATES), lambda c: ~overlaps(names, c["start"], c["end"]))
-    return F.when(text.rlike(LETTERS), found).otherwise(F.array().cast(CANDIDATES))
+    return F.when(text.rlike(LETTERS), F.transform(pieces(text, LETTERS), one).cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
 
 
 def with_names(text: Column, base: Column) -> Column:
-    """CANDIDATES that are names."""
+    """NAME_CANDIDATES: words in capitals one after the other, and what follows a title."""
 
     def one(m: Column) -> Column:
         titled = F.regexp_extract(m["value"], NAMED, 1)
         value = F.when(titled != "", titled).otherwise(m["value"])
-        start, core = m["end"] - F.char_length(value), F.regexp_replace(value, r"[^\p{L}]+$", "")
-        return of_letters(start, start + F.char_length(core), base, F.lit(False), F.lit(False), True, F.char_length(core), F.lit(False))
+        start, n = m["end"] - F.char_length(value), F.char_length(value)
+        before, after = m["before"], m["after"]
+        return F.struct(
+            start.alias("start"), m["end"].alias("end"), overlaps(base, start, m["end"]).alias("base"),
+            vote(value.rlike(rf"^(?:{NAMES})\x20") & ~value.rlike(rf"(?i)(?:^|\x20)(?:{NO_NAMES})(?:$|\x20)"), value.rlike(rf"(?i)(?:^|\x20)(?:{NO_NAMES})(?:$|\x20)")).alias("by_list"),
+            vote(titled != "").alias("by_title"),
+            vote(before.rlike(rf"(?i)(?<!\p{{L}}){ADDRESS}:?,?\s$"), before.rlike(rf"(?i)(?<!\p{{L}}){ARTICLES}\s$")).alias("by_address"),
+            vote(after.rlike(rf"^,?\s{VERBS}(?!\p{{L}})"), after.rlike(r"^,?\s(?:AG|Co|GmbH|Inc|LLC|Ltd|SA|of)(?!\p{L})")).alias("by_verb"),
+            vote(before.rlike(r"[\p{Ll},;]\x20$"), before.rlike(r"^$|[.!?:\n]\s*$")).alias("by_place"),
+            vote(value.rlike(NAME_ENDS), value.rlike(OTHER_ENDS)).alias("by_ending"),
+            vote(F.lit(False), value.rlike(r"(?:^|\x20)(\p{L}++)\x20\1(?:$|\x20)")).alias("by_repeat"),
+            vote(value.rlike(r"\x20.*\x20"), ~value.rlike(r"\x20")).alias("three_words"), vote(n >= 18, n <= 8).alias("long"),
+        )
 
-    return F.when(text.rlike(NAMED), F.transform(pieces(text, NAMED), one).cast(CANDIDATES)).otherwise(F.array().cast(CANDIDATES))
+    return F.when(text.rlike(NAMED), F.transform(pieces(text, NAMED, behind=16), one).cast(NAME_CANDIDATES)).otherwise(F.array().cast(NAME_CANDIDATES))
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[list[dict], float, list[float]]:
+def reliabilities(patterns: list[tuple[tuple[int, ...], float]], n: int = len(LABELERS), held: float = 0.0, rounds: int = 50) -> tuple[list[dict], float, list[float]]:
     """Expectation-maximisation over (votes, count): for each labeler the chances of -1, 0, 1 for personal and other tokens; the share of personal ones; each pattern's chance.
 
-    The start trusts every labeler a little; counts are smoothed by one of each vote.
+    The first n entries of a pattern are votes. The start trusts every labeler a little; counts are smoothed by one of
+    each vote or, with held, by as many as that in the shares of the start, so that few rows don't turn a labeler round.
     """
-    n = len(LABELERS)
-    trust = [{1: {1: 0.6, 0: 0.3, -1: 0.1}, 0: {1: 0.1, 0: 0.3, -1: 0.6}} for _ in range(n)]
+    first = {1: {1: 0.6, 0: 0.3, -1: 0.1}, 0: {1: 0.1, 0: 0.3, -1: 0.6}}
+    trust = [dict(first) for _ in range(n)]
     share, chance = 0.5, [0.5] * len(patterns)
     for _ in range(rounds):
         for at, (votes, _) in enumerate(patterns):
@@ -240,47 +272,67 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 5
         share = min(0.999, max(0.001, sum(c * q for (_, c), q in zip(patterns, chance, strict=True)) / total))
         for i in range(n):
             for side in (1, 0):
-                sums = {1: 1.0, 0: 1.0, -1: 1.0}
+                sums = {v: held * first[side][v] if held else 1.0 for v in (1, 0, -1)}
                 for (votes, c), q in zip(patterns, chance, strict=True):
                     sums[votes[i]] += c * (q if side else 1 - q)
                 trust[i][side] = {v: s / sum(sums.values()) for v, s in sums.items()}
     return trust, share, chance
 
 
-def train(spans: DataFrame) -> tuple[list[float], float]:
-    """Weights of FEATURES and intercept of the span classifier. spans: a column `candidates`."""
-    # The outer form: else a filter on the list's size is put below and works the candidates out once more.
-    each = spans.select(F.explode_outer("candidates").alias("c")).where("c IS NOT NULL")
-    one = each.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).count()
-    patterns = [(tuple(r[f] for f in FEATURES), float(r["count"])) for r in one.orderBy(*FEATURES).collect()]
-    if not patterns:
-        return [0.0] * len(FEATURES), -1.0
-    _, _, chance = reliabilities(patterns)
-    rows = [(*map(float, v), label, c * w) for (v, c), q in zip(patterns, chance, strict=True) for label, w in ((1.0, q), (0.0, 1 - q)) if c * w > 0]
-    data = literal_rows(spans.sparkSession, {c: [r[i] for r in rows] for i, c in enumerate((*FEATURES, "label", "weight"))})
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
+def classifier(spark, patterns: list[tuple[tuple[int, ...], float]], features: tuple[str, ...], chance: list[float], weight) -> tuple[list[float], float]:
+    """Weights of the features and intercept of a logistic regression; weight(count) is a pattern's."""
+    rows = [(*map(float, v), label, weight(c) * w) for (v, c), q in zip(patterns, chance, strict=True) for label, w in ((1.0, q), (0.0, 1 - q)) if c * w > 0]
+    data = literal_rows(spark, {c: [r[i] for r in rows] for i, c in enumerate((*features, "label", "weight"))})
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
     model = LogisticRegression(maxIter=50, regParam=0.001, weightCol="weight", standardization=False).fit(data)
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
-def found(docs: DataFrame, text_col: str = "text", model: tuple[list[float], float] | None = None, base_col: str = "pii_base", spans_col: str = "pii_spans") -> DataFrame:
+def train(rows: DataFrame) -> Model:
+    """The span classifiers. rows: columns `candidates` and `names`. Names are rare among words in capitals, so their patterns weigh by the logarithm of their counts."""
+
+    def patterns_of(column: str, sort: int, features: tuple[str, ...]) -> Column:
+        return F.transform(column, lambda c: F.struct(F.lit(sort).alias("sort"), F.array(*[c[f] for f in features]).alias("votes")))
+
+    both = F.concat(patterns_of("candidates", 0, FEATURES), patterns_of("names", 1, NAME_FEATURES))
+    # The outer form: else a filter on the list's size is put below and works the candidates out once more.
+    counts = rows.select(F.explode_outer(both).alias("c")).where("c IS NOT NULL").groupBy("c.sort", "c.votes").count().orderBy("sort", "votes").collect()
+    out = []
+    for sort, features, labelers, held, weight in ((0, FEATURES, len(LABELERS), 0.0, float), (1, NAME_FEATURES, len(NAME_LABELERS), 20.0, math.log1p)):
+        patterns = [(tuple(r.votes), float(r["count"])) for r in counts if r.sort == sort]
+        none = ([0.0] * len(features), -1.0)
+        out.append(classifier(rows.sparkSession, patterns, features, reliabilities(patterns, labelers, held)[2], weight) if patterns else none)
+    return Model(*out)
+
+
+def score(c: Column, features: tuple[str, ...], weights: tuple[list[float], float]) -> Column:
+    out = F.lit(weights[1])
+    for f, w in zip(features, weights[0], strict=True):
+        out = out + c[f] * F.lit(w)
+    return out
+
+
+def found(docs: DataFrame, text_col: str = "text", model: Model | None = None, base_col: str = "pii_base", spans_col: str = "pii_spans") -> DataFrame:
     """docs with base_col (base spans) and spans_col (base and added), arrays of struct (start, rank, end, kind) by start and kind, behind its columns."""
     text, base, names, candidates = (fresh(docs, c) for c in ("the_text", "base", "names", "candidates"))
     rows = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = rows.withColumn(base, base_spans(F.col(text)))
     rows = rows.withColumn(names, with_names(F.col(text), F.col(base)))
-    rows = rows.withColumn(candidates, F.concat(with_digits(F.col(text), F.col(base)), with_letters(F.col(text), F.col(base), F.col(names)), F.col(names)))
-    weights, intercept = model or train(rows.select(F.col(candidates).alias("candidates")))
-
-    def score(c: Column) -> Column:
-        out = F.lit(intercept)
-        for f, w in zip(FEATURES, weights, strict=True):
-            out = out + c[f] * F.lit(w)
-        return out
-
-    added = F.filter(candidates, lambda c: ~c["base"] & (score(c) > 0) & (c["end"] > c["start"]))
-    added = F.transform(added, lambda c: F.struct(c["start"], F.lit(len(KINDS)).alias("rank"), c["end"], F.lit("secret").alias("kind"))).cast(SPAN)
-    return rows.select(*own_columns(docs, (base_col, spans_col)), F.col(base).alias(base_col), F.array_sort(F.concat(F.col(base), added)).alias(spans_col))
+    rows = rows.withColumn(candidates, F.concat(with_digits(F.col(text), F.col(base)), with_letters(F.col(text), F.col(base))))
+    use = model or train(rows.select(F.col(candidates).alias("candidates"), F.col(names).alias("names")))
+
+    def spans(accepted: Column) -> Column:
+        return F.transform(accepted, lambda c: F.struct(c["start"], F.lit(len(KINDS)).alias("rank"), c["end"], F.lit("secret").alias("kind"))).cast(SPAN)
+
+    def is_name(c: Column) -> Column:
+        return ~c["base"] & (score(c, NAME_FEATURES, use.names) > 0) & (F.greatest(*[c[f] for f in NAME_LABELERS[:PERSON]]) > 0)
+
+    def added(persons: Column) -> Column:
+        apart = lambda c: (F.size(persons) == 0) | ~overlaps(persons, c["start"], c["end"])
+        tokens = F.filter(candidates, lambda c: ~c["base"] & (score(c, FEATURES, use.tokens) > 0) & (c["end"] > c["start"]) & apart(c))
+        return F.array_sort(F.concat(F.col(base), persons, spans(tokens)))
+
+    return rows.select(*own_columns(docs, (base_col, spans_col)), F.col(base).alias(base_col), let(spans(F.filter(names, is_name)), added).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
