@@ -61,6 +61,19 @@ def indicator_scan_S7(spark, sf_dir):
     return rounded(readers.read_indicators(spark, path), 6, "value")
 
 
+SIDES = """SELECT split_part(source, '_', 1) AS country, year, 'exports' AS code, value FROM edges UNION ALL SELECT split_part(target, '_', 1), year, 'imports', value FROM edges"""
+
+
+@query(EDGES + f"SELECT country, year, code, round(sum(value), 4) AS value FROM ({SIDES}) GROUP BY ALL")
+def paged_indicators_S5(spark, sf_dir):
+    """Exports and imports of each country and year, saved as pages of ten rows and read back."""
+    path = place(spark, "pages")
+    edges = all_edges(spark, sf_dir)
+    sides = [edges.select(F.substring_index(end, "_", 1).alias("country"), "year", F.lit(code).alias("code"), "value") for end, code in (("source", "exports"), ("target", "imports"))]
+    writers.write_indicator_pages(sides[0].unionByName(sides[1]).groupBy("country", "year", "code").agg(F.sum("value").alias("value")), path, 10)
+    return rounded(readers.read_indicator_pages(spark, path), 4, "value")
+
+
 @query("SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, 'R' || n_regionkey AS region, false AS is_aggregate FROM nation UNION ALL SELECT 'R' || r_regionkey, NULL, true FROM region")
 def economies_scan_S6(spark, sf_dir):
     path = place(spark, "economies")

@@ -66,7 +66,7 @@ def national_edges(cells: DataFrame) -> DataFrame:
 
 def read_port_trade(spark: SparkSession, path: str, value_col: str, prefix: str = "E", level: str | None = None) -> DataFrame:
     """Port trade from saved responses: each file is a list of lists of texts whose first names the columns. Each response is one text, read by a task of its own."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.from_json("value", "array<array<string>>").alias("rows")).select(F.get("rows", F.lit(0)).alias("head"), F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1)))).alias("r"))
     cell = lambda name: F.get(F.col("r"), (F.array_position("head", F.lit(name)) - 1).cast("int"))
     out = rows.select(cell(f"{prefix}_COMMODITY").alias("commodity"), cell(f"{prefix}_COMMODITY_SDESC").alias("commodity_desc"), cell("CTY_CODE").alias("cty_code"), cell("MONTH").alias("month"), number(cell(value_col)).alias("value"), *([cell("COMM_LVL").alias("level")] if level else []))
@@ -82,6 +82,19 @@ def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     return long.select("k.country", F.regexp_extract("y", r"(\d+)", 1).cast("int").alias("year"), "k.code", "value").where("value IS NOT NULL")
 
 
+def read_indicator_pages(spark: SparkSession, path: str) -> DataFrame:
+    """country, year, code, value from saved pages of an indicator service, one file a page in folders code=/year=/page=.
+
+    A page is a list of its head and its rows (countryiso3code, date, value). Code and year are the folders', so a filter
+    on them decides which pages are opened. A page without rows gives none; one that is no JSON raises when it is read.
+    """
+    strict = {"mode": "FAILFAST"}
+    pages = spark.read.text(path, wholetext=True)
+    body = F.get(F.from_json("value", "array<string>", strict), F.lit(1))
+    rows = pages.select(F.col("code").cast("string").alias("code"), F.col("year").cast("int").alias("year"), F.explode(F.from_json(body, "array<struct<countryiso3code:string,date:string,value:double>>", strict)).alias("r"))
+    return rows.select(F.col("r.countryiso3code").alias("country"), "year", "code", F.col("r.value").alias("value")).where("value IS NOT NULL")
+
+
 def read_economies(spark: SparkSession, path: str) -> DataFrame:
     """id, region and is_aggregate from a CSV of economies with columns id, region and aggregate (true or false); an empty region is missing."""
     raw = spark.read.option("header", True).csv(path)

@@ -13,6 +13,16 @@ def write_years(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.repartition("year", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "year"][:2]), F.lit(8))).write.mode(mode).partitionBy("year").parquet(path)
 
 
+def write_indicator_pages(rows: DataFrame, path: str, size: int = 1000, mode: str = "overwrite") -> None:
+    """country, year, code, value as pages that read_indicator_pages reads, of about `size` rows each: a code and year has as many as its rows ask for, dealt by a hash of the country."""
+    counts = rows.groupBy("code", "year").agg(F.ceil(F.count(F.lit(1)) / size).alias("pages"))
+    dealt = rows.join(counts, ["code", "year"]).withColumn("page", F.pmod(F.xxhash64("country"), F.col("pages")) + 1)
+    row = F.struct(F.col("country").alias("countryiso3code"), F.col("year").cast("string").alias("date"), "value")
+    bodies = dealt.groupBy("code", "year", "page", "pages").agg(F.to_json(F.collect_list(row)).alias("body"))
+    text = F.concat(F.lit("["), F.to_json(F.struct("page", "pages")), F.lit(","), "body", F.lit("]"))
+    bodies.select(text.alias("value"), "code", "year", "page").write.mode(mode).partitionBy("code", "year", "page").text(path)
+
+
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("header", True).csv(path)
 
