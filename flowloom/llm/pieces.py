@@ -53,6 +53,7 @@ class Vocabulary:
         self.bytes = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode() for i in size]
         self.pairs()
         self.known: dict[str, str] = {}  # a segment's ids in decimal, joined by blanks
+        self.older: dict[str, str] = {}  # what was known before the last change of generations
         self.odd: dict[str, bytes] = {}  # what the ids of a segment decode to, where that is not the segment itself
 
     def pairs(self) -> None:
@@ -170,20 +171,26 @@ class Vocabulary:
             known[s] = " ".join(map(number, ids))
 
     def segments(self, texts: list[str]) -> list[list[str]]:
-        """Each text's segments, all of them known then."""
+        """Each text's segments, all of them in `known` then; `known` may be another table than before.
+
+        Two generations, each of half of what is to be remembered (or of one call's segments, if these are more): what is met goes into the younger.
+        """
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         here = set(chain.from_iterable(cut))
-        if len(self.known) > self.remember:  # what is met here again stays
-            self.known = {s: self.known[s] for s in here if s in self.known}
-            self.odd = {s: d for s, d in self.odd.items() if s in self.known}
-        if new := [s for s in here if s not in self.known]:
-            self.learn(new)
+        if len(self.known) > self.remember // 2:
+            self.older, self.known = self.known, {}
+            self.odd = {s: d for s, d in self.odd.items() if s in self.older}
+        if missing := [s for s in here if s not in self.known]:
+            self.known.update((s, self.older[s]) for s in missing if s in self.older)
+            if new := [s for s in missing if s not in self.known]:
+                self.learn(new)
         return cut
 
     def spelled(self, texts: list[str]) -> list[tuple[str, str]]:
         """Of each text the ids in decimal, the end id included, and what they decode to: both put together from the segments'."""
+        cut = self.segments(texts)
         get, end, out = self.known.__getitem__, self.numbers[self.end], []
-        for segments in self.segments(texts):
+        for segments in cut:
             ids = " ".join([*map(get, segments), end])
             if not segments:
                 out.append((ids, ""))

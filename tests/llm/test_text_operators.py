@@ -138,6 +138,21 @@ def test_pieces_are_the_library_s(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_pieces_when_memory_is_full():
+    """Segments are forgotten between calls and met again; those of one call may be more than are remembered."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, v, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Vocabulary(path, remember=40), random.Random(4)
+    words = ["the", "word", "🙂日", "a\nb", "", "\x01", *("".join(rng.choice("aeinst") for _ in range(5)) for _ in range(300))]
+    for _ in range(60):
+        texts = ["", *(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(4))]
+        want = [[*sp.encode(t), sp.eos_id()] for t in texts]
+        assert v.spelled(texts) == [(" ".join(map(str, ids)), sp.decode(ids)) for ids in want]
+    assert len(v.known) + len(v.older) <= 40 + 2 * 50
+
+
 def test_pieces_of_random_texts():
     import public_tokenizers
     import sentencepiece
