@@ -159,7 +159,10 @@ def balanced_sample_counts_M3(spark, sf_dir):
 
 @query(KINDS + ", t AS (SELECT *, least(g, d) AS q FROM k) SELECT year, floor((q + q + least(z, floor(q * 0.1))) * 0.5)::BIGINT AS n FROM t")
 def balanced_part_M5(spark, sf_dir):
-    return shocks.balanced_sample(flows(spark, sf_dir), seed=3, part=0.5).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(flows(spark, sf_dir), "flows")
+    part = shocks.balanced_sample(rows, seed=3, part=0.5).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    # Years of which nothing is drawn, as they have no gains or no drops, count 0.
+    return rows.select("year").distinct().join(part, "year", "left").select("year", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 @query(FLOWS + """, c AS (SELECT year, count(*) AS n, count(*) FILTER (shocked) AS s FROM sh GROUP BY year)

@@ -40,3 +40,23 @@ def test_every_year_with_a_successor(spark, name, kept):
     else:
         assert {r.year: r.n_samples for r in out.collect()} == {y: sum(e[0] == y for e in want) for y in {e[0] for e in want}}
     assert {e[0] for e in want} > {1997, 1998, 1999}
+
+
+def test_years_of_an_empty_sample_count_zero(spark, tmp_path):
+    """From 1995 to 1996 both flows grow, so nothing balances them; from 1996 to 1997 one grows, one falls."""
+    import datetime
+
+    import duckdb
+
+    values = {(1995, 0): 10.0, (1995, 1): 10.0, (1996, 0): 20.0, (1996, 1): 20.0, (1997, 0): 30.0, (1997, 1): 5.0}
+    tables = {
+        "customer": ("c_custkey long, c_nationkey int", [(1, 1)]), "supplier": ("s_suppkey long, s_nationkey int", [(1, 2)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp", [(y, 1, datetime.datetime(y, 6, 1)) for y in (1995, 1996, 1997)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double", [(y, p, 1, v, 0.0) for (y, p), v in values.items()]),
+    }
+    con = duckdb.connect()
+    for t, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.queries()["balanced_part_M5"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(registry.oracle_sql()["balanced_part_M5"]).fetchall()) == [(1995, 0), (1996, 1)]
