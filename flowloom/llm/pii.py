@@ -12,6 +12,9 @@ each labeler's reliability and each pattern's chance of being personal; Spark's
 trains the final span classifiers on the features, and their weights are one expression. Spans that they accept are added
 with kind `secret`; a name only if a gazetteer, a title, a word of address or a verb speaks for it.
 
+Without a model given, the rows are written with their candidates to the shared folder, once; training and scoring read
+these.
+
 Positions: the pieces between matches and the matches themselves alternate; folds over blocks of them sum up code
 points. Patterns use possessive repetition, look behind instead of starting inside a run, and read a context forwards
 from its word or sign, so that each reads a text of any length once and needs no deep stack; the matches of the base
@@ -32,7 +35,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import fresh, literal_rows, own_columns, table
+from flowloom.llm.common import fresh, literal_rows, own_columns, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive repetition. Where a match could begin inside a run of its first part, \G stands for the end of the match before.
@@ -319,6 +322,8 @@ def found(docs: DataFrame, text_col: str = "text", model: Model | None = None, b
     rows = rows.withColumn(base, base_spans(F.col(text)))
     rows = rows.withColumn(names, with_names(F.col(text), F.col(base)))
     rows = rows.withColumn(candidates, F.concat(with_digits(F.col(text), F.col(base)), with_letters(F.col(text), F.col(base))))
+    if model is None:  # training and scoring read what is written: else both plans hold all patterns, and work them out
+        rows = written(rows.select(*own_columns(docs), base, names, candidates), "candidates")
     use = model or train(rows.select(F.col(candidates).alias("candidates"), F.col(names).alias("names")))
 
     def spans(accepted: Column) -> Column:

@@ -138,6 +138,12 @@ def test_pieces_are_the_library_s(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_pii_patterns_are_in_one_plan_only(spark):
+    """What is returned reads the candidates that training read; its plan, which the driver holds and compiles, has no pattern."""
+    docs = spark.createDataFrame([(1, "a@b.co, token = abcDEF123456 and Mary Smith"), (2, None)], "doc_id long, text string")
+    assert "regexp_extract_all" not in pii.found(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pieces_when_memory_is_full():
     """Segments are forgotten between calls and met again; those of one call may be more than are remembered."""
     import public_tokenizers
